@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from quillmint.llm.minhash_dedup import op2_minhash_dedup
 from quillmint.llm.packing import op3_best_fit_packing
 from quillmint.llm.quality_rules import op5_quality_rules
+from quillmint.llm.secrets import op4_secret_scans
 from quillmint.llm.substring_dedup import op9_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_secret_scans": op4_secret_scans,
     "op5_quality_rules": op5_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
 }
