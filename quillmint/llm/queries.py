@@ -11,13 +11,15 @@ from quillmint.llm.packing import op3_best_fit_packing
 from quillmint.llm.quality_rules import op5_quality_rules
 from quillmint.llm.secrets import op4_secret_scans
 from quillmint.llm.substring_dedup import op9_substring_dedup
+from quillmint.llm.topk import OP7_SQL, op7_exact_top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_secret_scans": op4_secret_scans,
     "op5_quality_rules": op5_quality_rules,
+    "op7_exact_top_k": op7_exact_top_k,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_exact_top_k": OP7_SQL}
