@@ -12,6 +12,7 @@ from quillmint.llm.quality_rules import op5_quality_rules
 from quillmint.llm.secrets import op4_secret_scans
 from quillmint.llm.substring_dedup import op9_substring_dedup
 from quillmint.llm.topk import OP7_SQL, op7_exact_top_k
+from quillmint.llm.warc import op10_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op7_exact_top_k": op7_exact_top_k,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_exact_top_k": OP7_SQL}
