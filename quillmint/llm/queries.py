@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmint.llm.minhash_dedup import op2_minhash_dedup
+from quillmint.llm.nbsvm import op6_quality_classifier, op8_toxicity
 from quillmint.llm.packing import op3_best_fit_packing
 from quillmint.llm.quality_rules import op5_quality_rules
 from quillmint.llm.secrets import op4_secret_scans
@@ -19,7 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_secret_scans": op4_secret_scans,
     "op5_quality_rules": op5_quality_rules,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_exact_top_k": op7_exact_top_k,
+    "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_warc": op10_warc,
 }
