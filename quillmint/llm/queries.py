@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillmint.llm.minhash_dedup import op2_minhash_dedup
 from quillmint.llm.nbsvm import op6_quality_classifier, op8_toxicity
 from quillmint.llm.packing import op3_best_fit_packing
+from quillmint.llm.pieces import op1_sentencepiece
 from quillmint.llm.quality_rules import op5_quality_rules
 from quillmint.llm.secrets import op4_secret_scans
 from quillmint.llm.substring_dedup import op9_substring_dedup
@@ -16,6 +17,7 @@ from quillmint.llm.topk import OP7_SQL, op7_exact_top_k
 from quillmint.llm.warc import op10_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_secret_scans": op4_secret_scans,

@@ -73,8 +73,9 @@ def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     base = F.regexp_replace(F.base64(digest), "=", "")
     random = spark.range(strings).select(F.explode(F.array(F.lower(F.hex(digest)), base, F.upper(F.regexp_replace(base, "[+/]", "")))).alias("value"))
     random = random.select("value", F.lit(1).alias("label"))
-    text = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), ASSIGN, " "), f"{ACCESS}|{HEX}", " ")
-    some = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).orderBy(F.xxhash64("doc_id"), F.length("text"), "text").limit(sample_docs)
+    some = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    some = some.orderBy(F.xxhash64("doc_id"), F.length("text"), "text").limit(sample_docs)
+    some = some.select(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), f"{ACCESS}|{HEX}", " ").alias("text"))
     words = some.select(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z0-9_-]{3,}"), F.lit(0)).alias("w"))
     joined = F.transform(F.arrays_zip(F.col("w").alias("a"), F.expr("slice(w, 2, greatest(size(w) - 1, 0))").alias("b")), lambda x: F.concat_ws("_", x["a"], x["b"]))
     ordinary = words.where(F.size("w") > 0).select(F.explode(F.concat("w", joined)).alias("value")).select("value", F.lit(0).alias("label"))
@@ -97,7 +98,7 @@ def train(samples: DataFrame) -> tuple[Column, float]:
 
     Only counts of transitions, at most 2 * 67 * 67 of them, and two quantiles reach the driver.
     """
-    samples = samples.where(F.length("value") >= 2)
+    samples = stage(samples.where(F.length("value") >= 2), "secret-samples")
     pairs = samples.select("label", F.explode(F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.substring("value", i, 2))).alias("pair"))
     counts = {(r["label"], r["pair"]): r["n"] for r in pairs.groupBy("label", "pair").agg(F.count("*").alias("n")).collect()}
     table = []
