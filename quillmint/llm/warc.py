@@ -34,7 +34,7 @@ EMPTY_FRAME = struct.pack("<II", 0x184D2A50, 0)
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-ARCHIVE_BYTES = 32 << 20  # of payloads in one archive, about
+ARCHIVE_BYTES = 16 << 20  # of payloads in one archive, about
 DICTIONARY_BYTES, DICTIONARY_PAGES = 64 << 10, 2000
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
@@ -167,7 +167,11 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     """Write a record per row into archives under ``path``."""
     payload = F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("sha", F.sha1("payload"))
-    first = rows.groupBy("sha").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n"), F.sum(F.length("payload")).alias("bytes"))
+    key = ["known", "number", "sha"]
+    rows = rows.withColumn("known", F.col("page_id").isNotNull()).withColumn("number", F.coalesce("page_id", F.lit(0).cast("long")))
+    first = rows.groupBy("sha").agg(F.max("page_id").alias("first_id"))
+    # The payloads move once, dealt by page and not by payload, so that many copies of a page spread over the archives.
+    role = rows.select(*key).distinct().join(first, "sha")
     total = rows.agg(F.sum(F.length("payload")), F.count("*")).first()
     archives = max(1, -(-(total[0] or 0) // ARCHIVE_BYTES), -(-total[1] // 200_000))
     lead = struct.pack("<II", DICTIONARY_MAGIC, len(held := train_dictionary(rows))) + held
@@ -187,15 +191,16 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                     out.append(press.compress(record))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
-    # Archives are dealt by page, not by payload, so that many copies of a page spread over them.
-    joined = rows.join(first.select("sha", "first_id").hint("shuffle_hash"), "sha").select("page_id", "url", "payload", "first_id")
-    dealt = joined.repartition(archives, F.xxhash64("page_id", "url"))
+    dealt = rows.repartition(archives, *key).join(role.repartition(archives, *key), key).select("page_id", "url", "payload", "first_id")
     lines = dealt.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
     lines.write.option("lineSep", EMPTY_FRAME.decode("latin-1")).text(path)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives under ``path``, validated; one archive is held in memory at a time."""
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """The records of all archives under ``path``, validated; one archive is held in memory at a time.
+
+    Without ``payloads`` every payload is still decoded and validated, but does not leave the task.
+    """
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
@@ -210,7 +215,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 try:
                     for raw in read_archive(batch.column(1)[i].as_py()):
                         held.append(parse_record(raw))
-                        size += len(raw)
+                        if not payloads:
+                            held[-1]["payload"] = None
+                        size += len(raw) if payloads else 256
                         if size > 4 << 20:
                             yield batch_of(held)
                             held, size = [], 0
@@ -226,4 +233,4 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archives(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
