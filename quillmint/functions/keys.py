@@ -84,4 +84,4 @@ def account(*parts: Column) -> Column:
 
 
 def luhn(x: Column) -> Column:
-    return F.luhn_check(F.regexp_replace(x, "[^0-9]", ""))
+    return F.call_function("luhn_check", F.regexp_replace(x, "[^0-9]", ""))

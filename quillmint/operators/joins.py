@@ -62,32 +62,37 @@ def one_keystroke(a: Column, b: Column) -> Column:
     return (d == 1) | (swap & near)
 
 
-def greedy_match(left: DataFrame, right: DataFrame, keys: Sequence[str], within: float) -> DataFrame:
+def greedy_match(left: DataFrame, right: DataFrame, keys: Sequence[str], within: float, buckets: int = 64) -> DataFrame:
     """Match rows of equal ``keys`` one to one: left in (at, id) order takes the free right row of the same sign and
     amount within a tolerance that is nearest in date, then smallest in id.
 
-    Both sides have id, at (date) and amount (double). Keys are expected to be document numbers of one vendor, so
-    a group is a handful of rows; groups are cogrouped and never meet another key.
+    Both sides have id, at (date) and amount (double). Keys are document numbers of one vendor, a handful of rows
+    each; many keys share one of ``buckets`` tasks, so that a task's overhead is paid once and not per key.
     """
-
-    def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a):
-            return pd.DataFrame({"left_id": [], "right_id": []}, dtype="int64")
-        free = [] if not len(b) else b.sort_values(["at", "id"]).to_dict("records")
-        out = []
-        for x in a.sort_values(["at", "id"]).to_dict("records"):
-            best = None
-            for y in free:
-                if x["amount"] * y["amount"] >= 0 and abs(x["amount"] - y["amount"]) <= within:
-                    rank = (abs((x["at"] - y["at"]).days), y["id"])
-                    if best is None or rank < best[0]:
-                        best = rank, y
+    columns = [*keys, "id", "at", "amount"]
+    both = left.select(*columns, F.lit(0).alias("side")).unionByName(right.select(*columns, F.lit(1).alias("side")))
+
+    def match(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["at", "id"])
+        open_: dict[tuple, list] = {}
+        taken = []
+        own = list(zip(*(rows[k] for k in keys), strict=True))
+        for key, side, i, at, amount in zip(own, rows["side"], rows["id"], rows["at"], rows["amount"], strict=True):
+            if side:
+                open_.setdefault(key, []).append((i, at, amount))
+        for key, side, i, at, amount in zip(own, rows["side"], rows["id"], rows["at"], rows["amount"], strict=True):
+            if side:
+                continue
+            free = open_.get(key, [])
+            fits = [(abs((at - y[1]).days), y[0], n) for n, y in enumerate(free) if amount * y[2] >= 0 and abs(amount - y[2]) <= within]
+            best = min(fits, default=None)
             if best:
-                free.remove(best[1])
-            out.append((x["id"], best[1]["id"] if best else None))
-        return pd.DataFrame(out, columns=["left_id", "right_id"]).astype({"left_id": "int64", "right_id": "Int64"})
+                free.pop(best[2])
+            taken.append((i, best[1] if best else None))
+        return pd.DataFrame(taken, columns=["left_id", "right_id"]).astype({"left_id": "int64", "right_id": "Int64"})
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(match, "left_id long, right_id long")
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets))
+    return both.withColumn("_bucket", bucket).groupBy("_bucket").applyInPandas(match, "left_id long, right_id long")
 
 
 def token_overlap(a: Column, b: Column) -> Column:

@@ -57,8 +57,8 @@ def latest_corrected(spark: SparkSession, sf: str) -> DataFrame:
 
 
 LATEST_CORRECTED = f"""with r as (select *, row_number() over (partition by actor order by happened desc, event_id desc) as n from {A}),
-  s as (select *, row_number() over (partition by actor order by happened desc, event_id desc) as k from r where n <= 20 and value >= 50)
-  select actor, event_id, cast(k as integer) as k from s where k <= 3"""
+  s as (select *, row_number() over (partition by actor order by happened desc, event_id desc) as nth from r where n <= 20 and value >= 50)
+  select actor, event_id, cast(nth as integer) as k from s where nth <= 3"""
 
 
 def latest_per_key(spark: SparkSession, sf: str) -> DataFrame:

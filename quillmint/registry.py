@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with a list QUERIES of (name, query, SQL or None).
-MODULES: tuple[str, ...] = ("quillmint.plans.spend", "quillmint.plans.matching", "quillmint.plans.activity")
+MODULES: tuple[str, ...] = ("quillmint.plans.spend", "quillmint.plans.matching", "quillmint.plans.activity", "quillmint.plans.expressions")
 
 
 def _entries() -> Iterator[tuple[str, Callable[[SparkSession, str], DataFrame], str | None]]:

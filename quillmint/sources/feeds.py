@@ -27,7 +27,7 @@ def land(feed: DataFrame, root: str, sequence: int) -> str:
 def landed(spark: SparkSession, root: str, keys: list[str], marker: str = "row_marker") -> DataFrame:
     """The state that all batches of a landing zone amount to: each key's last row, deleted keys left out."""
     batches = spark.read.option("recursiveFileLookup", "true").parquet(root)
-    number = F.regexp_extract(F.input_file_name(), "/([0-9]{20})/", 1)
     rest = [c for c in batches.columns if c not in keys]
-    last = batches.groupBy(*keys).agg(F.max_by(F.struct(*rest), number).alias("x"))
+    numbered = batches.withColumn("_batch", F.regexp_extract(F.input_file_name(), "/([0-9]{20})/", 1))
+    last = numbered.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("x"))
     return last.where(F.col(f"x.{marker}") == UPSERT).select(*keys, *(F.col(f"x.{c}").alias(c) for c in rest if c != marker))
