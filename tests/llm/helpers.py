@@ -1,0 +1,43 @@
+"""Small tables for the corpus operators, edge cases included."""
+
+import random
+
+import pyarrow.parquet as pq
+
+from tests.conftest import SF
+
+ODD = [
+    (9001, None), (9002, ""), (9003, "   \n\t "), (9004, "one two"), (9005, "One  two"), (9006, "é" * 400), (9007, "word " * 30_000), (9008, "x" * 200_000), (None, "a text without an id that is long enough to count"),
+]
+
+
+def documents(n=200):
+    t = pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text"]).slice(0, n)
+    return list(zip(t["doc_id"].to_pylist(), t["text"].to_pylist(), strict=True))
+
+
+def frame(spark, rows, extra=True):
+    """Documents with extra columns whose names clash with the operators' own."""
+    if not extra:
+        return spark.createDataFrame(rows, "doc_id long, text string")
+    return spark.createDataFrame([(i, t, "key", 1, None) for i, t in rows], "doc_id long, text string, key string, n_words int, component_id string").repartition(3)
+
+
+def prose(rng, n, words=400):
+    return [rng.choice(VOCABULARY[:words]) for _ in range(n)]
+
+
+_r = random.Random(1)
+VOCABULARY = ["".join(_r.choice("abcdefghij") for _ in range(_r.randint(2, 8))) for _ in range(2000)]
+
+
+def words_of(text):
+    return (text or "").encode().split()
+
+
+def shingles_of(text, n=5, lower=True):
+    w = (text or "").encode()
+    w = (w.lower() if lower else w).split()
+    if not w:
+        return frozenset()
+    return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)])
