@@ -30,6 +30,7 @@ KINDS = ("assign", "access", "hex", "markov")
 RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,400}[0-9])(?=[0-9+/_=-]{0,400}[A-Za-z])[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIZE = len(ALPHABET)
+BACK_OFF = 10.0  # weight of the back-off, in transitions
 SPAN = "struct<start:int,end:int,value:string>"
 REDACTED = "<SECRET>"
 
@@ -76,7 +77,7 @@ def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     some = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     some = some.orderBy(F.xxhash64("doc_id"), F.length("text"), "text").limit(sample_docs)
     some = some.select(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), f"{ACCESS}|{HEX}", " ").alias("text"))
-    words = some.select(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z0-9_-]{3,}"), F.lit(0)).alias("w"))
+    words = some.select(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z0-9_-]{3,63}"), F.lit(0)).alias("w"))
     joined = F.transform(F.arrays_zip(F.col("w").alias("a"), F.expr("slice(w, 2, greatest(size(w) - 1, 0))").alias("b")), lambda x: F.concat_ws("_", x["a"], x["b"]))
     ordinary = words.where(F.size("w") > 0).select(F.explode(F.concat("w", joined)).alias("value")).select("value", F.lit(0).alias("label"))
     return random.unionByName(ordinary)
@@ -85,12 +86,15 @@ def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def _ratio(table: Column, value: Column) -> Column:
     """Mean log-likelihood ratio of a string's transitions: random over ordinary."""
     letters = F.lit(ALPHABET)
+    state = F.struct(F.lit(0).alias("before"), F.lit(0.0).alias("total"))
 
-    def step(acc: Column, i: Column) -> Column:
-        a, b = F.instr(letters, F.substring(value, i, 1)), F.instr(letters, F.substring(value, i + 1, 1))
-        return acc + F.coalesce(F.get(table, (a - 1) * SIZE + b - 1), F.lit(0.0))
+    def step(acc: Column, c: Column) -> Column:
+        now = F.instr(letters, c)
+        added = F.when(acc["before"] > 0, F.coalesce(F.get(table, (acc["before"] - 1) * SIZE + now - 1), F.lit(0.0))).otherwise(0.0)
+        return F.struct(now.alias("before"), (acc["total"] + added).alias("total"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(value) - 1), F.lit(0.0), step) / (F.length(value) - 1)
+    characters = F.regexp_extract_all(value, F.lit("."), F.lit(0))
+    return F.aggregate(characters, state, step, lambda acc: acc["total"]) / (F.length(value) - 1)
 
 
 def train(samples: DataFrame) -> tuple[Column, float]:
@@ -99,16 +103,22 @@ def train(samples: DataFrame) -> tuple[Column, float]:
     Only counts of transitions, at most 2 * 67 * 67 of them, and two quantiles reach the driver.
     """
     samples = stage(samples.where(F.length("value") >= 2), "secret-samples")
-    pairs = samples.select("label", F.explode(F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.substring("value", i, 2))).alias("pair"))
+    pairs = samples.select("label", F.explode(F.regexp_extract_all("value", F.lit("(?=(..))"), F.lit(1))).alias("pair"))
     counts = {(r["label"], r["pair"]): r["n"] for r in pairs.groupBy("label", "pair").agg(F.count("*").alias("n")).collect()}
+    # Transitions back off to how often the second character follows any: a digit is odd in a word after whatever.
+    share, totals = {}, {}
+    for label in (0, 1):
+        follows = {b: sum(counts.get((label, a + b), 0) for a in ALPHABET) for b in ALPHABET}
+        whole = sum(follows.values()) + 0.5 * SIZE
+        share |= {(label, b): (n + 0.5) / whole for b, n in follows.items()}
+        totals |= {(label, a): sum(counts.get((label, a + b), 0) for b in ALPHABET) for a in ALPHABET}
     table = []
-    totals = {(label, a): sum(counts.get((label, a + b), 0) for b in ALPHABET) for label in (0, 1) for a in ALPHABET}
     for a in ALPHABET:
         for b in ALPHABET:
-            p, q = ((counts.get((label, a + b), 0) + 0.5) / (totals[label, a] + 0.5 * SIZE) for label in (1, 0))
+            p, q = ((counts.get((label, a + b), 0) + BACK_OFF * share[label, b]) / (totals[label, a] + BACK_OFF) for label in (1, 0))
             table.append(math.log(p / q))
     ratios = F.lit(table)
-    scored = samples.where(F.length("value") >= 8).select("label", _ratio(ratios, F.col("value")).alias("ratio"))
+    scored = samples.where(F.length("value") >= 16).select("label", _ratio(ratios, F.col("value")).alias("ratio"))
     found = scored.groupBy("label").agg(F.percentile("ratio", F.array(F.lit(0.01), F.lit(0.999))).alias("q")).collect()
     q = {r["label"]: r["q"] for r in found}
     if 0 not in q or 1 not in q:
