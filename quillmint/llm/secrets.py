@@ -119,7 +119,7 @@ def train(samples: DataFrame) -> tuple[Column, float]:
             table.append(math.log(p / q))
     ratios = F.lit(table)
     scored = samples.where(F.length("value") >= 16).select("label", _ratio(ratios, F.col("value")).alias("ratio"))
-    found = scored.groupBy("label").agg(F.percentile("ratio", F.array(F.lit(0.01), F.lit(0.999))).alias("q")).collect()
+    found = scored.groupBy("label").agg(F.percentile("ratio", F.array(F.lit(0.01), F.lit(0.98))).alias("q")).collect()
     q = {r["label"]: r["q"] for r in found}
     if 0 not in q or 1 not in q:
         return ratios, math.inf

@@ -214,7 +214,7 @@ def base_spans(t):
 def test_secrets(spark):
     rows = documents(150) + ODD + [(5000 + k, t) for k, t in enumerate(PLANTED)]
     docs = frame(spark, rows)
-    found = secrets.with_secrets(docs, secrets.labelled_samples(docs), keep=tuple(docs.columns))
+    found = secrets.with_secrets(docs, secrets.labelled_samples(frame(spark, documents(150))), keep=tuple(docs.columns))
     got = found.withColumns({"base": secrets.joined("_base"), "all": secrets.joined("_all"), "clean": secrets.redacted(F.coalesce("text", F.lit("")), "_all")}).collect()
     assert len(got) == len(rows)
     for r in got:
