@@ -88,17 +88,17 @@ def test_segmentation_is_the_best(unigram):
 
 
 def test_segmentation_is_the_librarys(unigram, library):
-    """The library's lattice search; its ids differ only where scores tie."""
-    texts = [t[:150] for _, t in documents(60)] + TRICKY[1:]
-    same = 0
+    """The library's lattice search (its plain encoding is another, which can score less): equal but for ties."""
+    # One line each: a byte piece costs a thousand million, beside which the library's single precision loses the rest.
+    texts = [t.split("\n")[0][:150] for _, t in documents(60)] + TRICKY[1:]
+    compared = 0
     for t, got in zip(texts, unigram.encode(texts), strict=True):
-        want = library.nbest_encode_as_ids(t, 1)[0] if "�" not in t else None
-        total = lambda x: sum(unigram.score[i] for i in x)
-        if ids(got) == want:
-            same += 1
-        elif not any(unigram.pieces[i][2] == pieces.BYTE for i in ids(got)):
-            assert total(ids(got)) >= total(want), t  # the library adds in single precision
-    assert same > len(texts) * 0.7
+        want = library.nbest_encode_as_ids(t, 2)[0]
+        if ids(got) != want and any(unigram.pieces[i][2] == pieces.BYTE for i in ids(got)):
+            continue
+        compared += 1
+        assert sum(unigram.score[i] for i in ids(got)) == sum(unigram.score[i] for i in want), t
+    assert compared > 55
 
 
 @settings(max_examples=150, deadline=None)
