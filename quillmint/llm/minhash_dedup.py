@@ -112,7 +112,7 @@ def links_in_group(ids: np.ndarray, side: np.ndarray, value: np.ndarray, offsets
     """
     n = len(ids)
     order = np.lexsort((ids, np.diff(offsets)))
-    token = np.unique(value, return_inverse=True)[1] if len(value) else np.zeros(0, np.int64)
+    token = np.unique(value, return_inverse=True)[1].astype(np.int32) if len(value) else np.zeros(0, np.int32)
     flags = np.zeros(int(token.max()) + 1 if len(token) else 1, bool)
     size = np.diff(offsets)[order]
     token = np.concatenate([token[offsets[i] : offsets[i + 1]] for i in order])
@@ -138,41 +138,36 @@ def links_in_group(ids: np.ndarray, side: np.ndarray, value: np.ndarray, offsets
     return found
 
 
-def _group_links(groups: Iterator[tuple[list, list, list]]) -> Iterator[pa.RecordBatch]:
-    for ids, sides, texts in groups:
-        values, offsets, base = [], [np.zeros(1, np.int64)], 0
-        for part in tk.slices(pa.array(texts, pa.large_binary())):
-            value, limit = _sets(part)
-            values.append(value)
-            offsets.append(limit[1:] + base)
-            base += len(value)
-        found = links_in_group(np.array(ids), np.array(sides), np.concatenate(values), np.concatenate(offsets))
-        if found:
-            a, b = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["u", "v"])
-
-
 def confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, side, doc_id, text) come sorted by key; each key's rows are one bounded group."""
+    """Rows (key, side, doc_id, text) come sorted by key; each key's rows are one bounded group.
+
+    Texts become sets as they come, so a group is held as its shingles alone.
+    """
 
     def groups() -> Iterator[tuple[list, list, list]]:
-        key, ids, sides, texts = None, [], [], []
+        key, ids, sides, values = None, [], [], []
         for batch in batches:
-            keys, side, doc, text = (batch.column(k) for k in range(4))
-            names = keys.to_pylist()
-            side, doc = side.to_pylist(), doc.to_pylist()
-            for i, k in enumerate(names):
-                if k != key:
-                    if len(ids) > 1:
-                        yield ids, sides, texts
-                    key, ids, sides, texts = k, [], [], []
-                ids.append(doc[i])
-                sides.append(side[i])
-                texts.append(text[i].as_py() or b"")
+            names, side, doc = (batch.column(k).to_pylist() for k in range(3))
+            for part in tk.slices(batch.column(3)):
+                value, limits = _sets(part)
+                for i in range(len(limits) - 1):
+                    at = part.first + i
+                    if names[at] != key:
+                        if len(ids) > 1:
+                            yield ids, sides, values
+                        key, ids, sides, values = names[at], [], [], []
+                    ids.append(doc[at])
+                    sides.append(side[at])
+                    values.append(value[limits[i] : limits[i + 1]].copy())
         if len(ids) > 1:
-            yield ids, sides, texts
+            yield ids, sides, values
 
-    yield from _group_links(groups())
+    for ids, sides, values in groups():
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in values])]).astype(np.int64)
+        found = links_in_group(np.array(ids), np.array(sides), np.concatenate(values), offsets)
+        if found:
+            a, b = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["u", "v"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -81,13 +81,16 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
     return number, offset
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of every whole text: doc_id, piece, start, length and ids (unsigned little-endian 32-bit, binary)."""
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", cached_words: int = 500_000) -> DataFrame:
+    """Pieces of every whole text: doc_id, piece, start, length and ids (unsigned little-endian 32-bit, binary).
+
+    A worker remembers the ids of up to twice ``cached_words`` words, at about 200 bytes each.
+    """
     end = np.array([end_id], "<u4").tobytes()
     width = 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = word_coder(tokenizer)
+        coder = word_coder(tokenizer, cached_words)
         for batch in batches:
             for part in tk.slices(batch.column(1)):
                 raw, limits = part.data.tobytes(), part.offsets.tolist()

@@ -42,11 +42,11 @@ class WordCoder:
         return [b"".join(map(get, ws)) for ws in split]
 
 
-_coders: dict[str, WordCoder] = {}
+_coders: dict[tuple[str, int], WordCoder] = {}
 
 
-def word_coder(path: str) -> WordCoder:
+def word_coder(path: str, limit: int = 500_000) -> WordCoder:
     """The worker process's coder for a vocabulary file; its cache serves one task after another."""
-    if path not in _coders:
-        _coders[path] = WordCoder(path)
-    return _coders[path]
+    if (path, limit) not in _coders:
+        _coders[path, limit] = WordCoder(path, limit)
+    return _coders[path, limit]
