@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +36,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def low_share(hashed: Column, wanted: int, rows: int) -> Column:
+    """Whether a 64-bit hash lies among the lowest of ``rows`` hashes, so that about ``wanted`` rows do.
+
+    Before an ordered limit it keeps partitions from sending ``limit`` rows each to where the limit is taken.
+    """
+    share = min(1.0, wanted / max(rows, 1))
+    return F.lit(True) if share == 1.0 else hashed < F.lit(int((1 << 64) * share) - (1 << 63))
+
+
 def unstage(df: DataFrame) -> None:
     """Delete the files of a staged table that no later plan reads."""
     spark = df.sparkSession

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmint.llm.staging import new_path
+from quillmint.llm.staging import low_share, new_path
 
 # Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -155,7 +155,9 @@ def read_archive(data: bytes) -> Iterator[bytes]:
 
 def train_dictionary(pages: DataFrame, pages_used: int = DICTIONARY_PAGES, size: int = DICTIONARY_BYTES) -> bytes:
     """A dictionary from the first 16 KB of at most ``pages_used`` pages; empty where they are too few to train on."""
-    some = pages.select(F.substring(F.col("payload"), 1, 1 << 14).alias("p"), "sha").orderBy("sha").limit(pages_used).collect()
+    drawn = F.xxhash64("page_id", "sha")
+    lowest = pages.where(low_share(drawn, pages_used * 5 // 4, pages.count()))
+    some = lowest.select(drawn.alias("drawn"), F.substring(F.col("payload"), 1, 1 << 14).alias("p")).orderBy("drawn").limit(pages_used).collect()
     samples = [bytes(r["p"]) for r in some if r["p"]]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes() if len(samples) >= 8 else b""
