@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmint.llm.staging import stage
+from quillmint.llm.staging import low_share, stage
 
 # The base patterns, their kinds in listed order, and their least lengths.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -67,7 +67,7 @@ def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Random: digests written in hexadecimal, in both cases of base 64 and in upper case with digits, ``strings`` of
     each. Ordinary: words, and neighbouring words joined as identifiers join them, of the ``sample_docs`` documents
-    of the smallest id hashes, without what the base patterns match.
+    of the smallest id hashes (of text hashes without an id), without what the base patterns match.
     """
     spark = docs.sparkSession
     digest = F.unhex(F.sha2(F.concat(F.lit("quillmint-"), F.col("id").cast("string")), 256))
@@ -75,7 +75,8 @@ def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     random = spark.range(strings).select(F.explode(F.array(F.lower(F.hex(digest)), base, F.upper(F.regexp_replace(base, "[+/]", "")))).alias("value"))
     random = random.select("value", F.lit(1).alias("label"))
     some = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    some = some.orderBy(F.xxhash64("doc_id"), F.length("text"), "text").limit(sample_docs)
+    drawn = F.xxhash64(F.coalesce("doc_id", F.xxhash64("text")))
+    some = some.where(low_share(drawn, 4 * sample_docs, some.count())).orderBy(drawn, F.length("text"), "text").limit(sample_docs)
     some = some.select(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), f"{ACCESS}|{HEX}", " ").alias("text"))
     words = some.select(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z0-9_-]{3,63}"), F.lit(0)).alias("w"))
     joined = F.transform(F.arrays_zip(F.col("w").alias("a"), F.expr("slice(w, 2, greatest(size(w) - 1, 0))").alias("b")), lambda x: F.concat_ws("_", x["a"], x["b"]))
