@@ -171,6 +171,29 @@ def test_near_passages_are_found(spark):
     assert set(longest) == set(range(1, 20)) and min(longest.values()) >= 110
 
 
+def spans_by_text(found):
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+    return got
+
+
+def test_exact_passages_after_variants_that_fail(spark):
+    """Earlier documents hold a passage with words changed, under 0.75; later ones repeat each other exactly."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(12):
+        passage = prose(rng, 50, 2000)
+        for i in range(5):
+            own = list(passage)
+            if i < 3:
+                own[15 + i], own[32 + i] = "changed", "varied"
+            rows.append((100 * i + k, " ".join(prose(rng, 40, 2000) + own + prose(rng, 40, 2000))))
+    got, want = spans_by_text(S.repeated_passages(frame(spark, rows))), covered(rows)
+    assert sum(bool(w) for w in want.values()) == 12
+    assert all(w <= got.get(i, set()) for i, w in want.items())
+
+
 def test_no_passages(spark):
     assert S.repeated_passages(frame(spark, documents(5)).limit(0)).count() == 0
     assert S.repeated_passages(frame(spark, [(1, "short"), (2, "short")])).count() == 0
