@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillmint.llm import minhash_dedup as M
@@ -194,6 +195,32 @@ def test_exact_passages_after_variants_that_fail(spark):
     assert all(w <= got.get(i, set()) for i, w in want.items())
 
 
+def met(leader, follower):
+    """Words of the follower in passages verified against the leader."""
+    values = []
+    for t in (leader, follower):
+        part = next(S.tk.slices(pa.array([t])))
+        values.append(S._shingled(part)[0])
+    a, b = values
+    found = S.passages(b, S.windows_of(b), a, np.argsort(a, kind="stable"), S.windows_of(a))
+    return {k for x, y, _, _ in found for k in range(x, y + S.SHINGLE)}
+
+
+def test_leaders_with_repeated_lines():
+    rng = random.Random(12)
+    for k in range(20):
+        line, passage, foot = prose(rng, 30, 2000), prose(rng, 30, 2000), prose(rng, 25, 2000)
+        for leader, follower in (
+            (line + prose(rng, 80, 2000) + line + passage, line + passage),
+            (passage + line + prose(rng, 80, 2000) + line, passage + line),
+            (line + foot + prose(rng, 60, 2000) + line + passage + foot, line + passage + foot),
+            (line + prose(rng, 60, 2000) + line + passage, line + passage[:12] + ["changed"] + passage[13:] + prose(rng, 40, 2000)),
+        ):
+            exact = leader[-len(follower) :] == follower or leader[: len(follower)] == follower
+            got = met(" ".join(leader), " ".join(follower))
+            assert len(got) >= (len(follower) if exact else 55), k
+
+
 def test_no_passages(spark):
     assert S.repeated_passages(frame(spark, documents(5)).limit(0)).count() == 0
     assert S.repeated_passages(frame(spark, [(1, "short"), (2, "short")])).count() == 0
