@@ -221,6 +221,27 @@ def test_leaders_with_repeated_lines():
             assert len(got) >= (len(follower) if exact else 55), k
 
 
+def test_repeated_ids_with_different_texts(spark):
+    rng = random.Random(13)
+    one, two = prose(rng, 60, 2000), prose(rng, 60, 2000)
+    long, clean = prose(rng, 90, 2000), prose(rng, 40, 2000)
+    texts = {1: [one + prose(rng, 30, 2000), prose(rng, 30, 2000) + two], 2: [long + one, long + two, clean, clean]}
+    rows = [(i, " ".join(t)) for i, several in texts.items() for t in several] + [(3, " ".join(prose(rng, 80, 2000)))]
+    rows += [(4, rows[-1][1]), (4, " ".join(prose(rng, 70, 2000)))]
+    docs = frame(spark, rows)
+    cut = sorted((r["doc_id"], r["text"]) for r in S.without_repeats(docs, S.repeated_passages(docs)).collect())
+    left = [r for r in rows if r[0] in (1, 3)] + [(2, " ".join(long))] * 2 + [(2, " ".join(clean))] * 2 + [(4, ""), rows[-1]]
+    assert cut == sorted(left)
+
+
+def test_near_dedup_keeps_rows_without_an_id(spark):
+    import corpus_pipeline
+
+    rows = [(None, "a text without an id"), (None, "a text without an id"), (1, "one two three"), (1, "one two three"), (1, "four five six")]
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.near_dedup(spark, frame(spark, rows), "").collect())
+    assert kept == [(0, "a text without an id")] * 2 + [(1, "four five six"), (1, "one two three")]
+
+
 def test_no_passages(spark):
     assert S.repeated_passages(frame(spark, documents(5)).limit(0)).count() == 0
     assert S.repeated_passages(frame(spark, [(1, "short"), (2, "short")])).count() == 0
