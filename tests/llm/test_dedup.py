@@ -7,8 +7,10 @@ import pyarrow as pa
 import pytest
 
 from quillmint.llm import minhash_dedup as M
+from quillmint.llm import holders
 from quillmint.llm import substring_dedup as S
 from quillmint.llm.components import components
+from quillmint.llm.holders import shared_keys
 from tests.llm.helpers import ODD, documents, frame, prose, shingles_of, words_of
 
 
@@ -115,7 +117,7 @@ def test_compact_windows(top):
                     while right < n - 1 and x[right + 1] >= x[c]:
                         right += 1
                     want.add((left, c, right))
-            assert set(zip(*(v.tolist() for v in S.compact_windows(x, width)), strict=True)) == want
+            assert set(zip(*(v.tolist() for v in S.compact_windows(x, np.array([0, n]), width)), strict=True)) == want
 
 
 def covered(rows, least=50):
@@ -195,14 +197,42 @@ def test_exact_passages_after_variants_that_fail(spark):
     assert all(w <= got.get(i, set()) for i, w in want.items())
 
 
+def test_near_passages_after_variants_that_fail(spark):
+    """As above, but the later documents repeat each other nearly: the holder before leads where the first one fails."""
+    rng = random.Random(14)
+    rows = []
+    for k in range(30):
+        passage = prose(rng, 80, 2000)
+        for i in range(5):
+            own = list(passage)
+            if i < 3:
+                for at in (9, 23 + i, 38, 55 + i, 70):
+                    own[at] = f"changed{i}"
+            else:
+                own[20 * i - 40] = "near"
+            rows.append((100 * i + k, " ".join(prose(rng, 40, 2000) + own + prose(rng, 40, 2000))))
+    got = spans_by_text(S.repeated_passages(frame(spark, rows)))
+    assert sum(len(got.get(400 + k, set()) & set(range(40, 120))) >= 70 for k in range(30)) >= 27
+
+
+def test_hot_keys_have_the_same_holders(spark, monkeypatch):
+    rng = random.Random(15)
+    rows = [(rng.randrange(60), rng.randrange(3), rng.choice([1, 1, 1, 2, 3, rng.randrange(100)])) for _ in range(600)]
+    keys = spark.createDataFrame(rows, "doc_id long, place int, key long")
+    plain = shared_keys(keys, keys.limit(0), ["key"], ["doc_id", "place"], "t").select("doc_id", "place", "first")
+    monkeypatch.setattr(holders, "LOT", 400)
+    hot = shared_keys(keys, keys, ["key"], ["doc_id", "place"], "t")
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, hot.select("doc_id", "place", "first").where("first.doc_id is not null").collect()))
+    assert hot.where("before is not null and before > struct(doc_id, place)").count() == 0
+
+
 def met(leader, follower):
     """Words of the follower in passages verified against the leader."""
-    values = []
+    both = []
     for t in (leader, follower):
-        part = next(S.tk.slices(pa.array([t])))
-        values.append(S._shingled(part)[0])
-    a, b = values
-    found = S.passages(b, S.windows_of(b), a, np.argsort(a, kind="stable"), S.windows_of(a))
+        value, limits = S._shingled(next(S.tk.slices(pa.array([t]))))
+        both.append((value, S.windows_of(value, limits)[0]))
+    found = S.passages(*both[1], S.leader_of(*both[0]))
     return {k for x, y, _, _ in found for k in range(x, y + S.SHINGLE)}
 
 
