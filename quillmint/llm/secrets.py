@@ -1,9 +1,10 @@
 """Operator 4: secret scans with base patterns and character Markov models, in DataFrame expressions only.
 
 Three base patterns find assignments, access keys and hexadecimal runs. A pair of first-order character models, one of
-random strings and one of ordinary identifiers, is trained from labelled samples; an unbroken run of 16 or more
-characters with a letter and a digit that no base match touches is a secret too where the mean log-likelihood ratio
-of its transitions exceeds a threshold calibrated on the same samples. The model is a table of 66 x 66 ratios.
+random strings and one of ordinary identifiers, is trained from labelled samples: generated digests are the random
+ones, every run of identifier characters that no base pattern touches, of all documents, counts as an ordinary one.
+An unbroken run of 16 or more characters that no base match touches is a secret too where the mean log-likelihood
+ratio of its transitions exceeds a threshold calibrated on the same samples. The model is a table of 67 x 67 ratios.
 
 Positions follow from splitting a text at the matches: the pieces' and matches' lengths add up to code points.
 
@@ -15,11 +16,12 @@ strings only and finds nothing.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmint.llm.staging import low_share, stage
+from quillmint.llm.staging import stage, tidy
 
 # The base patterns, their kinds in listed order, and their least lengths.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -27,16 +29,27 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "markov")
 
-RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,400}[0-9])(?=[0-9+/_=-]{0,400}[A-Za-z])[A-Za-z0-9+/_=-]{16,}"
+RUN = r"[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIZE = len(ALPHABET)
-BACK_OFF = 10.0  # weight of the back-off, in transitions
+BACK_OFF, EVEN = 0.02, 0.001  # shares of the back-off to single characters, and of the even spread in that
+GRAIN = 1000  # steps of a ratio in the histogram
+ORDINARY_BELOW, RANDOM_BELOW = 0.999, 0.01
+CHUNK = 256  # matches that are placed together before the chunks are
 SPAN = "struct<start:int,end:int,value:string>"
 REDACTED = "<SECRET>"
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _spans(text: Column, pattern: str, group: int = 0) -> Column:
-    """Leftmost non-overlapping matches as array<struct<start, end, value>>; value is the given group."""
+    """Leftmost non-overlapping matches as array<struct<start, end, value>>; value is the given group.
+
+    Matches are placed within chunks and the chunks within the text, so that no step copies all matches before it.
+    """
     p = F.lit(pattern)
     zipped = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("hit"), F.regexp_extract_all(text, p, F.lit(group)).alias("value")
@@ -44,13 +57,26 @@ def _spans(text: Column, pattern: str, group: int = 0) -> Column:
     none = F.expr(f"cast(array() as array<{SPAN}>)")
     state = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
+    def moved(x: Column, by: Column) -> Column:
+        return F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["value"].alias("value"))
+
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
         added = F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))))
         return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), added.alias("out")))
 
-    return F.when(F.rlike(text, p), F.aggregate(zipped, state, step, lambda acc: acc["out"])).otherwise(none)
+    def chunks(z: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(z), F.lit(1)), F.lit(CHUNK))
+        return F.transform(starts, lambda i: F.aggregate(F.slice(z, i, F.lit(CHUNK)), state, step))
+
+    outer = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<array<{SPAN}>>)").alias("out"))
+
+    def placed(acc: Column, c: Column) -> Column:
+        return F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["out"], F.array(F.transform(c["out"], lambda x: moved(x, acc["at"])))).alias("out"))
+
+    found = F.aggregate(_once(zipped, chunks), outer, placed, lambda acc: F.flatten(acc["out"]))
+    return F.when(F.rlike(text, p), found).otherwise(none)
 
 
 def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -62,25 +88,21 @@ def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_
     )
 
 
-def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 1000, strings: int = 2000) -> DataFrame:
-    """Labelled strings (value, label): random strings as 1, ordinary identifiers as 0.
+def labelled_samples(docs: DataFrame, text_col: str = "text", strings: int = 2000) -> DataFrame:
+    """Labelled strings (value, label, n): random strings as 1, ordinary identifiers as 0, and how often they occur.
 
     Random: digests written in hexadecimal, in both cases of base 64 and in upper case with digits, ``strings`` of
-    each. Ordinary: words, and neighbouring words joined as identifiers join them, of the ``sample_docs`` documents
-    of the smallest id hashes (of text hashes without an id), without what the base patterns match.
+    each. Ordinary: the runs of identifier characters of all documents without what the base patterns match. A run
+    counts with a joint before and behind it, as identifiers join words.
     """
     spark = docs.sparkSession
     digest = F.unhex(F.sha2(F.concat(F.lit("quillmint-"), F.col("id").cast("string")), 256))
     base = F.regexp_replace(F.base64(digest), "=", "")
     random = spark.range(strings).select(F.explode(F.array(F.lower(F.hex(digest)), base, F.upper(F.regexp_replace(base, "[+/]", "")))).alias("value"))
-    random = random.select("value", F.lit(1).alias("label"))
-    some = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    drawn = F.xxhash64(F.coalesce("doc_id", F.xxhash64("text")))
-    some = some.where(low_share(drawn, 4 * sample_docs, some.count())).orderBy(drawn, F.length("text"), "text").limit(sample_docs)
-    some = some.select(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), f"{ACCESS}|{HEX}", " ").alias("text"))
-    words = some.select(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z0-9_-]{3,63}"), F.lit(0)).alias("w"))
-    joined = F.transform(F.arrays_zip(F.col("w").alias("a"), F.expr("slice(w, 2, greatest(size(w) - 1, 0))").alias("b")), lambda x: F.concat_ws("_", x["a"], x["b"]))
-    ordinary = words.where(F.size("w") > 0).select(F.explode(F.concat("w", joined)).alias("value")).select("value", F.lit(0).alias("label"))
+    random = random.select("value", F.lit(1).alias("label"), F.lit(1).cast("long").alias("n"))
+    text = F.regexp_replace(F.regexp_replace(F.col(text_col).cast("string"), ASSIGN, " "), f"{ACCESS}|{HEX}", " ")
+    words = docs.select(F.explode(F.regexp_extract_all(text, F.lit("[A-Za-z0-9+/_=-]+"), F.lit(0))).alias("word"))
+    ordinary = words.groupBy("word").agg(F.count("*").alias("n")).select(F.concat(F.lit("_"), "word", F.lit("_")).alias("value"), F.lit(0).alias("label"), "n")
     return random.unionByName(ordinary)
 
 
@@ -101,32 +123,48 @@ def _ratio(table: Column, value: Column) -> Column:
 def train(samples: DataFrame) -> tuple[Column, float]:
     """The table of log-likelihood ratios as an array column, and the calibrated threshold.
 
-    Only counts of transitions, at most 2 * 67 * 67 of them, and two quantiles reach the driver.
+    Only counts of transitions, at most 2 * 67 * 67 of them, and two quantiles reach the driver. The threshold lies
+    midway between the 99.9th percentile of ordinary text, run by run as it comes, and the first of random strings.
     """
     samples = stage(samples.where(F.length("value") >= 2), "secret-samples")
-    pairs = samples.select("label", F.explode(F.regexp_extract_all("value", F.lit("(?=(..))"), F.lit(1))).alias("pair"))
-    counts = {(r["label"], r["pair"]): r["n"] for r in pairs.groupBy("label", "pair").agg(F.count("*").alias("n")).collect()}
-    # Transitions back off to how often the second character follows any: a digit is odd in a word after whatever.
+    pairs = samples.select("label", "n", F.explode(F.regexp_extract_all("value", F.lit("(?=(..))"), F.lit(1))).alias("pair"))
+    counts = {(r["label"], r["pair"]): r["n"] for r in pairs.groupBy("label", "pair").agg(F.sum("n").alias("n")).collect()}
+    # Shares, not counts, smooth the transitions, so that ratios do not depend on how much text there is.
     share, totals = {}, {}
     for label in (0, 1):
         follows = {b: sum(counts.get((label, a + b), 0) for a in ALPHABET) for b in ALPHABET}
-        whole = sum(follows.values()) + 0.5 * SIZE
-        share |= {(label, b): (n + 0.5) / whole for b, n in follows.items()}
+        whole = max(sum(follows.values()), 1)
+        share |= {(label, b): (1 - EVEN) * n / whole + EVEN / SIZE for b, n in follows.items()}
         totals |= {(label, a): sum(counts.get((label, a + b), 0) for b in ALPHABET) for a in ALPHABET}
-    table = []
-    for a in ALPHABET:
-        for b in ALPHABET:
-            p, q = ((counts.get((label, a + b), 0) + BACK_OFF * share[label, b]) / (totals[label, a] + BACK_OFF) for label in (1, 0))
-            table.append(math.log(p / q))
-    ratios = F.lit(table)
-    scored = samples.where(F.length("value") >= 16).select("label", _ratio(ratios, F.col("value")).alias("ratio"))
-    found = scored.groupBy("label").agg(F.percentile("ratio", F.array(F.lit(0.01), F.lit(0.98))).alias("q")).collect()
-    q = {r["label"]: r["q"] for r in found}
-    if 0 not in q or 1 not in q:
+
+    def rate(label: int, a: str, b: str) -> float:
+        seen = totals[label, a]
+        own = counts.get((label, a + b), 0) / seen if seen else share[label, b]
+        return (1 - BACK_OFF) * own + BACK_OFF * share[label, b]
+
+    ratios = F.lit([math.log(rate(1, a, b) / rate(0, a, b)) for a in ALPHABET for b in ALPHABET])
+    long = (F.col("label") == 0) | (F.length("value") >= 16)
+    # Ratios lie within a few dozen, so their histogram is small whatever the number of strings.
+    step = F.floor(_ratio(ratios, F.col("value")) * GRAIN).cast("int").alias("step")
+    held: dict[int, list[tuple[int, int]]] = {0: [], 1: []}
+    for r in samples.where(long).select("label", "n", step).groupBy("label", "step").agg(F.sum("n").alias("n")).collect():
+        held[r["label"]].append((r["step"], r["n"]))
+    if not held[0] or not held[1]:
         return ratios, math.inf
-    return ratios, (max(q[0][1], 0.0) + q[1][0]) / 2
+    return ratios, (max(_quantile(held[0], ORDINARY_BELOW), 0.0) + _quantile(held[1], RANDOM_BELOW)) / 2
+
+
+def _quantile(histogram: list[tuple[int, int]], share: float) -> float:
+    """The ratio that a share of a histogram's strings does not exceed."""
+    rest = share * sum(n for _, n in histogram)
+    for step, n in sorted(histogram):
+        rest -= n
+        if rest <= 0:
+            break
+    return step / GRAIN
 
 
+@tidy
 def with_secrets(docs: DataFrame, samples: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, _base and _all: sorted spans as array<struct<start, rank, end>>; rank indexes KINDS."""
     found = stage(scan(docs, text_col, keep), "secret-matches")
@@ -150,15 +188,15 @@ def joined(spans: str) -> Column:
 
 def redacted(text: Column, spans: str) -> Column:
     """The text with every span, overlapping ones as one, replaced by REDACTED."""
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    state = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        fresh = F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(REDACTED)).alias("out"))
+        fresh = F.struct(x["end"].alias("at"), F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(REDACTED))).alias("out"))
         longer = F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))
         return F.when(x["start"] >= acc["at"], fresh).otherwise(longer)
 
     return F.when(F.size(spans) == 0, text).otherwise(
-        F.aggregate(spans, state, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
+        F.aggregate(spans, state, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
     )
 
 
