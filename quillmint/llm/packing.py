@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmint.llm import textkit as tk
-from quillmint.llm.staging import stage
+from quillmint.llm.staging import stage, tidy
 from quillmint.llm.tokenise import word_coder
 
 CAPACITY, END_ID = 4096, 1
-GROUP_PIECES, REFILL = 16_384, 0.97
+GROUP_PIECES, REFILL = 8192, 0.97
 
 
 class BestFit:
@@ -146,20 +146,22 @@ def _pack_groups(pieces: DataFrame, groups: int, first: int, capacity: int) -> D
     return dealt.mapInArrow(pack, f"{schema}, _pack_group int, sequence_id long, offset long, _pack_fill long").drop("_pack_group")
 
 
+@tidy
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, refill: float = REFILL) -> DataFrame:
-    """Add sequence_id and offset to rows with a column length (1 to ``capacity``); other columns ride along."""
+    """Add sequence_id and offset to rows with a column length (1 to ``capacity``); other columns are joined again by row."""
     kept = pieces.columns
     full = F.col("length") == capacity
     rows = stage(pieces.withColumn("_pack_row", F.monotonically_increasing_id()), "pieces")
-    n = rows.where(~full).count()
-    once = stage(_pack_groups(rows.where(~full), max(1, -(-n // group_pieces)), 1, capacity), "packed-once")
+    part = rows.where(~full).select("_pack_row", "length")
+    once = stage(_pack_groups(part, max(1, -(-part.count() // group_pieces)), 1, capacity), "packed-once")
     loose = F.col("_pack_fill") < refill * capacity
     m = once.where(loose).count()
     # The sequence count of each pass bounds its groups, so pass 2 starts numbering beyond pass 1.
     again = _pack_groups(once.where(loose), max(1, -(-m // (4 * group_pieces))), 1 << 24, capacity)
-    alone = rows.where(full).select(*kept, (F.col("_pack_row") - F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    placed = ["sequence_id", "offset"]
-    return once.where(~loose).select(*kept, *placed).unionByName(again.select(*kept, *placed)).unionByName(alone)
+    alone = rows.where(full).select("_pack_row", (F.col("_pack_row") - F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    placed = ["_pack_row", "sequence_id", "offset"]
+    place = once.where(~loose).select(*placed).unionByName(again.select(*placed)).unionByName(alone)
+    return rows.join(place.hint("merge"), "_pack_row").select(*kept, "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
