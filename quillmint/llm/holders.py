@@ -24,7 +24,7 @@ def hot_keys(sample: DataFrame, key: list[str]) -> DataFrame:
     return counted.where(F.col("n") > max(8, total // HOT_KEYS)).select(*key, F.ceil(F.col("n") * SAMPLED / LOT).cast("int").alias("lots"))
 
 
-def shared_keys(keys: DataFrame, sample: DataFrame, key: list[str], who: list[str], name: str) -> DataFrame:
+def shared_keys(keys: DataFrame, sample: DataFrame, key: list[str], who: list[str], name: str, keep_key: bool = False) -> DataFrame:
     """Rows whose key other ids hold too, with the key's ``first`` holder and the holder just ``before``, structs of ``who``.
 
     ``who`` begins with doc_id and orders the holders. ``sample``, the keys of ``sampled`` rows, decides only which keys
@@ -38,7 +38,7 @@ def shared_keys(keys: DataFrame, sample: DataFrame, key: list[str], who: list[st
     me = F.struct(*who)
     met = dealt.withColumns({"first": F.first(me).over(whole), "last": F.last("doc_id").over(whole), "before": F.lag(me).over(order)})
     met = met.where("lots is not null or first.doc_id <> last").drop("lot", "last")
-    hot_only = [F.when(F.col("lots").isNotNull(), F.col(k)).alias(k) for k in key]
+    hot_only = [F.col(k) if keep_key else F.when(F.col("lots").isNotNull(), F.col(k)).alias(k) for k in key]
     met = stage(met.select(*hot_only, *(c for c in met.columns if c not in key)), name)
     lead = met.where("lots is not null").groupBy(*key).agg(F.min("first").alias("lead"))
-    return met.join(F.broadcast(lead), key, "left").withColumn("first", F.coalesce("lead", "first")).drop("lead", "lots", *key)
+    return met.join(F.broadcast(lead), key, "left").withColumn("first", F.coalesce("lead", "first")).drop("lead", "lots", *([] if keep_key else key))

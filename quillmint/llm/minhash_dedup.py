@@ -22,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmint.llm import textkit as tk
 from quillmint.llm.components import components
-from quillmint.llm.staging import stage
+from quillmint.llm.holders import sampled, shared_keys
+from quillmint.llm.staging import stage, tidy
 
 SHINGLE = 5
 ROWS, BANDS = 5, 36
@@ -170,6 +171,7 @@ def confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["u", "v"])
 
 
+@tidy
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable over links) and kept."""
     spark = docs.sparkSession
@@ -181,10 +183,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stage(members.groupBy("mark_a", "mark_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "set-classes")
     copies = members.join(classes.where("copies > 1"), ["mark_a", "mark_b", "n_shingles"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
 
-    reps = linkable.join(classes, ["mark_a", "mark_b", "n_shingles"]).where("doc_id = rep")
-    keyed = reps.select("doc_id", "n_shingles", F.posexplode("bands").alias("band", "key")).select("key", "doc_id", "n_shingles").distinct()
-    first = F.first("doc_id").over(Window.partitionBy("key").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    near = stage(keyed.withColumn("leader", first).where("leader <> doc_id").select("key", "leader", "doc_id", "n_shingles"), "band-links")
+    reps = linkable.join(classes, ["mark_a", "mark_b", "n_shingles"]).where("doc_id = rep").dropDuplicates(["mark_a", "mark_b", "n_shingles"])
+    keyed, some = (x.select(F.explode("bands").alias("key"), "doc_id", "n_shingles") for x in (reps, sampled(linkable)))
+    near = shared_keys(keyed, some, ["key"], ["doc_id"], "band-links", keep_key=True).where("first.doc_id <> doc_id").select("key", F.col("first.doc_id").alias("leader"), "doc_id")
     node = components(near.select(F.col("doc_id").alias("u"), F.col("leader").alias("v")).distinct())
 
     sizes = classes.groupBy("rep").agg(F.max("n_shingles").alias("n")).withColumnRenamed("rep", "node")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmint.llm import textkit as tk
-from quillmint.llm.staging import stage
+from quillmint.llm.staging import stage, tidy
 
 BITS = 20
 SAMPLE_ROWS, SAMPLE_FEATURES = 10_000, 12_000_000
@@ -203,6 +203,7 @@ def scored(docs: DataFrame, model: Model, features: Features, threshold: float,
     return rows.mapInArrow(judge, "doc_id long, score double, predicted int")
 
 
+@tidy
 def classify(
     docs: DataFrame, labels: DataFrame, label_col: str, features: Features, folds: int, fold: int, threshold: float,
     id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, sample_features: int = SAMPLE_FEATURES, alpha: float = 30.0, cost: float = 0.1,

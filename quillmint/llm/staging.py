@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where none is set (tests), a temporary folder becomes it."""
+    """The cluster's spark.checkpoint.dir; where none is set, a local master (tests) gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quillmint-"))
             current = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = current.get()
@@ -33,9 +37,41 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    if _made:
+        _made[-1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+_made: list[list[tuple[SparkSession, str]]] = []
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Delete, when an operator returns, the tables it staged that its result does not read."""
+
+    @wraps(operator)
+    def run(*args, **kwargs) -> DataFrame:
+        _made.append([])
+        try:
+            result = operator(*args, **kwargs)
+            read = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in result.inputFiles()} if _made[-1] else set()
+        finally:
+            made = _made.pop()
+        for spark, path in made:
+            if path.rsplit("/", 1)[-1] in read:
+                if _made:
+                    _made[-1].append((spark, path))
+            else:
+                _delete(spark, path)
+        return result
+
+    return run
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def low_share(hashed: Column, wanted: int, rows: int) -> Column:
     """Whether a 64-bit hash lies among the lowest of ``rows`` hashes, so that about ``wanted`` rows do.
 
@@ -45,9 +81,8 @@ def low_share(hashed: Column, wanted: int, rows: int) -> Column:
     return F.lit(True) if share == 1.0 else hashed < F.lit(int((1 << 64) * share) - (1 << 63))
 
 
-def unstage(df: DataFrame) -> None:
-    """Delete the files of a staged table that no later plan reads."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def unstage(*tables: DataFrame) -> None:
+    """Delete the files of staged tables that no later plan reads."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            _delete(df.sparkSession, folder)
