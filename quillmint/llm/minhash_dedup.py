@@ -185,7 +185,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     reps = linkable.join(classes, ["mark_a", "mark_b", "n_shingles"]).where("doc_id = rep").dropDuplicates(["mark_a", "mark_b", "n_shingles"])
     keyed, some = (x.select(F.explode("bands").alias("key"), "doc_id", "n_shingles") for x in (reps, sampled(linkable)))
-    near = shared_keys(keyed, some, ["key"], ["doc_id"], "band-links", keep_key=True).where("first.doc_id <> doc_id").select("key", F.col("first.doc_id").alias("leader"), "doc_id")
+    near = shared_keys(keyed, some, ["key"], ["doc_id"], "band-links", keep_key=True).select("key", F.col("first.doc_id").alias("leader"), "doc_id")
     node = components(near.select(F.col("doc_id").alias("u"), F.col("leader").alias("v")).distinct())
 
     sizes = classes.groupBy("rep").agg(F.max("n_shingles").alias("n")).withColumnRenamed("rep", "node")

@@ -1,27 +1,50 @@
 """Operator 7: exact top-k inner products by exhaustive term-at-a-time accumulation.
 
-Vectors become integers, floor(256 * x). Queries and candidates are dealt into blocks of bounded size, and every query
-block meets every candidate block in a task of its own: a stated query set against all rows, in blocks. There the
-candidates are an inverted index, one posting list per term (dimension); each query scatters its weighted postings
-into a dense score array, a partition selection keeps the best, and the blocks' winners merge into the final ranks.
+Vectors become integers, floor(256 * x), in a written table. The queries are taken in batches of bounded size, each
+broadcast in turn, and every task streams its candidates past the batch in blocks: a stated query set against all
+rows, in blocks. A block is an inverted index, one posting list per term (dimension); each query scatters its weighted
+postings into a dense score array, a partition selection keeps the best, a task keeps k a query, and the tasks'
+winners merge into the final ranks. Candidates never move; only winners do, so what is shuffled grows with the rows.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor do rows without
 an id; rows repeated with the same id and vector count once; where one id has several vectors, each is a candidate and
 the smallest serves as the query; a query's own id is no candidate; ties go to the smaller id; missing trailing
-components count as zero; other columns are left alone; an empty table gives an empty table.
+components count as zero; scores beyond the range of a long are ranked exactly within a block and given as its limit;
+other columns are left alone; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillmint.llm.staging import new_path, stage, tidy
+
 SCALE = 256
-QUERY_BLOCK, ROW_BLOCK = 512, 8192
+QUERY_BATCH, BATCH_BYTES, ROW_BLOCK = 16_384, 64 << 20, 8192
+LEAST, MOST = -(1 << 63) + 1, (1 << 63) - 1
+
+
+class Vectors(NamedTuple):
+    """Sparse rows: the weights of row i are flat[limits[i] : limits[i + 1]], one a term."""
+
+    ids: np.ndarray
+    limits: np.ndarray
+    flat: np.ndarray
+
+
+def vectors(batches: list[pa.RecordBatch]) -> Vectors:
+    """Rows (vec_id, w) in id order."""
+    t = pa.Table.from_batches(batches).combine_chunks()
+    t = t.take(pa.array(np.argsort(t.column(0).to_numpy(), kind="stable")))
+    w = t.column(1).combine_chunks()
+    w = w.chunk(0) if isinstance(w, pa.ChunkedArray) else w
+    return Vectors(t.column(0).to_numpy(), np.concatenate([[0], np.cumsum(w.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64), w.flatten().to_numpy())
 
 
 def weights(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -32,63 +55,88 @@ def weights(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     return some.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * SCALE).cast("long")).alias("w")).distinct()
 
 
-def block_top(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Each query's best k of a block: its id, then the candidates' ids and scores."""
-    rows = rows.sort_values("vec_id", kind="stable")
-    ids = rows["vec_id"].to_numpy()
-    n, width = len(ids), max(map(len, rows["w"]))
-    lengths = np.fromiter(map(len, rows["w"]), np.int64, n)
-    flat = np.concatenate(rows["w"].to_numpy()).astype(np.int64)
+def block_top(queries: Vectors, rows: Vectors, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each query's best k of a block, scores and ids: queries x k, unused places with score LEAST and id MOST."""
+    n, lengths = len(rows.ids), np.diff(rows.limits)
+    width = int(lengths.max())
     row = np.repeat(np.arange(n), lengths)
-    term = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    used = flat != 0
-    row, term, flat = row[used], term[used], flat[used]
+    term = np.arange(len(rows.flat)) - np.repeat(rows.limits[:-1], lengths)
+    used = rows.flat != 0
+    row, term, flat = row[used], term[used], rows.flat[used]
     order = np.argsort(term, kind="stable")
     row, flat = row[order], flat[order]
     limits = np.searchsorted(term[order], np.arange(width + 1))
+    # Sums that a long might not hold are made of whole numbers of any size.
+    most = float(np.abs(rows.flat.astype(float)).max(initial=0)) * float(np.abs(queries.flat.astype(float)).max(initial=0)) * width
+    kind = np.int64 if most < MOST / 2 else object
+    flat = flat.astype(kind)
     postings = [(row[a:b], flat[a:b]) for a, b in zip(limits[:-1], limits[1:], strict=True)]
-    for query, w in zip(queries["vec_id"], queries["w"], strict=True):
-        score = np.zeros(n, np.int64)
-        for t in np.flatnonzero(w[:width]):
+    best, ids = np.full((len(queries.ids), k), LEAST), np.full((len(queries.ids), k), MOST)
+    for i, query in enumerate(queries.ids):
+        w = queries.flat[queries.limits[i] : queries.limits[i + 1]][:width].astype(kind)
+        score = np.zeros(n, kind)
+        for t in np.flatnonzero(w):
             at, value = postings[t]
             if len(at) == n:
                 score += w[t] * value  # a full posting list is the whole score array in order
             else:
                 score[at] += w[t] * value
-        mine = np.flatnonzero(ids != query)
+        mine = np.flatnonzero(rows.ids != query)
         if len(mine) > k:
             least = np.partition(score[mine], len(mine) - k)[len(mine) - k]
             better = mine[score[mine] > least]
             level = mine[score[mine] == least][: k - len(better)]  # rows are in id order
             mine = np.concatenate([better, level])
-        yield query, ids[mine], score[mine]
+        best[i, : len(mine)] = np.clip(score[mine], LEAST, MOST).astype(np.int64)
+        ids[i, : len(mine)] = rows.ids[mine]
+    return best, ids
 
 
+@tidy
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k best rows; both inputs as ``weights`` returns them."""
-    n_rows, n_queries = rows.count(), queries.count()
-    row_blocks, query_blocks = max(1, -(-n_rows // ROW_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
-
-    def dealt(x: DataFrame, own: str, own_blocks: int, other: str, other_blocks: int) -> DataFrame:
-        block = F.pmod(F.xxhash64("vec_id"), F.lit(own_blocks)).alias(own)
-        return x.select("vec_id", "w", block, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other_blocks - 1).cast("long"))).alias(other))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        found = list(block_top(left, right, k))
-        return pd.DataFrame({
-            "query_id": np.repeat([q for q, _, _ in found], [len(i) for _, i, _ in found]),
-            "vec_id": np.concatenate([i for _, i, _ in found]),
-            "score": np.concatenate([s for _, _, s in found]),
-        })
-
-    one = queries.groupBy("vec_id").agg(F.min("w").alias("w"))
-    left = dealt(one, "query_block", query_blocks, "row_block", row_blocks).groupBy("query_block", "row_block")
-    right = dealt(rows, "row_block", row_blocks, "query_block", query_blocks).groupBy("query_block", "row_block")
-    best = left.cogroup(right).applyInPandas(search, "query_id long, vec_id long, score long")
+    spark = rows.sparkSession
+    rows = stage(rows.select("vec_id", "w"), "vectors")
+    queries = stage(queries.groupBy("vec_id").agg(F.min("w").alias("w")), "queries")
+    n, terms = queries.agg(F.count("*"), F.max(F.size("w"))).first()
+    batches = max(1, -(-n // min(QUERY_BATCH, max(1, BATCH_BYTES // (8 * (terms or 1))))))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    path = new_path(spark, "top-k")
+    for batch in range(batches):
+        held = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(batches)) == batch).toArrow()
+        shared = spark.sparkContext.broadcast(vectors(held.to_batches()) if len(held) else None)  # of bounded size
+
+        def search(some: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            asked = shared.value
+            if asked is None:
+                return
+            best, ids = np.full((len(asked.ids), k), LEAST), np.full((len(asked.ids), k), MOST)
+
+            def meet(block: list[pa.RecordBatch]) -> None:
+                nonlocal best, ids
+                more, theirs = block_top(asked, vectors(block), k)
+                more, theirs = np.hstack([best, more]), np.hstack([ids, theirs])
+                first = np.lexsort((theirs, -more), axis=1)[:, :k]
+                best, ids = np.take_along_axis(more, first, 1), np.take_along_axis(theirs, first, 1)
+
+            block, size = [], 0
+            for x in some:
+                for at in range(0, len(x), ROW_BLOCK):
+                    part = x.slice(at, ROW_BLOCK)
+                    if size + len(part) > ROW_BLOCK:
+                        meet(block)
+                        block, size = [], 0
+                    block.append(part)
+                    size += len(part)
+            if size:
+                meet(block)
+            q, j = np.nonzero(ids != MOST)
+            yield pa.RecordBatch.from_arrays([pa.array(asked.ids[q]), pa.array(ids[q, j]), pa.array(best[q, j])], names=["query_id", "vec_id", "score"])
+
+        found = rows.mapInArrow(search, "query_id long, vec_id long, score long").withColumn("rank", F.row_number().over(order))
+        found.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
+        shared.destroy()
+    return spark.read.schema("query_id long, rank int, vec_id long, score long").parquet(path)
 
 
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

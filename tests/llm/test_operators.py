@@ -312,7 +312,7 @@ def test_sql(spark, name):
 
 def test_top_k_on_odd_vectors(spark, monkeypatch):
     monkeypatch.setattr(topk, "ROW_BLOCK", 40)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(topk, "QUERY_BATCH", 2)
     rng = random.Random(1)
     rows = [(i, [rng.choice([0.0, -0.5, 0.25, 1.0]) for _ in range(4)]) for i in range(201)]
     rows += [(i, v) for i, v in rows[:3]] + [(300, None), (301, [1.0, None]), (350, [float("nan")]), (302, [float("inf"), 1.0]), (303, []), (None, [1.0] * 4), (400, [1.0])]
