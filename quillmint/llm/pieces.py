@@ -5,7 +5,7 @@ so the best segmentation of a text is that of its words (a run of markers and th
 each different word of a batch is segmented once. Words are looked up together: all start positions walk the
 double-array trie in step, and the Viterbi recursion runs over positions with all words side by side. A word longer
 than ``SIDE_BY_SIDE`` walks alone, by the same rules. Of equal scores the segmentation with the longest last piece
-wins; a character that no single piece covers costs the least score minus ten and falls back to its bytes' pieces.
+wins; unused pieces are never taken, a user's own always; a character that no single piece covers costs the least score minus ten and falls back to its bytes' pieces.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; a null id keeps its row; rows repeat as
 often as they come; other columns are left alone; an empty table gives an empty table. Decoding replaces byte pieces
@@ -125,7 +125,7 @@ class Unigram:
         self.pieces = read_pieces(data)
         self.bytes_at = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(self.pieces) if k == BYTE}
         self.unknown = next((i for i, (_, _, k) in enumerate(self.pieces) if k == UNKNOWN), 0)
-        own = [i for i, (p, _, k) in enumerate(self.pieces) if k in (NORMAL, USER, UNUSED) and p]
+        own = [i for i, (p, _, k) in enumerate(self.pieces) if k in (NORMAL, USER) and p]
         if any(MARK in self.pieces[i][0].lstrip(MARK) for i in own):
             raise ValueError("a piece has a white-space marker inside; words cannot be segmented one by one")
         letters = sorted({c for i in own for c in self.pieces[i][0]})
@@ -133,7 +133,9 @@ class Unigram:
         self.symbol[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         code = dict(zip(letters, range(1, len(letters) + 1), strict=True))
         self.trie = DoubleArray([tuple(code[c] for c in self.pieces[i][0]) for i in own], own, len(letters))
-        self.score = np.array([s for _, s, _ in self.pieces])
+        # A user's own piece scores as the best piece would for each of its characters, so that it is always taken.
+        top = max((s for _, s, k in self.pieces if k == NORMAL), default=0.0)
+        self.score = np.array([top * len(p) - 0.1 if k == USER else s for p, s, k in self.pieces])
         self.longest = max(len(self.pieces[i][0]) for i in own)
         normal = [self.pieces[i][1] for i in own if self.pieces[i][2] == NORMAL]
         self.unknown_score = min(normal) - UNKNOWN_COST
