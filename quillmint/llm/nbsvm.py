@@ -3,8 +3,10 @@
 Operator 6 (quality) uses word 1- and 2-grams, operator 8 (toxicity) character 4- to 6-grams. Features are hashed
 into ``1 << BITS`` places. A model is fitted on at most ``sample_rows`` labelled rows (those of the smallest id
 hashes) with at most ``sample_features`` features in all: log-count ratios from the indicators, then dual coordinate
-descent, then a logistic curve on a fifth of the sample that the descent did not see. Every whole text is scored in
-Arrow batches with the weights alone, so scoring needs no shuffle.
+descent. A logistic curve over margins that models fitted without the row gave makes scores of them; both kinds weigh
+in it to the ``balance``-th power of their share's inverse (0: as they come, 1: alike), so that a fixed threshold means
+much the same whether label 1 is rare or common. Every whole text is scored in Arrow batches with the weights alone, so
+scoring needs no shuffle.
 
 Defined results: a null or empty text has no features and gets the score of the bias; a null id is scored and not
 held out; rows repeat as often as they come; labels that are null or other than 0 and 1, and labels of unknown ids, do
@@ -117,42 +119,51 @@ def dual_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost:
     return w, bias
 
 
-def _curve(margin: np.ndarray, positive: np.ndarray) -> tuple[float, float]:
-    """Slope and level of a logistic curve through margins, both kinds weighing as they come, by Newton steps."""
+def _curve(margin: np.ndarray, positive: np.ndarray, balance: float) -> tuple[float, float]:
+    """Slope and level of a logistic curve through margins by Newton steps."""
     n1, n0 = positive.sum(), (~positive).sum()
     target = np.where(positive, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    weight = (len(margin) / (2 * np.where(positive, n1, n0))) ** balance
     spread = max(float(margin.std()), 1e-9)
     x = np.column_stack([margin / spread, np.ones(len(margin))])
     beta = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -50, 50)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (target - p) - 1e-3 * beta)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        step = np.linalg.solve(h, x.T @ (weight * (target - p)) - 1e-3 * beta)
         beta += step
         if np.abs(step).max() < 1e-9:
             break
     return float(max(beta[0], 1e-6) / spread), float(beta[1])
 
 
-def fit_rows(rows: list[np.ndarray], positive: np.ndarray, alpha: float = 30.0, cost: float = 0.1) -> Model:
+def _weights(rows: list[np.ndarray], positive: np.ndarray, alpha: float, cost: float) -> tuple[np.ndarray, float]:
+    ratio = log_count_ratios(rows, positive, alpha)
+    w, bias = dual_descent(rows, np.where(positive, 1.0, -1.0), ratio, cost)
+    return w * ratio, bias
+
+
+def fit_rows(rows: list[np.ndarray], positive: np.ndarray, alpha: float = 30.0, cost: float = 0.1, balance: float = 0.0, parts: int = 3) -> Model:
     if positive.all() or not positive.any():
         share = float(positive.mean()) if len(positive) else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model(np.zeros(1 << BITS), 0.0, 1.0, float(np.log(share / (1 - share))))
-    apart = np.arange(len(rows)) % 5 == 4
-    if len(set(positive[~apart])) < 2 or len(set(positive[apart])) < 2:
-        apart[:] = False
-    own = np.flatnonzero(~apart)
-    used, kind = [rows[i] for i in own], positive[own]
-    ratio = log_count_ratios(used, kind, alpha)
-    w, bias = dual_descent(used, np.where(kind, 1.0, -1.0), ratio, cost)
-    weights = w * ratio
-    seen = np.flatnonzero(apart) if apart.any() else own
-    margin = np.array([weights[rows[i]].sum() + bias for i in seen])
-    return Model(weights, bias, *_curve(margin, positive[seen]))
-
-
-def fit(docs: DataFrame, labels: DataFrame, label_col: str, features: Features, usable: Column, id_col: str, text_col: str, sample_rows: int, sample_features: int, alpha: float, cost: float) -> Model:
+    weights, bias = _weights(rows, positive, alpha, cost)
+    margin = np.array([weights[x].sum() + bias for x in rows])
+    # Every part of either kind is set apart once; where a kind has too few rows, the model's own margins must do.
+    part = np.zeros(len(rows), int)
+    for kind in (positive, ~positive):
+        part[kind] = np.arange(kind.sum()) % parts
+    if min(positive.sum(), (~positive).sum()) > 1:
+        for k in range(parts):
+            own, apart = np.flatnonzero(part != k), np.flatnonzero(part == k)
+            if len(set(positive[own])) == 2:
+                w, b = _weights([rows[i] for i in own], positive[own], alpha, cost)
+                margin[apart] = [w[rows[i]].sum() + b for i in apart]
+    return Model(weights, bias, *_curve(margin, positive, balance))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str, features: Features, usable: Column, id_col: str, text_col: str, sample_rows: int, sample_features: int, alpha: float, cost: float, balance: float) -> Model:
     """Model from the usable labelled rows (``usable``: a condition on doc_id), within both bounds."""
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,10 +188,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, features: Features,
     if not len(within):
         return fit_rows([], np.zeros(0, bool))
     end = int(within["h"].iloc[-1])
-    held = sample.where(F.col("h") <= end).select("h", "doc_id", "n", "kind", "places").toArrow().to_pylist()
-    held.sort(key=lambda r: (r["h"], r["doc_id"], r["n"]))
-    held = held[: len(within)]
-    return fit_rows([np.frombuffer(r["places"], "<i4") for r in held], np.array([r["kind"] == 1 for r in held], bool), alpha, cost)
+    # An id can repeat, so the limit bounds what is sent as well.
+    held = sample.where(F.col("h") <= end).orderBy("h", "doc_id", "n").limit(len(within)).select("kind", "places").toArrow()
+    rows_of = [np.frombuffer(x.as_buffer(), "<i4") for x in held.column("places")]
+    return fit_rows(rows_of, held.column("kind").to_numpy() == 1, alpha, cost, balance)
 
 
 def scored(docs: DataFrame, model: Model, features: Features, threshold: float, id_col: str, text_col: str) -> DataFrame:
@@ -206,19 +217,19 @@ def scored(docs: DataFrame, model: Model, features: Features, threshold: float,
 @tidy
 def classify(
     docs: DataFrame, labels: DataFrame, label_col: str, features: Features, folds: int, fold: int, threshold: float,
-    id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, sample_features: int = SAMPLE_FEATURES, alpha: float = 30.0, cost: float = 0.1,
+    id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, sample_features: int = SAMPLE_FEATURES, alpha: float = 30.0, cost: float = 0.1, balance: float = 0.0,
 ) -> DataFrame:
     """doc_id, held_out, score and predicted; labels of rows in ``fold`` (crc32 of the id's text) are never learned."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
-    model = fit(docs, labels, label_col, features, ~held_out, id_col, text_col, sample_rows, sample_features, alpha, cost)
+    model = fit(docs, labels, label_col, features, ~held_out, id_col, text_col, sample_rows, sample_features, alpha, cost, balance)
     return scored(docs, model, features, threshold, id_col, text_col).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return classify(docs, labels, "quality", word_ngrams, 5, 0, 0.3, alpha=3.0, cost=0.001)
+    return classify(docs, labels, "quality", word_ngrams, 5, 0, 0.3, alpha=1.0, cost=0.01, balance=1.0)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return classify(docs, labels, "toxic", char_ngrams, 3, 1, 0.7, sample_rows=8000)
+    return classify(docs, labels, "toxic", char_ngrams, 3, 1, 0.7, sample_rows=8000, balance=0.75)

@@ -65,7 +65,7 @@ def ids(x):
 
 def best_score(u, text):
     """Viterbi by definition: the best score of every prefix."""
-    scores = {p: s for p, s, k in u.pieces if k in (pieces.NORMAL, pieces.USER, pieces.UNUSED)}
+    scores = {p: float(u.score[i]) for i, (p, _, k) in enumerate(u.pieces) if k in (pieces.NORMAL, pieces.USER)}
     t = pieces.MARK + text.replace(" ", pieces.MARK)
     best = [0.0] + [-np.inf] * len(t)
     for e in range(1, len(t) + 1):
@@ -133,6 +133,19 @@ def test_double_array_holds_exactly_its_keys(unigram):
         assert look(p + "q") == known.get(p + "q", -1)
 
 
+def test_unused_and_user_pieces():
+    def number(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + number(n >> 7)
+
+    def piece(text, score, kind):
+        body = b"\x0a" + number(len(text.encode())) + text.encode() + b"\x15" + struct.pack("<f", score) + b"\x18" + bytes([kind])
+        return b"\x0a" + number(len(body)) + body
+
+    own = [("<unk>", 0.0, pieces.UNKNOWN), ("▁", -1.0, 1), ("a", -2.0, 1), ("b", -2.0, 1), ("c", -2.0, 1), ("ab", -1.5, pieces.UNUSED), ("bc", -9.0, pieces.USER), ("abc", -3.0, 1)]
+    u = pieces.Unigram(b"".join(piece(*p) for p in own))
+    assert ids(u.encode(["ab"])[0]) == [1, 2, 3] and ids(u.encode(["bc"])[0]) == [1, 6] and ids(u.encode(["abc"])[0]) == [1, 7]
+
+
 def test_encoding_frames(spark):
     model = pieces.load(spark, PIECES)
     rows = ODD + documents(10)
@@ -281,12 +294,52 @@ def test_held_out_accuracy(spark, name, label, folds, fold, threshold, least):
     rank, one = seen["score"].rank().to_numpy(), seen[label].to_numpy() == 1
     auc = (rank[one].sum() - one.sum() * (one.sum() + 1) / 2) / (one.sum() * (~one).sum())
     assert auc > least
+    one, told = seen[label] == 1, seen["predicted"] == 1
+    assert told[one].mean() >= 0.5 and told[~one].mean() < 0.1
+
+
+def test_log_count_ratios_by_definition():
+    rng = random.Random(5)
+    sets = [set(rng.sample(range(30), rng.randint(1, 12))) for _ in range(50)]
+    kind = np.array([rng.random() < 0.3 for _ in sets])
+    got = nbsvm.log_count_ratios([np.array(sorted(x)) for x in sets], kind, 4.0)
+    for place in range(30):
+        rate = [(sum(place in x for x, k in zip(sets, kind, strict=True) if k == c) + 4.0 * (kind == c).mean()) / (kind == c).sum() for c in (False, True)]
+        assert got[place] == pytest.approx(np.log(rate[1] / rate[0]))
+
+
+def test_dual_descent_reaches_the_least_loss():
+    """No small step from the found weights lowers the primal loss, and the primal meets the dual bound of the box."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 12, rng.integers(1, 8))) for _ in range(80)]
+    y = np.where(rng.random(80) < 0.4, 1.0, -1.0)
+    scale = np.zeros(1 << nbsvm.BITS)
+    scale[:12] = rng.normal(size=12)
+    w, bias = nbsvm.dual_descent(rows, y, scale, 0.5, rounds=3000)
+    cost = np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum())) * 0.5
+    x = np.zeros((80, 13))
+    for i, r in enumerate(rows):
+        x[i, r] = scale[r]
+    x[:, 12] = 1.0
+
+    def loss(v):
+        return 0.5 * v @ v + (cost * np.maximum(0, 1 - y * (x @ v))).sum()
+
+    found = np.append(w[:12], bias)
+    assert all(loss(found) <= loss(found + d) + 1e-3 for size in (1e-2, 1e-1, 1) for d in rng.normal(size=(300, 13)) * size)
+
+
+def test_long_scores_do_not_wrap(spark):
+    rows = spark.createDataFrame([(0, [1e9, 1e9]), (1, [2e9, 1e9]), (2, [-2e9, 3e9]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    w = topk.weights(rows)
+    got = sorted(map(tuple, topk.top_k(w, w.where("vec_id = 0")).collect()))
+    assert got == [(0, 1, 1, topk.MOST), (0, 2, 2, topk.MOST), (0, 3, 3, 2 * 256 * 256 * 10**9)]
 
 
 def test_scores_of_odd_texts(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(9001, 1), (9004, None)], "doc_id long, toxic int")
     rows = [(i, f"plain words {i} here" if i % 2 else f"nasty rotten {i} there") for i in range(40)] + ODD
-    for features in (nbsvm.char_ngrams,):
+    for features in (nbsvm.char_ngrams, nbsvm.word_ngrams):
         got = nbsvm.classify(frame(spark, rows), labels, "toxic", features, 3, 1, 0.5).collect()
         assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
         assert all((r["predicted"] == 1) == (r["doc_id"] % 2 == 1) for r in got if r["doc_id"] is not None and r["doc_id"] < 40)
