@@ -67,3 +67,27 @@ def due_dates(terms: Column, invoice_date: Column) -> Column:
     rate = F.nullif(F.regexp_extract(t, "([0-9.]+) ?%? ?/ ?[0-9]+", 1), F.lit("")).cast("decimal(9,4)")
     days = number("[0-9.]+ ?%? ?/ ?([0-9]+)", 1)
     return F.struct(due.alias("due"), F.date_add(invoice_date, days).alias("discount_due"), rate.alias("discount_rate"))
+
+
+def order_of_dates(x: Column) -> Column:
+    """Aggregate: whether a file's slashed dates put the day first, told by its unambiguous rows; null where none tells or they disagree."""
+    text = F.regexp_replace(F.trim(x), "[.\\-]", "/")
+    first, second = (F.nullif(F.regexp_extract(text, "^([0-9]{1,2})/([0-9]{1,2})/[0-9]{4}$", k), F.lit("")).cast("int") for k in (1, 2))
+    day, month = F.bool_or((first > 12) & (second <= 12)), F.bool_or((second > 12) & (first <= 12))
+    return F.when(day & ~month, F.lit(True)).when(month & ~day, F.lit(False))
+
+
+def printed_amount(x: Column) -> Column:
+    """An amount as documents print it: currency signs and codes around it, spaces, apostrophes, points or commas between thousands, a decimal comma or point with two digits, parentheses, a minus before or behind, CR or DR.
+
+    One separator with exactly three digits behind is read as thousands; text that is no amount gives null.
+    """
+    bare = F.regexp_replace(F.upper(F.trim(x)), "CAD|USD|EUR|GBP|[$€£\\s\u00a0\u202f'’]", "")
+    credit = bare.rlike("^\\(.+\\)$|-$|CR$|^-")
+    digits = F.regexp_replace(bare, "^[(+-]|[)-]$|(CR|DR)$", "")
+    digits = F.regexp_replace(digits, "^-|-$", "")
+    cents = F.nullif(F.regexp_extract(digits, "^[0-9][0-9.,]*[.,]([0-9]{1,2})$", 1), F.lit(""))
+    whole = F.when(cents.isNotNull(), F.regexp_replace(digits, "[.,][0-9]{1,2}$", "")).otherwise(digits)
+    grouped = whole.rlike("^[0-9]+$|^[0-9]{1,3}(,[0-9]{3})+$|^[0-9]{1,3}(\\.[0-9]{3})+$")
+    value = F.concat(F.regexp_replace(whole, "[.,]", ""), F.lit("."), F.coalesce(cents, F.lit("0"))).try_cast("decimal(18,2)")
+    return F.when(grouped, F.when(credit, -value).otherwise(value))

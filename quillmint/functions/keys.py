@@ -2,18 +2,45 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented letters and their plain forms, and legal forms that end a company name.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+# Legal forms that end a company name.
 LEGAL_FORMS = ("inc", "incorporated", "ltd", "ltee", "limited", "limitee", "corp", "corporation", "co", "company", "llc", "llp", "lp", "ulc", "sa", "gmbh", "plc", "enr")
 
 
+def _folded(c: str) -> str:
+    """A character decomposed (compatibility form), without marks, in folded case."""
+    plain = "".join(d for d in unicodedata.normalize("NFKD", c) if not unicodedata.combining(d)).casefold()
+    plain = "".join(d for d in unicodedata.normalize("NFKD", plain) if not unicodedata.combining(d))
+    return plain.replace("œ", "oe").replace("æ", "ae")
+
+
+def folded(x: str) -> str:
+    """What ``fold`` makes of a text."""
+    return "".join(map(_folded, x))
+
+
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
+    """Letters of the Latin, Greek, Cyrillic, full-width and number-form blocks that fold to one character, and to several."""
+    blocks = ((0xA0, 0x530), (0x1E00, 0x2000), (0x2070, 0x20A0), (0x2100, 0x2190), (0x2460, 0x2500), (0xFB00, 0xFB07), (0xFF01, 0xFF5F))
+    pairs = {chr(i): _folded(chr(i)) for a, b in blocks for i in range(a, b) if not unicodedata.combining(chr(i)) and _folded(chr(i)) != chr(i)}
+    single = {c: p for c, p in pairs.items() if len(p) == 1}
+    return "".join(single), "".join(single.values()), {c: p for c, p in pairs.items() if len(p) > 1 and c.isalpha()}
+
+
+_ONE, _ONE_PLAIN, _MANY = _fold_tables()
+
+
 def fold(x: Column) -> Column:
-    """Lower case without accents and ligatures."""
-    return F.replace(F.replace(F.translate(F.lower(x), ACCENTED, PLAIN), F.lit("œ"), F.lit("oe")), F.lit("æ"), F.lit("ae"))
+    """Folded case without accents, ligatures and compatibility forms; a null stays null."""
+    plain = F.regexp_replace(F.translate(F.lower(x), _ONE, _ONE_PLAIN), "\\p{Mn}", "")
+    several = plain
+    for c, p in _MANY.items():
+        several = F.replace(several, F.lit(c), F.lit(p))
+    return F.when(plain.rlike("[" + "".join(_MANY) + "]"), several).otherwise(plain)
 
 
 def name_key(x: Column) -> Column:

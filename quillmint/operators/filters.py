@@ -18,11 +18,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmint.functions.keys import ACCENTED, PLAIN, fold
+from quillmint.functions.keys import fold, folded
 
 
 def _fold_text(x: str) -> str:
-    return x.lower().translate(str.maketrans(ACCENTED, PLAIN)).replace("œ", "oe").replace("æ", "ae")
+    return folded(x)
 
 
 def text_filter(column: str, typed: str) -> Column:

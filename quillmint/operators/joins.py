@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import bisect
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -62,37 +63,43 @@ def one_keystroke(a: Column, b: Column) -> Column:
     return (d == 1) | (swap & near)
 
 
-def greedy_match(left: DataFrame, right: DataFrame, keys: Sequence[str], within: float, buckets: int = 64) -> DataFrame:
+def greedy_match(left: DataFrame, right: DataFrame, keys: Sequence[str], within: float) -> DataFrame:
     """Match rows of equal ``keys`` one to one: left in (at, id) order takes the free right row of the same sign and
     amount within a tolerance that is nearest in date, then smallest in id.
 
-    Both sides have id, at (date) and amount (double). Keys are document numbers of one vendor, a handful of rows
-    each; many keys share one of ``buckets`` tasks, so that a task's overhead is paid once and not per key.
+    Both sides have id, at (date) and amount (double). Rows whose amounts are a gap wider than the tolerance apart
+    never compete, so a key falls into runs of amounts at such gaps, exactly. A task streams run after run and holds
+    one run's rows; free rows are looked up by amount.
     """
     columns = [*keys, "id", "at", "amount"]
     both = left.select(*columns, F.lit(0).alias("side")).unionByName(right.select(*columns, F.lit(1).alias("side")))
-
-    def match(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "id"])
-        open_: dict[tuple, list] = {}
-        taken = []
-        own = list(zip(*(rows[k] for k in keys), strict=True))
-        for key, side, i, at, amount in zip(own, rows["side"], rows["id"], rows["at"], rows["amount"], strict=True):
-            if side:
-                open_.setdefault(key, []).append((i, at, amount))
-        for key, side, i, at, amount in zip(own, rows["side"], rows["id"], rows["at"], rows["amount"], strict=True):
-            if side:
-                continue
-            free = open_.get(key, [])
-            fits = [(abs((at - y[1]).days), y[0], n) for n, y in enumerate(free) if amount * y[2] >= 0 and abs(amount - y[2]) <= within]
-            best = min(fits, default=None)
-            if best:
-                free.pop(best[2])
-            taken.append((i, best[1] if best else None))
-        return pd.DataFrame(taken, columns=["left_id", "right_id"]).astype({"left_id": "int64", "right_id": "Int64"})
-
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets))
-    return both.withColumn("_bucket", bucket).groupBy("_bucket").applyInPandas(match, "left_id long, right_id long")
+    by_amount = Window.partitionBy(*keys).orderBy("amount")
+    apart = F.coalesce((F.col("amount") - F.lag("amount").over(by_amount) > within).cast("int"), F.lit(0))
+    runs = both.withColumn("_apart", apart).withColumn("_run", F.sum("_apart").over(by_amount.rowsBetween(Window.unboundedPreceding, 0)))
+    order = [*keys, "_run", F.desc("side"), "at", "id"]
+    dealt = runs.select(*keys, "_run", "side", "id", "at", "amount").repartition(*keys, "_run").sortWithinPartitions(*order)
+
+    def match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, free, days = None, [], {}  # free rows as (amount, id), in order; the dates by (amount, id)
+        for frame in frames:
+            taken = []
+            for *own, side, i, at, amount in zip(*(frame[c] for c in frame.columns), strict=True):
+                if own != key:
+                    key, free, days = own, [], {}
+                if side:
+                    bisect.insort(free, (amount, i))
+                    days[amount, i] = at
+                    continue
+                low, high = bisect.bisect_left(free, (amount - within,)), bisect.bisect_right(free, (amount + within, float("inf")))
+                fits = [(abs((at - days[free[n]]).days), free[n][1], n) for n in range(low, high) if amount * free[n][0] >= 0 and abs(amount - free[n][0]) <= within]
+                best = min(fits, default=None)
+                taken.append((i, best[1] if best else None))
+                if best:
+                    free.pop(best[2])
+            ids = zip(*taken, strict=True) if taken else ((), ())
+            yield pd.DataFrame({c: pd.array(list(x), dtype="Int64") for c, x in zip(("left_id", "right_id"), ids, strict=True)})  # never by way of floats
+
+    return dealt.mapInPandas(match, "left_id long, right_id long")
 
 
 def token_overlap(a: Column, b: Column) -> Column:

@@ -17,12 +17,12 @@ LEGAL = "|".join(K.LEGAL_FORMS)
 def name_keys(spark: SparkSession, sf: str) -> DataFrame:
     """Comparison keys of decorated supplier names."""
     s = T.table(spark, sf, "supplier")
-    name = F.concat(F.replace("s_name", F.lit("#"), F.lit(" É&œ ")), F.when(F.col("s_suppkey") % 3 == 0, ", Inc.").when(F.col("s_suppkey") % 3 == 1, " Co. Ltd").otherwise(""))
+    name = F.concat(F.replace("s_name", F.lit("#"), F.lit(" Éłč&œ šőś ")), F.when(F.col("s_suppkey") % 3 == 0, ", Inc.").when(F.col("s_suppkey") % 3 == 1, " Co. Ltd").otherwise(""))
     return s.select("s_suppkey", K.name_key(name).alias("key"), K.number_key(F.concat(F.lit("INV-00"), F.col("s_suppkey").cast("string"))).alias("number"), K.padded(F.col("s_suppkey").cast("string")).alias("company"))
 
 
-NAME_KEYS = f"""with n as (select s_suppkey, replace(s_name, '#', ' É&œ ') || case s_suppkey % 3 when 0 then ', Inc.' when 1 then ' Co. Ltd' else '' end as name from supplier),
-  f as (select *, trim(regexp_replace(replace(replace(replace(translate(lower(name), '{K.ACCENTED}', '{K.PLAIN}'), 'œ', 'oe'), 'æ', 'ae'), '&', ' and '), '[^a-z0-9]+', ' ', 'g')) as w from n)
+NAME_KEYS = f"""with n as (select s_suppkey, replace(s_name, '#', ' Éłč&œ šőś ') || case s_suppkey % 3 when 0 then ', Inc.' when 1 then ' Co. Ltd' else '' end as name from supplier),
+  f as (select *, trim(regexp_replace(replace(replace(strip_accents(lower(name)), 'œ', 'oe'), '&', ' and '), '[^a-z0-9]+', ' ', 'g')) as w from n)
   select s_suppkey, regexp_replace(w, '( ({LEGAL}))+$', '') as key, coalesce(nullif(ltrim('00' || s_suppkey, '0'), ''), '0') as number, lpad(cast(s_suppkey as varchar), 5, '0') as company from f"""
 
 

@@ -27,7 +27,7 @@ def rates(spark: SparkSession) -> DataFrame:
 def tax_rate_in_force(spark: SparkSession, sf: str) -> DataFrame:
     """Per vendor and month: the rate in force on the first, a province's own before its country's."""
     v = T.vendors(spark, sf).select("vendor_id", "province", "country")
-    months = T.lines(spark, sf).select("vendor_id", F.trunc("line_date", "month").alias("month")).distinct().join(v, "vendor_id")
+    months = T.lines(spark, sf, parts=False).select("vendor_id", F.trunc("line_date", "month").alias("month")).distinct().join(v, "vendor_id")
     facts = months.withColumn("fact", F.concat_ws("/", "vendor_id", "month"))
     own = rates(spark).withColumnRenamed("rc", "country")
     own = own.withColumn("specific", F.col("rp").isNotNull().cast("int"))
@@ -66,53 +66,90 @@ NEXT_SAME_ACTION = f"""select event_id, lead(event_id) over w as next_id, date_s
 
 
 def bills(spark: SparkSession, sf: str) -> DataFrame:
+    """Bills of a register: equal rows are one bill with copies."""
     l = T.table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("vendor"), F.col("l_quantity").cast("int").alias("amount"), F.col("l_orderkey").cast("string").alias("number"), F.to_date("l_shipdate").alias("billed_on")
     )
-    return l.where("amount > 0").distinct().withColumn("bill", F.concat_ws("/", "vendor", "amount", "number", "billed_on"))
+    own = l.where("amount > 0").groupBy("vendor", "amount", "number", "billed_on").agg(F.count("*").alias("copies"))
+    return own.withColumn("bill", F.concat_ws("/", "vendor", "amount", "number", "billed_on"))
 
 
-BILLS = """(select *, vendor || '/' || amount || '/' || number || '/' || billed_on as bill from (select distinct l_suppkey as vendor, cast(l_quantity as integer) as amount,
-  cast(l_orderkey as varchar) as number, cast(l_shipdate as date) as billed_on from lineitem where l_quantity > 0))"""
+BILLS = """(select *, concat_ws('/', vendor, amount, number, billed_on) as bill from (select l_suppkey as vendor, cast(l_quantity as integer) as amount,
+  cast(l_orderkey as varchar) as number, cast(l_shipdate as date) as billed_on, count(*) as copies from lineitem where l_quantity > 0 group by 1, 2, 3, 4))"""
 
+NEAR_DAYS, TYPO_DAYS = 7, 14
 
-def duplicate_audit(spark: SparkSession, sf: str) -> DataFrame:
+
+def duplicate_pairs(b: DataFrame) -> DataFrame:
     """Pairs of bills that may be one payment; the strongest rule of a pair counts.
 
-    1: vendor, number and amount agree. 2: vendor and amount agree, numbers of four or more characters are one
-    keystroke apart, dates at most 14 days. 3: number and amount agree under two vendors. 4: vendor and amount agree
-    within 7 days under different numbers. Every rule is an equality join; rule 2 meets on deletion variants.
+    1: vendor, number and amount agree, also a register row with copies and itself. 2: vendor and amount agree, numbers
+    of four or more characters are one keystroke apart, dates at most 14 days or unknown. 3: number and amount agree
+    under two vendors. 4: vendor and amount agree within 7 days under different numbers. Every rule is an equality
+    join; dates meet in buckets of 14 days and their neighbours.
     """
-    b = bills(spark, sf)
     x, y = (b.select(*(F.col(c).alias(f"{c}_{s}") for c in ("bill", "vendor", "amount", "number", "billed_on"))) for s in "ab")
     first = F.col("bill_a") < F.col("bill_b")
+    same = (F.col("vendor_a") == F.col("vendor_b")) & (F.col("amount_a") == F.col("amount_b"))
+    pair = lambda rows, rule: rows.select("bill_a", "bill_b", rule.alias("rule"))
+    number = x.join(y, (F.col("number_a") == F.col("number_b")) & (F.col("amount_a") == F.col("amount_b")) & first)
+    found = pair(number, F.when(F.col("vendor_a") == F.col("vendor_b"), 1).otherwise(3))
+    found = found.unionByName(b.where("copies > 1").select(F.col("bill").alias("bill_a"), F.col("bill").alias("bill_b"), F.lit(1).alias("rule")))
+    bucket = lambda d: F.floor(F.unix_date(d) / TYPO_DAYS).cast("int")
+    left = x.where("billed_on_a is not null").withColumn("bucket", F.explode(F.array(*(bucket("billed_on_a") + d for d in (-1, 0, 1)))))
+    right = y.where("billed_on_b is not null").withColumn("own", bucket("billed_on_b"))
     days = F.abs(F.date_diff("billed_on_a", "billed_on_b"))
-    same_vendor = x.join(y, (F.col("vendor_a") == F.col("vendor_b")) & (F.col("amount_a") == F.col("amount_b")) & first)
-    exact = same_vendor.where("number_a = number_b").select("bill_a", "bill_b", F.lit(1).alias("rule"))
-    near = same_vendor.where((F.col("number_a") != F.col("number_b")) & (days <= 7)).select("bill_a", "bill_b", F.lit(4).alias("rule"))
-    long = b.where(F.length("number") >= 4).withColumn("variant", F.explode(J.deletion_variants(F.col("number"))))
-    p, q = (long.select(F.col("variant"), *(F.col(c).alias(f"{c}_{s}") for c in ("bill", "vendor", "amount", "number", "billed_on"))) for s in "ab")
-    typo = p.join(q, (p["variant"] == q["variant"]) & (F.col("vendor_a") == F.col("vendor_b")) & (F.col("amount_a") == F.col("amount_b")) & first)
-    typo = typo.where((F.col("number_a") != F.col("number_b")) & (days <= 14) & J.one_keystroke(F.col("number_a"), F.col("number_b"))).select("bill_a", "bill_b", F.lit(2).alias("rule")).distinct()
-    other = x.join(y, (F.col("number_a") == F.col("number_b")) & (F.col("amount_a") == F.col("amount_b")) & (F.col("vendor_a") != F.col("vendor_b")) & first)
-    other = other.select("bill_a", "bill_b", F.lit(3).alias("rule"))
-    return exact.unionByName(typo).unionByName(other).unionByName(near).groupBy("bill_a", "bill_b").agg(F.min("rule").alias("rule"))
+    long = (F.length("number_a") >= 4) & (F.length("number_b") >= 4)
+    typo = long & J.one_keystroke(F.col("number_a"), F.col("number_b"))
+    close = left.join(right, same & first & (F.col("bucket") == F.col("own"))).where((F.col("number_a") != F.col("number_b")) & (days <= TYPO_DAYS))
+    found = found.unionByName(pair(close, F.when(typo, 2).when(days <= NEAR_DAYS, 4)).where("rule is not null"))
+    undated = x.where("billed_on_a is null").join(y, same & (F.col("bill_a") != F.col("bill_b"))).where(typo)
+    found = found.unionByName(undated.select(F.least("bill_a", "bill_b").alias("bill_a"), F.greatest("bill_a", "bill_b").alias("bill_b"), F.lit(2).alias("rule")))
+    return found.groupBy("bill_a", "bill_b").agg(F.min("rule").alias("rule"))
+
+
+def duplicate_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return duplicate_pairs(bills(spark, sf))
 
 
 DUPLICATE_AUDIT = f"""with b as (select * from {BILLS}), p as (select x.bill as bill_a, y.bill as bill_b, x.vendor = y.vendor as sv, x.number as na, y.number as nb,
     abs(date_diff('day', x.billed_on, y.billed_on)) as days from b x join b y on x.amount = y.amount and x.bill < y.bill and (x.vendor = y.vendor or x.number = y.number)),
   r as (select bill_a, bill_b, case when sv and na = nb then 1
-    when sv and na <> nb and days <= 14 and length(na) >= 4 and length(nb) >= 4 and damerau_levenshtein(na, nb) = 1 then 2
+    when sv and na <> nb and (days is null or days <= 14) and length(na) >= 4 and length(nb) >= 4 and damerau_levenshtein(na, nb) = 1 then 2
     when not sv then 3 when sv and days <= 7 then 4 end as rule from p)
-  select bill_a, bill_b, rule from r where rule is not null"""
+  select bill_a, bill_b, rule from r where rule is not null union all select bill, bill, 1 from b where copies > 1"""
+
+
+def live_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Live checks on a bill: how many others have its vendor and number; its number and amount (to the cent) under another vendor; its vendor and amount within 45 days under another number."""
+    b = bills(spark, sf)
+    mine = b.select("bill", "vendor", "number", "amount", "billed_on")
+    other = b.select(*(F.col(c).alias(f"o_{c}") for c in ("bill", "vendor", "number", "amount", "billed_on")))
+    bucket = lambda d: F.floor(F.unix_date(d) / 45).cast("int")
+    differs = F.col("bill") != F.col("o_bill")
+    one = mine.join(other, (F.col("vendor") == F.col("o_vendor")) & (F.col("number") == F.col("o_number")) & differs).select("bill", F.lit("same_number").alias("kind"))
+    two = mine.join(other, (F.col("number") == F.col("o_number")) & (F.col("vendor") != F.col("o_vendor")) & (F.col("amount") == F.col("o_amount"))).select("bill", F.lit("other_vendor").alias("kind"))
+    near = mine.withColumn("bucket", F.explode(F.array(*(bucket("billed_on") + d for d in (-1, 0, 1)))))
+    met = near.join(other.withColumn("own", bucket("o_billed_on")), (F.col("vendor") == F.col("o_vendor")) & (F.col("amount") == F.col("o_amount")) & (F.col("bucket") == F.col("own")))
+    three = met.where((F.col("number") != F.col("o_number")) & (F.abs(F.date_diff("billed_on", "o_billed_on")) <= 45)).select("bill", F.lit("same_amount").alias("kind"))
+    counts = [F.count_if(F.col("kind") == k).alias(k) for k in ("same_number", "other_vendor", "same_amount")]
+    return one.unionByName(two).unionByName(three).groupBy("bill").agg(*counts)
+
+
+LIVE_DUPLICATES = f"""with b as (select * from {BILLS}), p as (select x.bill, case when x.vendor = y.vendor and x.number = y.number then 1
+    when x.number = y.number and x.amount = y.amount then 2 when x.vendor = y.vendor and x.amount = y.amount and x.number <> y.number and abs(date_diff('day', x.billed_on, y.billed_on)) <= 45 then 3 end as k
+    from b x join b y on x.bill <> y.bill and (x.vendor = y.vendor or x.number = y.number))
+  select bill, count(*) filter (k = 1) as same_number, count(*) filter (k = 2) as other_vendor, count(*) filter (k = 3) as same_amount from p where k is not null group by bill"""
 
 
 def similar_recent(spark: SparkSession, sf: str) -> DataFrame:
     """Live checks on invoices: of a company's other invoices within 45 days the number under 2 % away, and whether the total is over three times the median of three or more."""
     i = T.invoices(spark, sf)
-    h = i.select(F.col("company_id"), F.col("invoice_id").alias("other_id"), F.col("total").alias("other_total"), F.col("invoice_date").alias("other_date"))
+    bucket = lambda d: F.floor(F.unix_date(d) / 45).cast("int")
+    h = i.select(F.col("company_id"), F.col("invoice_id").alias("other_id"), F.col("total").alias("other_total"), F.col("invoice_date").alias("other_date"), bucket("invoice_date").alias("bucket"))
+    spread = i.withColumn("bucket", F.explode(F.array(*(bucket("invoice_date") + d for d in (-1, 0, 1)))))
     close = (F.col("invoice_id") != F.col("other_id")) & (F.abs(F.date_diff("invoice_date", "other_date")) <= 45)
-    near = i.join(h, "company_id").where(close & (F.abs(F.col("total") - F.col("other_total")) * 50 <= F.col("total"))).groupBy("invoice_id").agg(F.count("*").alias("near"))
+    near = spread.join(h, ["company_id", "bucket"]).where(close & (F.abs(F.col("total") - F.col("other_total")) * 50 <= F.col("total"))).groupBy("invoice_id").agg(F.count("*").alias("near"))
     usual = i.where("status = 'approved'").groupBy("company_id").agg(F.median("total").alias("m"), F.count("*").alias("n"))
     flagged = i.join(usual, "company_id", "left").join(near, "invoice_id", "left")
     unusual = (F.col("n") >= 3) & (F.col("total").cast("double") > 3 * F.col("m")) & (F.col("total").cast("double") - F.col("m") >= 1000)
@@ -127,29 +164,30 @@ SIMILAR_RECENT = f"""with i as (select * from {T.INVOICES}), u as (select compan
 
 
 def recurring(spark: SparkSession, sf: str) -> DataFrame:
-    """Companies that bill on a rhythm: distinct dates, median gap of 5 to 120 days, three quarters of the gaps near it, and the next date due."""
-    dates = T.invoices(spark, sf).select("company_id", "invoice_date").distinct()
-    w = Window.partitionBy("company_id").orderBy("invoice_date")
+    """Vendors that bill a category on a rhythm, by month: distinct months, median gap of 5 to 120 days, three quarters of the gaps near it, and the next date due."""
+    own = ["vendor_id", "category"]
+    dates = T.lines(spark, sf).select(*own, F.trunc("line_date", "month").alias("invoice_date")).distinct()
+    w = Window.partitionBy(*own).orderBy("invoice_date")
     gaps = dates.withColumn("gap", F.date_diff("invoice_date", F.lag("invoice_date").over(w)))
-    g = gaps.groupBy("company_id").agg(F.count("*").alias("n_dates"), F.median("gap").alias("m"), F.max("invoice_date").alias("last_date"), F.collect_list("gap").alias("gaps"))
+    g = gaps.groupBy(*own).agg(F.count("*").alias("n_dates"), F.median("gap").alias("m"), F.max("invoice_date").alias("last_date"), F.collect_list("gap").alias("gaps"))
     g = g.withColumn("m2", (F.col("m") * 2).cast("int"))  # medians of whole days are whole or half
     steady = F.size(F.filter("gaps", lambda x: (x * 10 >= F.col("m2") * 3) & (x * 4 <= F.col("m2") * 3)))
     whole = F.bround("m").cast("int")
     found = g.where("n_dates >= 3 and m between 5 and 120").where(steady * 4 >= F.size("gaps") * 3)
-    return found.select("company_id", "n_dates", F.col("m").alias("median_gap"), F.date_add("last_date", whole).alias("next_date"), F.greatest(F.lit(5), F.bround(F.col("m") / 4).cast("int")).alias("grace"))
+    return found.select(*own, "n_dates", F.col("m").alias("median_gap"), F.date_add("last_date", whole).alias("next_date"), F.greatest(F.lit(5), F.bround(F.col("m") / 4).cast("int")).alias("grace"))
 
 
-RECURRING = f"""with d as (select distinct company_id, invoice_date from {T.INVOICES}),
-  g as (select company_id, invoice_date, date_diff('day', lag(invoice_date) over (partition by company_id order by invoice_date), invoice_date) as gap from d),
-  m as (select company_id, count(*) as n_dates, median(gap) as m, max(invoice_date) as last_date, count(gap) as n from g group by 1),
-  s as (select company_id, count(*) as steady from g join m using (company_id) where gap >= 0.6 * m and gap <= 1.5 * m group by 1)
-  select company_id, n_dates, m as median_gap, cast(last_date + cast(round_even(m, 0) as integer) as date) as next_date,
-  greatest(5, cast(round_even(m / 4, 0) as integer)) as grace from m join s using (company_id) where n_dates >= 3 and m between 5 and 120 and steady * 4 >= n * 3"""
+RECURRING = f"""with d as (select distinct vendor_id, category, cast(date_trunc('month', line_date) as date) as invoice_date from {T.LINES}),
+  g as (select *, date_diff('day', lag(invoice_date) over (partition by vendor_id, category order by invoice_date), invoice_date) as gap from d),
+  m as (select vendor_id, category, count(*) as n_dates, median(gap) as m, max(invoice_date) as last_date, count(gap) as n from g group by 1, 2),
+  s as (select vendor_id, category, count(*) as steady from g join m using (vendor_id, category) where gap >= 0.6 * m and gap <= 1.5 * m group by 1, 2)
+  select vendor_id, category, n_dates, m as median_gap, cast(last_date + cast(round_even(m, 0) as integer) as date) as next_date,
+  greatest(5, cast(round_even(m / 4, 0) as integer)) as grace from m join s using (vendor_id, category) where n_dates >= 3 and m between 5 and 120 and steady * 4 >= n * 3"""
 
 
 def order_match(spark: SparkSession, sf: str) -> DataFrame:
     """Three-way match by part: ordered (F lines), billed and received; over-billing in quantity and price over 2 %."""
-    l = T.lines(spark, sf)
+    l = T.lines(spark, sf, parts=False)
     po = l.where("line_status = 'F'").groupBy("vendor_id", "part_id").agg(F.sum("quantity").alias("ordered"), F.sum("amount").alias("po_amount"))
     inv = l.where("line_status = 'O'").groupBy("vendor_id", "part_id").agg(F.sum("quantity").alias("billed"), F.sum("amount").alias("billed_amount"))
     both = po.join(inv, ["vendor_id", "part_id"])
@@ -167,7 +205,7 @@ ORDER_MATCH = f"""with l as (select * from {T.LINES}), p as (select vendor_id, p
 
 def accrued_receipts(spark: SparkSession, sf: str) -> DataFrame:
     """Received but not invoiced at a period end, by vendor: received less billed quantity at the order's mean price."""
-    l, end = T.lines(spark, sf), F.lit("1997-06-30").cast("date")
+    l, end = T.lines(spark, sf, parts=False), F.lit("1997-06-30").cast("date")
     got = l.where(F.col("line_date") <= end).groupBy("vendor_id", "part_id").agg(
         F.sum(F.when(F.col("line_status") == "F", F.col("quantity")).otherwise(0)).alias("received"), F.sum(F.when(F.col("line_status") == "O", F.col("quantity")).otherwise(0)).alias("billed"),
         F.max(F.when(F.col("line_status") == "F", F.col("amount"))).alias("price"),
@@ -197,33 +235,49 @@ LINKAGE = """with c as (select c_custkey, cast(cast(round(c_acctbal) as integer)
 
 
 def description_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Invoice-line descriptions of a vendor's billed parts against its ordered ones: best by shared words and price."""
+    """Billed lines against the lines of the order they quote, here a vendor's of one cost centre: best by shared words and quantity."""
     l = T.lines(spark, sf)
     words = F.array_distinct(F.split(F.lower("description"), "[^a-z0-9]+"))
-    side = lambda s, n: l.where(F.col("line_status") == s).groupBy("vendor_id", "part_id", "description").agg(F.max("quantity").alias(f"q{n}")).select("vendor_id", F.col("part_id").alias(n), words.alias(f"w{n}"), f"q{n}")
-    a, b = side("O", "billed"), side("F", "ordered")
-    pairs = a.join(b, "vendor_id").where("billed % 10 = ordered % 10")
+    side = lambda s, n: l.where(F.col("line_status") == s).groupBy("vendor_id", "cost_center", "part_id", "description").agg(F.max("quantity").alias(f"q{n}")).select("vendor_id", "cost_center", F.col("part_id").alias(n), words.alias(f"w{n}"), f"q{n}")
+    pairs = side("O", "billed").join(side("F", "ordered"), ["vendor_id", "cost_center"])
     score = F.round(J.token_overlap(F.col("wbilled"), F.col("wordered")) * 0.75 + F.when(F.col("qbilled") == F.col("qordered"), 0.25).otherwise(0.0), 6)
     best = J.best_match(pairs.withColumn("_row", F.struct("vendor_id", "billed")), "_row", "ordered", score, 0.45)
     return best.select("vendor_id", "billed", "ordered", "score")
 
 
-DESCRIPTION_MATCH = f"""with l as (select vendor_id, part_id, line_status, description, max(quantity) as q from {T.LINES} group by 1, 2, 3, 4),
+DESCRIPTION_MATCH = f"""with l as (select vendor_id, cost_center, part_id, line_status, description, max(quantity) as q from {T.LINES} group by 1, 2, 3, 4, 5),
   w as (select *, list_distinct(regexp_split_to_array(lower(description), '[^a-z0-9]+')) as w from l),
   p as (select a.vendor_id, a.part_id as billed, b.part_id as ordered, round(len(list_intersect(a.w, b.w)) / greatest(least(len(a.w), len(b.w)), 1) * 0.75 + case when a.q = b.q then 0.25 else 0 end, 6) as score
-    from w a join w b on a.vendor_id = b.vendor_id and a.line_status = 'O' and b.line_status = 'F' and a.part_id % 10 = b.part_id % 10),
+    from w a join w b on a.vendor_id = b.vendor_id and a.cost_center = b.cost_center and a.line_status = 'O' and b.line_status = 'F'),
   r as (select *, row_number() over (partition by vendor_id, billed order by score desc, ordered) as n from p where score >= 0.45)
   select vendor_id, billed, ordered, cast(score as double) as score from r where n = 1"""
 
 
-def statement_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Statement lines (returned goods' lines) matched one to one with booked lines of the vendor and quantity."""
+def statement_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Statement lines (returned goods' lines) and booked lines."""
     l = T.table(spark, sf, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_suppkey").alias("vendor"), F.col("l_quantity").cast("int").alias("quantity"),
+        F.xxhash64("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_returnflag").alias("id"), F.col("l_suppkey").alias("vendor"), F.col("l_quantity").cast("int").alias("quantity"),
         F.to_date("l_shipdate").alias("at"), F.col("l_extendedprice").alias("amount"), F.col("l_returnflag").alias("flag"),
     )
     one = l.groupBy("id", "vendor", "quantity", "flag").agg(F.min("at").alias("at"), F.max("amount").alias("amount"))
-    return J.greedy_match(one.where("flag = 'R'").drop("flag"), one.where("flag <> 'R'").drop("flag"), ["vendor", "quantity"], 500.0)
+    return one.where("flag = 'R'").drop("flag"), one.where("flag <> 'R'").drop("flag")
+
+
+def statement_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Statement lines matched one to one with booked lines of the vendor and quantity."""
+    return J.greedy_match(*statement_sides(spark, sf), ["vendor", "quantity"], 500.0)
+
+
+def statement_status(spark: SparkSession, sf: str) -> DataFrame:
+    """What a statement's lines and the books say of each other: matched, differs (by more than a cent), payment (an amount below zero), not received, not on statement."""
+    said, booked = statement_sides(spark, sf)
+    taken = J.greedy_match(said, booked, ["vendor", "quantity"], 500.0)
+    left = said.join(taken, F.col("id") == F.col("left_id")).select("vendor", F.col("id").alias("line"), "right_id", F.col("amount").alias("said"))
+    met = left.join(booked.select(F.col("id").alias("right_id"), F.col("amount").alias("booked")), "right_id", "left")
+    status = F.when(F.col("said") < 0, "payment").when(F.col("right_id").isNull(), "not received").when(F.abs(F.col("said") - F.col("booked")) > 0.01, "differs").otherwise("matched")
+    rest = booked.join(taken.where("right_id is not null"), F.col("id") == F.col("right_id"), "left_anti").select("vendor", F.lit("not on statement").alias("status"), "amount")
+    told = met.select("vendor", status.alias("status"), F.col("said").alias("amount")).unionByName(rest)
+    return told.groupBy("vendor", "status").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("amount"))
 
 
 QUERIES = [
@@ -231,6 +285,7 @@ QUERIES = [
     ("rate_overlaps", rate_overlaps, RATE_OVERLAPS),
     ("next_same_action", next_same_action, NEXT_SAME_ACTION),
     ("duplicate_audit", duplicate_audit, DUPLICATE_AUDIT),
+    ("live_duplicates", live_duplicates, LIVE_DUPLICATES),
     ("similar_recent", similar_recent, SIMILAR_RECENT),
     ("recurring", recurring, RECURRING),
     ("order_match", order_match, ORDER_MATCH),
@@ -238,4 +293,5 @@ QUERIES = [
     ("linkage", linkage, LINKAGE),
     ("description_match", description_match, DESCRIPTION_MATCH),
     ("statement_match", statement_match, None),
+    ("statement_status", statement_status, None),
 ]

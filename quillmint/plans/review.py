@@ -56,7 +56,7 @@ ACCOUNT_NAMES = """select p_type as gl, p_brand as name, n from (select p_type,
 def paired_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Proposed (open) and approved (received) lines of an invoice paired by place; what either side lacks stays."""
     w = Window.partitionBy("invoice_id").orderBy("part_id", "line_number", "amount", "quantity")
-    side = lambda s, n: T.lines(spark, sf).where(F.col("line_status") == s).select("invoice_id", F.row_number().over(w).alias("place"), F.col("part_id").alias(n))
+    side = lambda s, n: T.lines(spark, sf, parts=False).where(F.col("line_status") == s).select("invoice_id", F.row_number().over(w).alias("place"), F.col("part_id").alias(n))
     return side("O", "proposed").join(side("F", "approved"), ["invoice_id", "place"], "full_outer")
 
 
@@ -97,7 +97,7 @@ ACCOUNT_STATUS = f"""with u as (select gl, cost_center, count(*) as n from {L} g
 
 def bulk_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Invoices under review with the first reason that keeps them out of a bulk approval."""
-    l = T.lines(spark, sf).groupBy("invoice_id").agg(F.bool_or(F.col("return_flag") == "R").alias("credit"), F.count("*").alias("n"))
+    l = T.lines(spark, sf, parts=False).groupBy("invoice_id").agg(F.bool_or(F.col("return_flag") == "R").alias("credit"), F.count("*").alias("n"))
     j = T.invoices(spark, sf).where("status = 'review'").join(l, "invoice_id", "left")
     reason = F.when(F.col("n").isNull(), "no lines").when(F.col("credit"), "holds a credit").when(F.col("total") > 200000, "over the limit").when(F.col("priority").startswith("1"), "urgent").otherwise("clean")
     return j.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"), out(F.sum("total")).alias("total"))

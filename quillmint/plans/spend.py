@@ -109,19 +109,19 @@ VENDOR_SUMMARY = f"""select v.vendor_id, vendor_name, province, coalesce(receive
 
 
 def batch_totals(spark: SparkSession, sf: str) -> DataFrame:
-    """Export batches (here a month's invoices of one priority) with totals; batches that hold a pending invoice are incomplete and left out."""
-    i = T.invoices(spark, sf).withColumn("batch", F.concat_ws("/", F.date_format("invoice_date", "yyyy-MM"), "priority"))
+    """Export batches (here a day's invoices of one priority) with totals; batches that hold a pending invoice are incomplete and left out."""
+    i = T.invoices(spark, sf).withColumn("batch", F.concat_ws("/", F.date_format("invoice_date", "yyyy-MM-dd"), "priority"))
     incomplete = i.where("status = 'pending_approval'").select("batch").distinct()
     return i.join(incomplete, "batch", "left_anti").groupBy("batch").agg(F.count("*").alias("n"), out(F.sum("total")).alias("total"))
 
 
-BATCH_TOTALS = f"""with i as (select *, strftime(invoice_date, '%Y-%m') || '/' || priority as batch from {T.INVOICES})
+BATCH_TOTALS = f"""with i as (select *, strftime(invoice_date, '%Y-%m-%d') || '/' || priority as batch from {T.INVOICES})
   select batch, count(*) as n, cast(sum(total) as double) as total from i where batch not in (select batch from i where status = 'pending_approval') group by batch"""
 
 
 def tax_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Tax by province and rate: taxable base, tax rounded line by line, and lines at risk (no tax on a charge)."""
-    l = T.lines(spark, sf).join(T.vendors(spark, sf).select("vendor_id", "province"), "vendor_id")
+    l = T.lines(spark, sf, parts=False).join(T.vendors(spark, sf).select("vendor_id", "province"), "vendor_id")
     base = half_up(F.col("amount") * (F.lit(1).cast("decimal(18,2)") - F.col("discount"))).cast("decimal(18,2)")
     tax = half_up(base * F.col("tax_rate")).cast("decimal(18,2)")
     return l.groupBy("province", out(F.col("tax_rate")).alias("rate")).agg(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,3 +33,66 @@ def landed(spark: SparkSession, root: str, keys: list[str], marker: str = "row_m
     numbered = batches.withColumn("_batch", F.regexp_extract(F.input_file_name(), "/([0-9]{20})/", 1))
     last = numbered.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("x"))
     return last.where(F.col(f"x.{marker}") == UPSERT).select(*keys, *(F.col(f"x.{c}").alias(c) for c in rest if c != marker))
+
+
+def follow(events: DataFrame, sent_id: int | None, sent_stamp: str | None, id_col: str = "event_id", stamp_col: str = "happened") -> tuple[DataFrame, bool]:
+    """What to send of an append-only feed since the last id, and whether that is everything.
+
+    The source was restored from a copy where its highest id fell below the last one sent, or the row of that id bears
+    another time than the one sent: then all is sent again.
+    """
+    if sent_id is None:
+        return events, True
+    last = events.agg(F.max(id_col).alias("top"), F.max(F.when(F.col(id_col) == sent_id, F.col(stamp_col).cast("string"))).alias("stamp")).first()
+    restored = last["top"] is None or last["top"] < sent_id or last["stamp"] != sent_stamp
+    return (events if restored else events.where(F.col(id_col) > sent_id)), restored
+
+
+class MassRemoval(ValueError):
+    """A sync would remove more rows than is plausible."""
+
+
+def synced(held: DataFrame, read: DataFrame, keys: list[str], whole: bool, most_removed: float = 0.2) -> DataFrame:
+    """The state after a sync: rows read replace held ones; a whole read also removes what it lacks, but never over a share of all."""
+    kept = held.join(read, keys, "left_anti")
+    if whole:
+        before, gone = held.count(), kept.count()
+        if gone > most_removed * before:
+            raise MassRemoval(f"{gone} of {before} rows are missing")
+        return read
+    return kept.unionByName(read)
+
+
+def read_from(last: str | None, last_whole: str | None, today: str, margin_days: int = 1, whole_days: int = 7) -> str | None:
+    """The change date a sync reads from, a margin before the last one; None, for a whole read, at first and once a week."""
+    if last is None or last_whole is None or (date.fromisoformat(today) - date.fromisoformat(last_whole)).days >= whole_days:
+        return None
+    return (date.fromisoformat(last) - timedelta(days=margin_days)).isoformat()
+
+
+def unseen(files: DataFrame, seen: DataFrame) -> DataFrame:
+    """Files (path, content) whose content was not taken before, once each (the first path), with their hash."""
+    hashed = files.withColumn("hash", F.sha2("content", 256))
+    first = hashed.groupBy("hash").agg(F.min("path").alias("path"))
+    return hashed.join(first, ["hash", "path"]).join(seen.select("hash").distinct(), "hash", "left_anti")
+
+
+def newest_lines(spark: SparkSession, path: str, schema: str, at: str, where: str = "true", limit: int = 200) -> DataFrame:
+    """The newest lines of JSON logs that meet a condition; lines that are no JSON are left out."""
+    rows = spark.read.schema(f"{schema}, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
+    return rows.where("_broken is null").drop("_broken").where(where).orderBy(F.desc(at)).limit(limit)
+
+
+def overlaid(rows: DataFrame, edits: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Rows with hand edits laid over: an edit that is not null wins, whatever a reload brings."""
+    e = edits.select(key, *(F.col(c).alias(f"_{c}") for c in columns))
+    return rows.join(e, key, "left").select(*(F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in rows.columns))
+
+
+def fixed_columns(rows: DataFrame, layout: list[tuple[str, int, str]]) -> DataFrame:
+    """Lines of a fixed layout (column, width, "left" or "right"), cut to width, numbers right and zero-filled: one column, value."""
+    parts = []
+    for column, width, side in layout:
+        text = F.coalesce(F.col(column).cast("string"), F.lit(""))
+        parts.append(F.rpad(text, width, " ") if side == "left" else F.lpad(text, width, "0"))
+    return rows.select(F.concat(*parts).alias("value"))

@@ -30,14 +30,19 @@ INVOICES = """(select o_orderkey as invoice_id, o_custkey as company_id,
   cast(o_totalprice as decimal(18,2)) as total, cast(o_orderdate as date) as invoice_date, o_orderpriority as priority from orders)"""
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    return l.join(p, F.col("l_partkey") == F.col("p_partkey")).select(
+def lines(spark: SparkSession, sf_dir: str, parts: bool = True) -> DataFrame:
+    """Invoice lines. Without ``parts`` the part table is not joined and gl, cost_center, description and category are absent."""
+    l = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("invoice_id"), F.col("l_linenumber").alias("line_number"), F.col("l_suppkey").alias("vendor_id"), F.col("l_partkey").alias("part_id"),
         F.to_date("l_shipdate").alias("line_date"), dec("l_quantity").alias("quantity"), dec("l_extendedprice").alias("amount"), dec("l_discount").alias("discount"),
-        dec("l_tax").alias("tax_rate"), F.col("l_returnflag").alias("return_flag"), F.col("l_linestatus").alias("line_status"), F.col("p_type").alias("gl"),
-        F.col("p_brand").alias("cost_center"), F.col("p_name").alias("description"), F.substring_index("p_type", " ", 1).alias("category"),
+        dec("l_tax").alias("tax_rate"), F.col("l_returnflag").alias("return_flag"), F.col("l_linestatus").alias("line_status"),
     )
+    if not parts:
+        return l
+    p = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("part_id"), F.col("p_type").alias("gl"), F.col("p_brand").alias("cost_center"), F.col("p_name").alias("description"), F.substring_index("p_type", " ", 1).alias("category"),
+    )
+    return l.join(p, "part_id")
 
 
 LINES = """(select l_orderkey as invoice_id, l_linenumber as line_number, l_suppkey as vendor_id, l_partkey as part_id, cast(l_shipdate as date) as line_date,
