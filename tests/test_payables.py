@@ -12,7 +12,8 @@ from quillmint.functions import dates as D
 from quillmint.functions import keys as K
 from quillmint.operators import joins as J
 from quillmint.operators import linematch as M
-from quillmint.plans import coding, matching, tax
+from quillmint.functions import text as X
+from quillmint.plans import coding, lookup, matching, tax
 from quillmint.sources import feeds, files
 from tests.conftest import SF
 
@@ -226,3 +227,39 @@ def test_journal_rows_follow_their_voucher(spark):
     rows = spark.createDataFrame([(1, "V1", 5, "f"), (2, None, 6, "f"), (3, "", 7, "f"), (4, "V2", 8, "f"), (5, None, 9, "f"), (6, "Voucher", 0, "f"), (1, None, 1, "g"), (2, "V9", 1, "g")], "n int, voucher string, amount int, file string").repartition(2)
     got = files.journal(rows, "n", "voucher").select("n", "voucher").collect()
     assert sorted(map(tuple, got)) == [(1, "V1"), (2, "V1"), (2, "V9"), (3, "V1"), (4, "V2"), (5, "V2")]
+
+
+def column(spark, texts, make, *more):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    return [r[0] for r in rows.orderBy("i").select(make(F.col("t"), *more)).collect()]
+
+
+def test_provinces_of_addresses(spark):
+    cases = {
+        "500 Quebec St, Vancouver, BC": "BC", "1234 Rue Ontario Est, Montréal, QC  H2X 1Y4": "QC", "12 King St W, Toronto, Ont. M5V 2T6, Canada": "ON", "Québec": "QC", "Regina, Sask.": "SK",
+        "St. John's, Newfoundland and Labrador": "NL", "Ontario Region": "ON", "Quebec and Ontario offices": None, "Portland 97201": None, None: None,
+    }
+    assert column(spark, cases, X.province) == list(cases.values())
+
+
+def test_currency_evidence(spark):
+    cases = {
+        "All amounts in USD\n1 USD = 1.37 CAD": ("USD", 0.8), "Total CAD 100.00\nPayments in USD accepted": ("CAD", 0.8), "Price 5 EUR": ("EUR", 0.8), "5 EUR and 6 GBP": ("EUR", 0.5),
+        "Total US$ 5": ("USD", 0.8), "£12": ("GBP", 0.8), "$5": None, "": None, None: None,
+    }
+    assert [r and tuple(r) for r in column(spark, cases, X.currency_evidence)] == list(cases.values())
+
+
+def test_mail_and_sentences(spark):
+    subjects = {"Statement of account May": "statement", "Facture 123": "invoice", "Rappel: facture 12": "reminder", "Note de crédit": "credit note", "Purchase order 7": "purchase order", "Lunch": "other"}
+    assert column(spark, subjects, X.mail_kind, F.lit("")) == list(subjects.values())
+    assert column(spark, ["review", "pending_approval", "approved", "x"], X.next_to_act, F.lit("Ann"), F.lit(1)) == [
+        "Ann reviews it, waiting for 1 day", "An approver decides, waiting for 1 day", "Nobody: it is approved", "Nobody: it is closed",
+    ]
+
+
+def test_partitions_are_replaced_alone(spark, tmp_path):
+    path = str(tmp_path / "chart")
+    lookup.load_partition(spark.createDataFrame([("a", 1), ("b", 2)], "company string, n int"), path, "company")
+    lookup.load_partition(spark.createDataFrame([("b", 3)], "company string, n int"), path, "company")
+    assert sorted((r["company"], r["n"]) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 3)]
