@@ -91,22 +91,66 @@ HISTORY_VOTE = f"""with l as (select *, list_distinct(list_filter(regexp_split_t
   from l join b on l.vendor_id = b.vendor_id and description = asked where line_status = 'O' and decisions >= 2 and top * 10 >= 8 * decisions group by 1, 2, 3, 4"""
 
 
-def similar_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Different descriptions that say nearly the same, for every description its best other ones: weighted soft Jaccard of their words, 0.34 or more.
+def alike_descriptions(lines: DataFrame, least: float) -> DataFrame:
+    """Pairs of different descriptions (da, db, both ways round) that say nearly the same: weighted soft Jaccard of their words.
 
     A word weighs one over the accounts its lines led to. Words of one first letter propose the pairs.
     """
-    l = T.lines(spark, sf).withColumn("words", line_words(F.col("description")))
+    l = lines.withColumn("words", line_words(F.col("description")))
     each = l.select("gl", F.explode("words").alias("word")).groupBy("word").agg((F.lit(1.0) / F.count_distinct("gl")).alias("weight"))
     texts = l.select("description", "words").distinct().where("size(words) > 0")
     weighed = texts.select("description", F.explode("words").alias("word")).join(each, "word").groupBy("description").agg(F.array_sort(F.collect_list(F.struct("word", "weight"))).alias("ws"))
     letters = weighed.withColumn("letter", F.explode(F.array_distinct(F.transform("ws", lambda x: F.substring(x["word"], 1, 1)))))
     a, b = (letters.select("letter", F.col("description").alias(f"d{s}"), F.col("ws").alias(f"w{s}")) for s in "ab")
     pairs = a.join(b, "letter").where("da < db").dropDuplicates(["da", "db"])
-    scored = pairs.select("da", "db", F.round(soft_jaccard(F.col("wa"), F.col("wb")), 6).alias("similarity")).where("similarity >= 0.34")
-    both = scored.unionByName(scored.select(F.col("db").alias("da"), F.col("da").alias("db"), "similarity"))
+    scored = pairs.select("da", "db", F.round(soft_jaccard(F.col("wa"), F.col("wb")), 6).alias("similarity")).where(F.col("similarity") >= least)
+    return scored.unionByName(scored.select(F.col("db").alias("da"), F.col("da").alias("db"), "similarity"))
+
+
+OWN_LEAST, OTHERS_LEAST = 0.34, 0.5
+
+
+def similar_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """For every description the best other ones."""
     best = Window.partitionBy("da").orderBy(F.desc("similarity"), "db")
-    return both.withColumn("rank", F.row_number().over(best)).where("rank <= 3").select(F.col("da").alias("description"), "rank", F.col("db").alias("similar"), "similarity")
+    ranked = alike_descriptions(T.lines(spark, sf), OWN_LEAST).withColumn("rank", F.row_number().over(best)).where("rank <= 3")
+    return ranked.select(F.col("da").alias("description"), "rank", F.col("db").alias("similar"), "similarity")
+
+
+def suggested_accounts(spark: SparkSession, sf: str) -> DataFrame:
+    """The account suggested for a vendor's open descriptions, from its own decisions on lines alike, other vendors' on lines much alike, or the account it uses most.
+
+    One reason wins an account, accounts under four tenths of the best score go, and a suggestion stands without a
+    person where the vendor's own lines lead by a margin.
+    """
+    l = T.lines(spark, sf).select("vendor_id", "description", "gl", "line_status")
+    alike = alike_descriptions(l, OWN_LEAST)
+    same = l.select(F.col("description").alias("da"), F.col("description").alias("db"), F.lit(1.0).alias("similarity")).distinct()
+    alike = alike.unionByName(same)
+    past = l.where("line_status = 'F'").groupBy("vendor_id", "description", "gl").agg(F.count("*").alias("d"))
+    asked = l.where("line_status = 'O'").select("vendor_id", "description").distinct()
+    near = asked.join(alike, F.col("description") == F.col("da")).select("vendor_id", "description", F.col("db").alias("like"), "similarity")
+    p = past.select(F.col("vendor_id").alias("other"), F.col("description").alias("like"), "gl", F.least("d", F.lit(5)).alias("d"))
+    closeness = 0.3 * F.col("similarity") + 0.02 * F.col("d")
+    key = ["vendor_id", "description", "gl"]
+    own = near.join(p, (near["like"] == p["like"]) & (F.col("other") == F.col("vendor_id"))).groupBy(*key).agg(F.max(0.6 + closeness).alias("score"), F.max("similarity").alias("best"))
+    own = own.select(*key, "score", F.lit("own lines").alias("reason"), F.col("best").alias("similarity"))
+    # Other vendors' decisions meet a description once, whoever asks; the asking vendor's own part is left out behind.
+    wide = near.where(F.col("similarity") >= OTHERS_LEAST).select("description", "like", "similarity").distinct()
+    told = wide.join(p, "like").groupBy("description", "other", "gl").agg(F.max(0.35 + closeness).alias("score"), F.max("similarity").alias("best"))
+    others = asked.join(told, "description").where("other <> vendor_id").groupBy(*key).agg(F.max("score").alias("s"), F.count("*").alias("vendors"), F.max("best").alias("similarity"))
+    others = others.select(*key, (F.col("s") + 0.01 * F.least("vendors", F.lit(5))).alias("score"), F.lit("other vendors").alias("reason"), "similarity")
+    used = past.groupBy("vendor_id", "gl").agg(F.count("*").alias("n"), F.sum("d").alias("lines"))
+    usual = used.groupBy("vendor_id").agg(F.max_by(F.struct("gl", "n"), F.struct("lines", "gl")).alias("u")).where("u.n >= 4")
+    usual = asked.join(usual, "vendor_id").select("vendor_id", "description", "u.gl", (0.45 + 0.01 * F.least("u.n", F.lit(5))).alias("score"), F.lit("usual account").alias("reason"), F.lit(0.0).alias("similarity"))
+    every = own.unionByName(others).unionByName(usual)
+    each = every.groupBy(*key).agg(F.max(F.struct("score", "reason", "similarity")).alias("x")).select(*key, F.round("x.score", 6).alias("score"), "x.reason", "x.similarity")
+    ranked = Window.partitionBy("vendor_id", "description").orderBy(F.desc("score"), "gl")
+    each = each.withColumns({"rank": F.row_number().over(ranked), "next": F.lead("score").over(ranked)})
+    top = each.where("rank = 1")
+    kept = each.join(top.select("vendor_id", "description", F.col("score").alias("most")), ["vendor_id", "description"]).where("score >= 0.4 * most").groupBy("vendor_id", "description").agg(F.count("*").alias("accounts"))
+    auto = (F.col("reason") == "own lines") & (F.col("similarity") >= 0.4) & (F.col("score") - F.coalesce("next", F.lit(0.0)) >= 0.15)
+    return top.join(kept, ["vendor_id", "description"]).select("vendor_id", "description", "gl", "score", "reason", "accounts", auto.alias("auto"))
 
 
 def without_voids(lines: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -293,7 +337,7 @@ TAGGED_SOURCES = f"""with b as (select 'ap' as source, cast(year(invoice_date) a
 
 
 QUERIES = [
-    ("prior_counts", prior_counts, PRIOR_COUNTS), ("latest_decision", latest_decision, LATEST_DECISION), ("history_vote", history_vote, HISTORY_VOTE), ("similar_lines", similar_lines, None),
+    ("prior_counts", prior_counts, PRIOR_COUNTS), ("latest_decision", latest_decision, LATEST_DECISION), ("history_vote", history_vote, HISTORY_VOTE), ("similar_lines", similar_lines, None), ("suggested_accounts", suggested_accounts, None),
     ("journal_without_voids", journal_without_voids, None), ("winning_copies", winning_copies, WINNING_COPIES), ("voucher_register", voucher_register, VOUCHER_REGISTER), ("order_owner", order_owner, ORDER_OWNER),
     ("company_decision", company_decision, COMPANY_DECISION), ("erp_export", erp_export, ERP_EXPORT), ("work_order", work_order, WORK_ORDER), ("tagged_sources", tagged_sources, TAGGED_SOURCES),
 ]

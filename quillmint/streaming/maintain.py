@@ -35,6 +35,11 @@ def once(arrivals: DataFrame, key: list[str], late: str = "7 days") -> DataFrame
     return arrivals.withWatermark("at", late).dropDuplicatesWithinWatermark(key)
 
 
+def running_counts(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts kept as events come, for complete or update mode."""
+    return events.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
 AUTONOMY = "user_id long, event_id long, state string, clean long"
 MEMORY = "state string, clean long"
 
