@@ -113,7 +113,7 @@ OWN_LEAST, OTHERS_LEAST = 0.34, 0.5
 def similar_lines(spark: SparkSession, sf: str) -> DataFrame:
     """For every description the best other ones."""
     best = Window.partitionBy("da").orderBy(F.desc("similarity"), "db")
-    ranked = alike_descriptions(T.lines(spark, sf), OWN_LEAST).withColumn("rank", F.row_number().over(best)).where("rank <= 3")
+    ranked = alike_descriptions(T.lines(spark, sf), 0.3).withColumn("rank", F.row_number().over(best)).where("rank <= 3")
     return ranked.select(F.col("da").alias("description"), "rank", F.col("db").alias("similar"), "similarity")
 
 
