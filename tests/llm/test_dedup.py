@@ -145,7 +145,7 @@ def test_exact_passages_are_found_and_cut(spark):
         if i % 5 == 0:
             body += other
         rows.append((i, " ".join(body)))
-    rows += [(100, rows[7][1]), (101, " ".join(passage[:49]))] + [r for r in ODD if r[0] != 9007]
+    rows += [(100, rows[7][1]), (101, " ".join(passage[:49]))] + ODD + [(9020, "word " * 400)]
     found = S.repeated_passages(frame(spark, rows))
     want = covered(rows)
     got = {}

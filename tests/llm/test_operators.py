@@ -22,7 +22,7 @@ from quillmint.llm import nbsvm, packing, pieces, quality_rules, secrets, topk,
 from quillmint.llm.queries import ORACLE_SQL, QUERIES
 from quillmint.llm.tokenise import WordCoder
 from tests.conftest import SF
-from tests.llm.helpers import ODD, documents, frame, words_of
+from tests.llm.helpers import ODD, REPEATED, documents, frame, words_of
 from tests.oracle import compare, connect
 
 WORD_BPE, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -426,6 +426,33 @@ def test_archives_are_validated():
             warc.parse_record(record.replace(a, b))
 
 
+# All row-wise operators
+
+def test_repeated_ids(spark):
+    """Every row of an id has a result of its own, whether its text comes again or differs."""
+    rows = documents(15) + REPEATED
+    docs, alike = frame(spark, rows), lambda a, b: sorted(a, key=repr) == sorted(b, key=repr)
+    model = pieces.load(spark, PIECES)
+    assert alike([(r["doc_id"], r["text"]) for r in pieces.decode_pieces(pieces.encode_pieces(docs, model), model).collect()], [(i, t or "") for i, t in rows])
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    want = []
+    for i, t in rows:
+        x = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        want += [(i, k // 4096, x[k : k + 4096]) for k in range(0, len(x), 4096)]
+    packed = packing.pack_pieces(packing.token_pieces(docs, WORD_BPE)).collect()
+    assert alike([(r["doc_id"], r["piece"], ids(r["ids"])) for r in packed], want)
+    assert len({(r["sequence_id"], r["offset"]) for r in packed}) == len(packed)
+    found = secrets.with_secrets(docs, secrets.labelled_samples(docs)).select("doc_id", secrets.joined("_base").alias("base")).collect()
+    assert alike(map(tuple, found), [(i, ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base_spans(t or ""))) for i, t in rows])
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    judged = quality_rules.quality_rules(docs, labels).select("doc_id", *quality_rules.STATS[:5]).collect()
+    assert alike(map(tuple, judged), [(i, *rules(t)) for i, t in rows])
+    for features in (nbsvm.char_ngrams, nbsvm.word_ngrams):
+        scored = [(r["doc_id"], r["score"]) for r in nbsvm.classify(docs, labels, "quality", features, 5, 0, 0.3).collect()]
+        assert alike([i for i, _ in scored], [i for i, _ in rows])
+        assert len({s for i, s in scored if i == 9010}) == 1 and sum(i == 9010 for i, _ in scored) == 2
+
+
 # The pipeline
 
 def test_pipeline(spark, tmp_path):
