@@ -204,19 +204,20 @@ ORDER_MATCH = f"""with l as (select * from {T.LINES}), p as (select vendor_id, p
 
 
 def accrued_receipts(spark: SparkSession, sf: str) -> DataFrame:
-    """Received but not invoiced at a period end, by vendor: received less billed quantity at the order's mean price."""
+    """Received but not invoiced at a period end, by vendor: received less billed quantity of each part, and its value at the order's mean price, half up in cents."""
     l, end = T.lines(spark, sf, parts=False), F.lit("1997-06-30").cast("date")
-    got = l.where(F.col("line_date") <= end).groupBy("vendor_id", "part_id").agg(
-        F.sum(F.when(F.col("line_status") == "F", F.col("quantity")).otherwise(0)).alias("received"), F.sum(F.when(F.col("line_status") == "O", F.col("quantity")).otherwise(0)).alias("billed"),
-        F.max(F.when(F.col("line_status") == "F", F.col("amount"))).alias("price"),
+    got, of = F.col("line_status") == "F", lambda cond, x: F.sum(F.when(cond, x).otherwise(0)).cast("long")
+    g = l.where(F.col("line_date") <= end).groupBy("vendor_id", "part_id").agg(
+        of(got, F.col("quantity").cast("long")).alias("received"), of(F.col("line_status") == "O", F.col("quantity").cast("long")).alias("billed"), of(got, (F.col("amount") * 100).cast("long")).alias("cents"),
     )
-    open_ = got.where("received > billed").groupBy("vendor_id").agg(F.sum(F.col("received") - F.col("billed")).alias("q"), F.max("price").alias("p"), F.count("*").alias("n_parts"))
-    return open_.select("vendor_id", out(F.col("q")).alias("quantity"), out(F.col("p")).alias("highest_price"), "n_parts")
+    open_ = g.where("received > billed").withColumn("open", F.col("received") - F.col("billed"))
+    value = F.call_function("div", 2 * F.col("open") * F.col("cents") + F.col("received"), 2 * F.col("received"))
+    return open_.groupBy("vendor_id").agg(F.sum("open").alias("quantity"), (F.sum(value).cast("double") / 100).alias("value"), F.count("*").alias("n_parts"))
 
 
-ACCRUED_RECEIPTS = f"""with g as (select vendor_id, part_id, sum(case when line_status = 'F' then quantity else 0 end) as received, sum(case when line_status = 'O' then quantity else 0 end) as billed,
-  max(case when line_status = 'F' then amount end) as price from {T.LINES} where line_date <= date '1997-06-30' group by 1, 2)
-  select vendor_id, cast(sum(received - billed) as double) as quantity, cast(max(price) as double) as highest_price, count(*) as n_parts from g where received > billed group by 1"""
+ACCRUED_RECEIPTS = f"""with g as (select vendor_id, part_id, sum(case when line_status = 'F' then cast(quantity as bigint) else 0 end) as received, sum(case when line_status = 'O' then cast(quantity as bigint) else 0 end) as billed,
+  sum(case when line_status = 'F' then cast(amount * 100 as bigint) else 0 end) as cents from {T.LINES} where line_date <= date '1997-06-30' group by 1, 2)
+  select vendor_id, cast(sum(received - billed) as bigint) as quantity, cast(sum((2 * (received - billed) * cents + received) // (2 * received)) as double) / 100 as value, count(*) as n_parts from g where received > billed group by 1"""
 
 
 def linkage(spark: SparkSession, sf: str) -> DataFrame:
