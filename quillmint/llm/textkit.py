@@ -62,6 +62,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, data
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lowered."""
+    return _LOWER[data]
+
+
 class Slice(NamedTuple):
     first: int  # position of the first text in the batch
     offsets: np.ndarray  # of texts in data, from 0
