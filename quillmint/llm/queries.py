@@ -12,6 +12,7 @@ from quillmint.llm.nbsvm import op6_quality_classifier, op8_toxicity
 from quillmint.llm.packing import op3_best_fit_packing
 from quillmint.llm.pieces import op1_sentencepiece
 from quillmint.llm.quality_rules import op5_quality_rules
+from quillmint.llm.resampling import OP12_SQL, op12_importance_resampling
 from quillmint.llm.secrets import op4_secret_scans
 from quillmint.llm.substring_dedup import op9_substring_dedup
 from quillmint.llm.topk import OP7_SQL, op7_exact_top_k
@@ -28,7 +29,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_warc": op10_warc,
+    "op12_importance_resampling": op12_importance_resampling,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_exact_top_k": OP7_SQL, "op13_exact_dedup": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_exact_top_k": OP7_SQL, "op12_importance_resampling": OP12_SQL, "op13_exact_dedup": OP13_SQL}

@@ -92,11 +92,12 @@ class Words(NamedTuple):
     first: np.ndarray  # each text's first word
 
 
-def words(part: Slice) -> Words:
+def words(part: Slice, letters: np.ndarray | None = None) -> Words:
+    """Maximal runs of the bytes that are not spaces, or of those marked in ``letters``."""
     data, offsets = part.data, part.offsets
     n = len(offsets) - 1
     inside = np.zeros(len(data) + 1, bool)
-    np.logical_not(IS_SPACE[data], out=inside[:-1])
+    inside[:-1] = ~IS_SPACE[data] if letters is None else letters[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True  # a text's end also ends its last word
     start = inside.copy()
