@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmint.llm.exact_dedup import OP13_SQL, op13_exact_dedup
+from quillmint.llm.merkle import OP11_SQL, op11_merkle_manifest
 from quillmint.llm.minhash_dedup import op2_minhash_dedup
 from quillmint.llm.nbsvm import op6_quality_classifier, op8_toxicity
 from quillmint.llm.packing import op3_best_fit_packing
@@ -29,8 +30,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_warc": op10_warc,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_exact_top_k": OP7_SQL, "op12_importance_resampling": OP12_SQL, "op13_exact_dedup": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_exact_top_k": OP7_SQL, "op11_merkle_manifest": OP11_SQL, "op12_importance_resampling": OP12_SQL, "op13_exact_dedup": OP13_SQL}

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmint.llm import textkit as tk
+from quillmint.llm.sqltext import CRC_TABLE, crc_sql
 from quillmint.llm.staging import stage, tidy
 
 BUCKETS = 10_000
@@ -206,27 +207,14 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampled(docs, target).drop("n_words")
 
 
-# CRC-32 by its definition: a step of the register for each byte, eight shifts a step.
-CRC_SQL = """
-create_table as (select list(v order by i) as crc from (
-    select i, list_reduce(list_concat([i], range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v from (select unnest(range(256)) as i)))
-"""
-
-
-def crc_sql(text: str) -> str:
-    """SQL for a text's unsigned CRC-32; ``crc`` is the table of create_table."""
-    codes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: cast('0x' || h as bigint))"
-    return f"xor(4294967295, list_reduce(list_concat([4294967295::bigint], {codes}), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])))"
-
-
 OP12_SQL = f"""
-with {CRC_SQL},
+with {CRC_TABLE},
 low as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
 worded as (select doc_id, regexp_extract_all(t, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from low),
 aimed as (select regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark),
 held as (select doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as f from worded),
 sought as (select unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as f from aimed),
-names as (select f, {crc_sql("f")} % 10000 as bucket from (select distinct f from (select f from held union all select f from sought)), create_table),
+names as (select f, {crc_sql("f")} % 10000 as bucket from (select distinct f from (select f from held union all select f from sought)), crc_table),
 s as (select bucket, count(*) as s from held join names using (f) group by bucket),
 t as (select bucket, count(*) as t from sought join names using (f) group by bucket),
 gains as (select bucket, cast(floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select count(*) from held) + 10000) / ((s + 1)::double * ((select count(*) from sought) + 10000)))) as bigint) as gain

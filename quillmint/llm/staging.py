@@ -61,13 +61,13 @@ def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
                 if _made:
                     _made[-1].append((spark, path))
             else:
-                _delete(spark, path)
+                remove(spark, path)
         return result
 
     return run
 
 
-def _delete(spark: SparkSession, name: str) -> None:
+def remove(spark: SparkSession, name: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -85,4 +85,4 @@ def unstage(*tables: DataFrame) -> None:
     """Delete the files of staged tables that no later plan reads."""
     for df in tables:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            _delete(df.sparkSession, folder)
+            remove(df.sparkSession, folder)
