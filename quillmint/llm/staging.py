@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,31 +38,46 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    if _made:
-        _made[-1].append((spark, path))
+    made = _made.get()
+    if made is not None:
+        made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-_made: list[list[tuple[SparkSession, str]]] = []
+#: What the operator that runs in this thread has staged; operators in other threads have lists of their own.
+_made: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("staged", default=None)
+
+
+def _read_paths(df: DataFrame) -> set[str]:
+    """The folders that a plan reads, by its relations and not by their files."""
+    found, leaves = set(), df._jdf.queryExecution().analyzed().collectLeaves().iterator()
+    while leaves.hasNext():
+        leaf = leaves.next()
+        if leaf.getClass().getSimpleName() == "LogicalRelation":
+            roots = leaf.relation().location().rootPaths().iterator()
+            while roots.hasNext():
+                found.add(roots.next().getName())
+    return found
 
 
 def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """Delete, when an operator returns, the tables it staged that its result does not read."""
+    """Delete, when an operator returns, the tables it staged that its result does not read; all, when it fails."""
 
     @wraps(operator)
     def run(*args, **kwargs) -> DataFrame:
-        _made.append([])
+        outer, made = _made.get(), []
+        token = _made.set(made)
+        read: set[str] = set()
         try:
             result = operator(*args, **kwargs)
-            read = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in result.inputFiles()} if _made[-1] else set()
+            read = _read_paths(result) if made else read
         finally:
-            made = _made.pop()
-        for spark, path in made:
-            if path.rsplit("/", 1)[-1] in read:
-                if _made:
-                    _made[-1].append((spark, path))
-            else:
-                remove(spark, path)
+            _made.reset(token)
+            for spark, path in made:
+                if path.rsplit("/", 1)[-1] not in read:
+                    remove(spark, path)
+                elif outer is not None:
+                    outer.append((spark, path))
         return result
 
     return run
