@@ -33,6 +33,7 @@ from quillmint.llm.staging import stage, tidy
 BUCKETS = 10_000
 LOTS = 8  # parts of a bucket's rows
 SLICE_BYTES, SLICE_TEXTS = 1 << 22, 1 << 15
+COUNT_KINDS = {1: "<u1", 4: "<u4"}  # by the bytes of a count; a slice has one of them
 LONG_WORD = 48
 BAND = 256  # scores that are counted together before they are within
 POSTINGS = "slice long, bucket int, place int, doc_id long, n_words long, n_features long, places binary, counts binary, total long"
@@ -102,8 +103,9 @@ def posting_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             def none(kind: pa.DataType, size: int) -> pa.Array:
                 return pa.nulls(size, kind)
 
-            def packed(x: np.ndarray) -> pa.Array:
-                return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(4 * limits), pa.py_buffer(x.astype("<i4"))])
+            def packed(x: np.ndarray, kind: str) -> pa.Array:
+                values = x.astype(kind)
+                return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(values.itemsize * limits), pa.py_buffer(values)])
 
             per_text = np.bincount(doc, minlength=n).astype(np.int64)
             texts = [pa.array(np.full(n, number)), none(pa.int32(), n), pa.array(np.arange(n, dtype=np.int32)), batch.column(0).slice(part.first, n), pa.array(words.astype(np.int64)), pa.array(per_text), none(pa.binary(), n), none(pa.binary(), n), none(pa.int64(), n)]
@@ -111,7 +113,7 @@ def posting_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             m = len(first)
             if m:
                 total = np.add.reduceat(count, first).astype(np.int64)
-                lists = [pa.array(np.full(m, number)), pa.array(held[first].astype(np.int32)), none(pa.int32(), m), none(pa.int64(), m), none(pa.int64(), m), none(pa.int64(), m), packed(own - held * n), packed(count), pa.array(total)]
+                lists = [pa.array(np.full(m, number)), pa.array(held[first].astype(np.int32)), none(pa.int32(), m), none(pa.int64(), m), none(pa.int64(), m), none(pa.int64(), m), packed(own - held * n, "<u2"), packed(count, COUNT_KINDS[4 if count.max() > 255 else 1]), pa.array(total)]
                 yield pa.RecordBatch.from_arrays(lists, schema=schema)
             number += 1
 
@@ -131,7 +133,8 @@ def sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if now is not None:
                     yield finished(now, sums)
                 now, sums = names[i], np.zeros(SLICE_TEXTS, np.int64)
-            places, counts = (np.frombuffer(batch.column(k)[i].as_buffer(), "<i4") for k in (1, 2))
+            places, counts = np.frombuffer(batch.column(1)[i].as_buffer(), "<u2"), batch.column(2)[i].as_buffer()
+            counts = np.frombuffer(counts, COUNT_KINDS[counts.size // len(places)])
             sums[places] += counts.astype(np.int64) * gains[i]  # a text comes once in a row
     if now is not None:
         yield finished(now, sums)

@@ -57,7 +57,7 @@ def brute(rows, target, percent=25, least=20, seed=7):
 def test_resampling_matches_its_definition(spark):
     rows = documents() + documents(40) + ODD + REPEATED
     got = sorted((tuple(r) for r in R.resampled(frame(spark, rows), frame(spark, TARGET)).collect()), key=repr)
-    assert got == brute(rows, TARGET)
+    assert got == brute(rows, TARGET)  # a text of 30,000 equal words among them
 
 
 def test_other_shares_and_slices(spark, monkeypatch):
