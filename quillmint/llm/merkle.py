@@ -122,7 +122,7 @@ def rise(spark: SparkSession, messages: RDD, largest: int, leaves: int) -> tuple
         nodes = leaves // FAN**level
         parts = max(4, min(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes // 1000), nodes // NODES_A_TASK)
         files.append(new_path(spark, f"runs-{level}"))
-        messages.groupByKey(parts, _place).map(_completed).saveAsPickleFile(files[-1])
+        messages.groupByKey(parts, _place).map(_completed).coalesce(parts).saveAsPickleFile(files[-1])
         grown = sc.pickleFile(files[-1]).map(_hashed)
         tops.append(grown.filter(lambda x: x[2] == 1).map(lambda x, level=level: (x[0], (level, x[3]))))
         messages = grown.filter(lambda x: x[2] > 1).map(lambda x: _to_parent(*x))
@@ -158,7 +158,8 @@ def descend(spark: SparkSession, runs: list[str], starts: RDD) -> tuple[RDD, lis
         states = starts.filter(lambda x, level=level: x[1][0] == level).map(lambda x: ((x[0], 0), x[1][1]))
         states = states if handed is None else states.union(handed)
         both = below.map(lambda x: (x[0], (0, *x[1]))).union(states.map(lambda x: (x[0], (1, x[1]))))
-        met = both.groupByKey(max(4, below.getNumPartitions()), _place).map(_met)
+        parts = max(4, below.getNumPartitions())
+        met = both.groupByKey(parts, _place).map(_met).coalesce(parts)
         if level:
             files.append(new_path(spark, f"paths-{level}"))
             met.flatMap(_handed_down).saveAsPickleFile(files[-1])
