@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from quillmint.llm import textkit as tk
 from quillmint.llm.components import components
 from quillmint.llm.holders import sampled, shared_keys
+from quillmint.llm.merkle import numbered
 from quillmint.llm.staging import stage, tidy
 
 SHINGLE = 5
@@ -220,5 +221,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def with_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows with ``_node``, a number for each id and text, which is the id where all its rows have one text.
+
+    Of an id with several texts one keeps the id; the others are numbered past the largest id, or before the smallest
+    where there is no room. Ids and 64-bit marks of texts are shuffled, whole texts only where there are such ids.
+    """
+    mark = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_mark")
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), mark).distinct()
+    several = texts.groupBy("_id").agg(F.min("_mark").alias("first"), F.count("*").alias("texts")).where("texts > 1")
+    others = stage(texts.join(several, "_id").where("_mark <> first").select("_id", "_mark"), "texts-of-repeated-ids")
+    n = others.count()
+    if not n:
+        return docs.withColumn("_node", F.col(id_col).cast("long"))
+    low, high = docs.agg(F.min(F.col(id_col).cast("long")), F.max(F.col(id_col).cast("long"))).first()
+    if high + n < 1 << 63:
+        place = F.lit(high) + 1 + F.col("idx")
+    elif low - n >= -(1 << 63):
+        place = F.lit(low) - 1 - F.col("idx")
+    else:
+        raise ValueError("the ids leave no room for further numbers")
+    places = numbered(others.withColumn("tree", F.lit(0)), "tree", ["_id", "_mark"]).select("_id", "_mark", place.alias("_place"))
+    met = docs.withColumns({"_id": F.col(id_col).cast("long"), "_mark": mark}).join(stage(places, "numbered-texts"), ["_id", "_mark"], "left")
+    return met.withColumn("_node", F.coalesce("_place", "_id")).select(*docs.columns, "_node")
+
+
+@tidy
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows without near duplicates: of each group one text stays, the one of the smallest node, and of its rows one.
+
+    Texts are judged by themselves, also where several have one id. Rows without an id stay as they are.
+    """
+    rows = with_nodes(docs, id_col, text_col)
+    seen = near_duplicates(rows, "_node", text_col).where("doc_id is not null").groupBy(F.col("doc_id").alias("_node"))
+    seen = stage(seen.agg(F.bool_and("kept").alias("kept"), F.count("*").alias("rows")).where("not kept or rows > 1"), "near-duplicates")
+    whole = rows.join(seen.select("_node"), "_node", "left_anti").select(*docs.columns)
+    several = rows.join(seen.where("kept").select("_node"), "_node", "left_semi").dropDuplicates(["_node"]).select(*docs.columns)
+    return whole.unionByName(several)
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

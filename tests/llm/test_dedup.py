@@ -75,6 +75,22 @@ def test_repeated_rows_and_empty_table(spark):
     assert M.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_texts_of_one_id_are_judged_apart(spark):
+    rng = random.Random(8)
+    a, b, c = (" ".join(prose(rng, 80)) for _ in range(3))
+    for shift in (0, (1 << 63) - 8):
+        rows = [(1, a), (5, a), (5, b), (5, None), (6, c), (6, c), (7, c + " end"), (None, a), (None, a)]
+        docs = frame(spark, [(i if i is None else i + shift, t) for i, t in rows])
+        got = M.one_of_each_group(docs)
+        assert got.columns == docs.columns
+        kept = [(r["doc_id"], r["text"]) for r in got.collect()]
+        texts = [t for i, t in kept if i is not None]
+        assert texts.count(a) == 1 and (5 + shift, b) in kept and (5 + shift, None) in kept and texts.count(c) + texts.count(c + " end") == 1
+        assert len(kept) == 6 and kept.count((None, a)) == 2
+    again = M.one_of_each_group(frame(spark, [(1, a), (5, a), (5, b)])).select("doc_id", "text").collect()
+    assert (5, b) in [tuple(r) for r in again] and len(again) == 2
+
+
 def test_both_extremes_are_unbiased():
     rng = np.random.default_rng(1)
     a, b = (rng.integers(0, 1 << 63, 2000).astype(np.uint64) for _ in range(2))
