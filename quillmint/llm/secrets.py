@@ -29,12 +29,14 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "markov")
 
-RUN = r"[A-Za-z0-9+/_=-]{16,}"
+RUN = r"[A-Za-z0-9+/_=-]{16,}"  # LEAST_RUN characters
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIZE = len(ALPHABET)
 BACK_OFF, EVEN = 0.02, 0.001  # shares of the back-off to single characters, and of the even spread in that
 GRAIN = 1000  # steps of a ratio in the histogram
 ORDINARY_BELOW, RANDOM_BELOW = 0.999, 0.01
+LEAST_RUN = 16  # characters of a run that the models judge
+MOST_FITS, STABLE = 4, 0.01
 CHUNK = 256  # matches that are placed together before the chunks are
 SPAN = "struct<start:int,end:int,value:string>"
 REDACTED = "<SECRET>"
@@ -120,15 +122,8 @@ def _ratio(table: Column, value: Column) -> Column:
     return F.aggregate(characters, state, step, lambda acc: acc["total"]) / (F.length(value) - 1)
 
 
-def train(samples: DataFrame) -> tuple[Column, float]:
-    """The table of log-likelihood ratios as an array column, and the calibrated threshold.
-
-    Only counts of transitions, at most 2 * 67 * 67 of them, and two quantiles reach the driver. The threshold lies
-    midway between the 99.9th percentile of ordinary text, run by run as it comes, and the first of random strings.
-    """
-    samples = stage(samples.where(F.length("value") >= 2), "secret-samples")
-    pairs = samples.select("label", "n", F.explode(F.regexp_extract_all("value", F.lit("(?=(..))"), F.lit(1))).alias("pair"))
-    counts = {(r["label"], r["pair"]): r["n"] for r in pairs.groupBy("label", "pair").agg(F.sum("n").alias("n")).collect()}
+def _ratios(counts: dict[tuple[int, str], int]) -> Column:
+    """The table of log-likelihood ratios from counts of (label, transition)."""
     # Shares, not counts, smooth the transitions, so that ratios do not depend on how much text there is.
     share, totals = {}, {}
     for label in (0, 1):
@@ -142,16 +137,57 @@ def train(samples: DataFrame) -> tuple[Column, float]:
         own = counts.get((label, a + b), 0) / seen if seen else share[label, b]
         return (1 - BACK_OFF) * own + BACK_OFF * share[label, b]
 
-    ratios = F.lit([math.log(rate(1, a, b) / rate(0, a, b)) for a in ALPHABET for b in ALPHABET])
-    long = (F.col("label") == 0) | (F.length("value") >= 16)
-    # Ratios lie within a few dozen, so their histogram is small whatever the number of strings.
-    step = F.floor(_ratio(ratios, F.col("value")) * GRAIN).cast("int").alias("step")
-    held: dict[int, list[tuple[int, int]]] = {0: [], 1: []}
-    for r in samples.where(long).select("label", "n", step).groupBy("label", "step").agg(F.sum("n").alias("n")).collect():
-        held[r["label"]].append((r["step"], r["n"]))
-    if not held[0] or not held[1]:
-        return ratios, math.inf
-    return ratios, (max(_quantile(held[0], ORDINARY_BELOW), 0.0) + _quantile(held[1], RANDOM_BELOW)) / 2
+    return F.lit([math.log(rate(1, a, b) / rate(0, a, b)) for a in ALPHABET for b in ALPHABET])
+
+
+def _threshold(ordinary: list[tuple[int, int]], random: list[tuple[int, int]]) -> float:
+    """Midway between ordinary runs, without those above the threshold itself, and the first percentile of random ones.
+
+    Runs of unknown kind are a mixture: what lies above the threshold is taken for random and left out of the ordinary
+    percentile, again until nothing changes. So the threshold never exceeds the random strings' first percentile, however
+    many of the runs are secrets.
+    """
+    least = now = _quantile(random, RANDOM_BELOW)
+    while True:
+        below = [(step, n) for step, n in ordinary if step / GRAIN <= now]
+        after = (max(_quantile(below, ORDINARY_BELOW), 0.0) + least) / 2 if below else least / 2
+        if after >= now:
+            return now
+        now = after
+
+
+def train(samples: DataFrame) -> tuple[Column, float]:
+    """The table of log-likelihood ratios as an array column, and the calibrated threshold.
+
+    Words too short for a secret and plain numbers make the first model of ordinary text. Each further fit
+    adds the long runs that the last one calls ordinary, until the threshold stays. Only counts of transitions, at most
+    2 * 67 * 67 of them, and histograms reach the driver.
+    """
+    samples = stage(samples.where(F.length("value") >= 2), "secret-samples")
+    short = (F.col("label") == 1) | (F.length("value") < LEAST_RUN + 2) | F.col("value").rlike("^_[0-9]+_$")  # an ordinary word has a joint on both sides
+    runs = samples.where(F.length("value") >= F.when(F.col("label") == 1, LEAST_RUN).otherwise(LEAST_RUN + 2))
+
+    def transitions(rows: DataFrame) -> dict[tuple[int, str], int]:
+        pairs = rows.select("label", "n", F.explode(F.regexp_extract_all("value", F.lit("(?=(..))"), F.lit(1))).alias("pair"))
+        return {(r["label"], r["pair"]): r["n"] for r in pairs.groupBy("label", "pair").agg(F.sum("n").alias("n")).collect()}
+
+    first = transitions(samples.where(short))
+    if not any(label == 0 for label, _ in first):
+        return _ratios(first), math.inf
+    counts, threshold = first, None
+    for _ in range(MOST_FITS):
+        ratios, before = _ratios(counts), threshold
+        # Ratios lie within a few dozen, so their histogram is small whatever the number of strings.
+        step = F.floor(_ratio(ratios, F.col("value")) * GRAIN).cast("int").alias("step")
+        held: dict[int, list[tuple[int, int]]] = {0: [], 1: []}
+        for r in runs.select("label", "n", step).groupBy("label", "step").agg(F.sum("n").alias("n")).collect():
+            held[r["label"]].append((r["step"], r["n"]))
+        threshold = _threshold(held[0], held[1])
+        if before is not None and abs(threshold - before) < STABLE:
+            break
+        more = transitions(runs.where(~short & (_ratio(ratios, F.col("value")) <= threshold)))
+        counts = {k: first.get(k, 0) + more.get(k, 0) for k in first.keys() | more.keys()}
+    return ratios, threshold
 
 
 def _quantile(histogram: list[tuple[int, int]], share: float) -> float:

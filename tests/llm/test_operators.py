@@ -22,7 +22,7 @@ from quillmint.llm import nbsvm, packing, pieces, quality_rules, secrets, topk,
 from quillmint.llm.queries import ORACLE_SQL, QUERIES
 from quillmint.llm.tokenise import WordCoder
 from tests.conftest import SF
-from tests.llm.helpers import ODD, REPEATED, documents, frame, words_of
+from tests.llm.helpers import ODD, REPEATED, documents, frame, prose, words_of
 from tests.oracle import compare, connect
 
 WORD_BPE, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -246,6 +246,47 @@ def test_secrets(spark):
     assert secrets.with_secrets(empty, secrets.labelled_samples(empty)).count() == 0
 
 
+@pytest.mark.parametrize("planted", [3, 40, 1000])
+def test_recall_does_not_fall_with_prevalence(spark, planted):
+    """Random strings that no base pattern touches, in few texts and in five places of every text."""
+    rng = random.Random(planted)
+    texts = [list((t or "").split(" ")) for _, t in documents(200)]
+    places = [(k % 200, "".join(rng.choices(secrets.ALPHABET[:62], k=32))) for k in range(planted)]
+    for k, secret in places:
+        texts[k].insert(rng.randrange(len(texts[k]) + 1), secret)
+    docs = frame(spark, [(k, " ".join(t)) for k, t in enumerate(texts)])
+    found = secrets.with_secrets(docs, secrets.labelled_samples(docs), keep=("doc_id", "text")).collect()
+    hits = {(r["text"][s["start"] : s["end"]], s["rank"]) for r in found for s in r["_all"]}
+    caught = {secret for _, secret in places if any(secret in hit for hit, _ in hits)}  # by a base pattern where the words before make it an assignment
+    assert len(caught) >= 0.97 * planted
+    assert len({hit for hit, rank in hits if rank == 3} - caught) <= 2
+
+
+def test_ratio_by_its_definition(spark):
+    counts = {(0, "ab"): 30, (0, "ba"): 10, (0, "a_"): 5, (1, "ab"): 1, (1, "b9"): 7, (1, "9a"): 3}
+    a = secrets.ALPHABET
+
+    def rate(label, x, y):
+        of = {k[1]: n for k, n in counts.items() if k[0] == label}
+        even = (1 - secrets.EVEN) * sum(n for p, n in of.items() if p[1] == y) / sum(of.values()) + secrets.EVEN / len(a)
+        out = sum(n for p, n in of.items() if p[0] == x)
+        return (1 - secrets.BACK_OFF) * (of.get(x + y, 0) / out if out else even) + secrets.BACK_OFF * even
+
+    words = ["abab9a", "ba", "9a9a9a_", "zzzz"]
+    want = [sum(np.log(rate(1, x, y) / rate(0, x, y)) for x, y in zip(w, w[1:])) / (len(w) - 1) for w in words]
+    table = secrets._ratios(counts)
+    got = spark.createDataFrame([(w,) for w in words], "w string").select(secrets._ratio(table, F.col("w")).alias("r")).collect()
+    assert np.allclose([r["r"] for r in got], want)
+
+
+def test_threshold_leaves_out_what_lies_above_it():
+    random_ones = [(1000 + k, 10) for k in range(100)]
+    clean = [(-500 + k, 100) for k in range(400)]
+    alone = secrets._threshold(clean, random_ones)
+    assert secrets._threshold(clean + [(1000 + k, 5000) for k in range(100)], random_ones) <= 1.0
+    assert 0.5 <= alone <= secrets._threshold(clean + random_ones, random_ones) <= 1.0 and secrets._threshold([], random_ones) == 0.5
+
+
 # Operator 5
 
 def rules(t):
@@ -455,10 +496,15 @@ def test_repeated_ids(spark):
 
 # The pipeline
 
+_rng = random.Random(31)
+TWO_TEXTS = [(9101, " ".join(prose(_rng, 120))), (9105, None), (9105, " ".join(prose(_rng, 120)))]
+TWO_TEXTS[1] = (9105, TWO_TEXTS[0][1])
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as P
 
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t) if t else None) for i, t in documents(120) + documents(5) + ODD], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t) if t else None) for i, t in documents(120) + documents(5) + ODD + TWO_TEXTS], spark.read.parquet(f"{SF}/documents.parquet").schema)
     seen = {"start": docs.count()}
     for name, step in P.STAGES:
         out = step(spark, docs, SF)
@@ -468,7 +514,9 @@ def test_pipeline(spark, tmp_path):
         docs = spark.read.parquet(str(tmp_path / name))
         seen[name] = docs.count()
     kept = spark.read.parquet(str(tmp_path / "secret_scans"))
-    assert kept.groupBy("doc_id").count().where("count > 1 and doc_id is not null").count() == 0
+    assert kept.groupBy("doc_id", "text").count().where("count > 1 and doc_id is not null").count() == 0
+    # Of the two texts of an id, the copy goes and the other stays.
+    assert [r["text"] for r in kept.where("doc_id = 9105").collect()] == [TWO_TEXTS[2][1]] and kept.where("doc_id = 9101").count() == 1
     assert kept.where("n_chars <> length(text)").count() == 0
     assert not any(base_spans(r["text"]) for r in kept.select("text").collect())
     assert docs.select("doc_id").distinct().count() == kept.select("doc_id").distinct().count()
