@@ -140,20 +140,16 @@ def _ratios(counts: dict[tuple[int, str], int]) -> Column:
     return F.lit([math.log(rate(1, a, b) / rate(0, a, b)) for a in ALPHABET for b in ALPHABET])
 
 
-def _threshold(ordinary: list[tuple[int, int]], random: list[tuple[int, int]]) -> float:
-    """Midway between ordinary runs, without those above the threshold itself, and the first percentile of random ones.
+def _threshold(ordinary: list[tuple[int, int]], random: list[tuple[int, int]]) -> tuple[float, float]:
+    """The threshold, and the ratio up to which a run of unknown kind is taken for ordinary.
 
-    Runs of unknown kind are a mixture: what lies above the threshold is taken for random and left out of the ordinary
-    percentile, again until nothing changes. So the threshold never exceeds the random strings' first percentile, however
+    The runs are a mixture. Those below half of the random strings' first percentile are ordinary; the threshold is midway
+    between their 99.9th percentile and that first one. So it is half to three quarters of that first percentile, however
     many of the runs are secrets.
     """
-    least = now = _quantile(random, RANDOM_BELOW)
-    while True:
-        below = [(step, n) for step, n in ordinary if step / GRAIN <= now]
-        after = (max(_quantile(below, ORDINARY_BELOW), 0.0) + least) / 2 if below else least / 2
-        if after >= now:
-            return now
-        now = after
+    least = _quantile(random, RANDOM_BELOW)
+    below = [(step, n) for step, n in ordinary if step / GRAIN <= least / 2]
+    return ((max(_quantile(below, ORDINARY_BELOW), 0.0) if below else 0.0) + least) / 2, least / 2
 
 
 def train(samples: DataFrame) -> tuple[Column, float]:
@@ -182,10 +178,10 @@ def train(samples: DataFrame) -> tuple[Column, float]:
         held: dict[int, list[tuple[int, int]]] = {0: [], 1: []}
         for r in runs.select("label", "n", step).groupBy("label", "step").agg(F.sum("n").alias("n")).collect():
             held[r["label"]].append((r["step"], r["n"]))
-        threshold = _threshold(held[0], held[1])
+        threshold, sure = _threshold(held[0], held[1])
         if before is not None and abs(threshold - before) < STABLE:
             break
-        more = transitions(runs.where(~short & (_ratio(ratios, F.col("value")) <= threshold)))
+        more = transitions(runs.where(~short & (_ratio(ratios, F.col("value")) <= sure)))
         counts = {k: first.get(k, 0) + more.get(k, 0) for k in first.keys() | more.keys()}
     return ratios, threshold
 

@@ -282,9 +282,11 @@ def test_ratio_by_its_definition(spark):
 def test_threshold_leaves_out_what_lies_above_it():
     random_ones = [(1000 + k, 10) for k in range(100)]
     clean = [(-500 + k, 100) for k in range(400)]
-    alone = secrets._threshold(clean, random_ones)
-    assert secrets._threshold(clean + [(1000 + k, 5000) for k in range(100)], random_ones) <= 1.0
-    assert 0.5 <= alone <= secrets._threshold(clean + random_ones, random_ones) <= 1.0 and secrets._threshold([], random_ones) == 0.5
+    alone, sure = secrets._threshold(clean, random_ones)
+    assert (alone, sure) == (0.5, 0.5) and secrets._threshold([], random_ones) == (0.5, 0.5)
+    for more in (random_ones, [(1000 + k, 5000) for k in range(100)], [(700, 10**6)]):
+        assert secrets._threshold(clean + more, random_ones) == (alone, sure)
+    assert secrets._threshold(clean + [(400, 10**6)], random_ones) == (0.7, 0.5)
 
 
 # Operator 5
