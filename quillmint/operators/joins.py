@@ -65,7 +65,8 @@ def one_keystroke(a: Column, b: Column) -> Column:
 
 def greedy_match(left: DataFrame, right: DataFrame, keys: Sequence[str], within: float) -> DataFrame:
     """Match rows of equal ``keys`` one to one: left in (at, id) order takes the free right row of the same sign and
-    amount within a tolerance that is nearest in date, then smallest in id.
+    amount within a tolerance that is nearest in date, then smallest in id. A row without a date comes after the dated
+    ones and lies farther from any row than they do.
 
     Both sides have id, at (date) and amount (double). Rows whose amounts are a gap wider than the tolerance apart
     never compete, so a key falls into runs of amounts at such gaps, exactly. A task streams run after run and holds
@@ -76,9 +77,12 @@ def greedy_match(left: DataFrame, right: DataFrame, keys: Sequence[str], within:
     by_amount = Window.partitionBy(*keys).orderBy("amount")
     apart = F.coalesce((F.col("amount") - F.lag("amount").over(by_amount) > within).cast("int"), F.lit(0))
     runs = both.withColumn("_apart", apart).withColumn("_run", F.sum("_apart").over(by_amount.rowsBetween(Window.unboundedPreceding, 0)))
-    order = [*keys, "_run", F.desc("side"), "at", "id"]
+    order = [*keys, "_run", F.desc("side"), F.asc_nulls_last("at"), "id"]
     dealt = runs.select(*keys, "_run", "side", "id", "at", "amount").repartition(*keys, "_run").sortWithinPartitions(*order)
 
+    def apart_in_days(a, b) -> float:
+        return float("inf") if pd.isna(a) or pd.isna(b) else abs((a - b).days)
+
     def match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, free, days = None, [], {}  # free rows as (amount, id), in order; the dates by (amount, id)
         for frame in frames:
@@ -91,7 +95,7 @@ def greedy_match(left: DataFrame, right: DataFrame, keys: Sequence[str], within:
                     days[amount, i] = at
                     continue
                 low, high = bisect.bisect_left(free, (amount - within,)), bisect.bisect_right(free, (amount + within, float("inf")))
-                fits = [(abs((at - days[free[n]]).days), free[n][1], n) for n in range(low, high) if amount * free[n][0] >= 0 and abs(amount - free[n][0]) <= within]
+                fits = [(apart_in_days(at, days[free[n]]), free[n][1], n) for n in range(low, high) if amount * free[n][0] >= 0 and abs(amount - free[n][0]) <= within]
                 best = min(fits, default=None)
                 taken.append((i, best[1] if best else None))
                 if best:

@@ -29,7 +29,7 @@ def account_search(accounts: DataFrame, typed: str, most: int = 20) -> DataFrame
     """Accounts (unit, object, description) that have every typed word: one with a digit begins the unit, the object or both run together, another is in the description; in order, at most some."""
     whole = F.concat("unit", "object")
     found = accounts
-    for word in typed.upper().replace(".", " ").split()[:6]:
+    for word in typed.upper().replace(".", " ").split():
         if any(c.isdigit() for c in word):
             found = found.where(F.col("unit").startswith(word) | F.col("object").startswith(word) | whole.startswith(word))
         else:

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmint.functions.money import half_up, out
+from quillmint.operators.subsets import lines_with_tax
 from quillmint.plans.matching import RATE_SQL, rates
 from quillmint.sources import tables as T
 
@@ -77,7 +74,7 @@ def tax_claim(spark: SparkSession, sf: str) -> DataFrame:
     tax = half_up(F.col("amount") * (1 - F.col("discount")) * F.col("tax_rate")).cast(MONEY)
     l = T.lines(spark, sf).where("tax_rate > 0").withColumn("tax", tax).join(i, "invoice_id").join(v, "vendor_id")
     meals = F.col("gl") == "PROMO"
-    l = l.withColumn("not_claimed", F.when(meals, (F.floor(F.col("tax") * 50) / 100).cast(MONEY)).otherwise(F.lit(0).cast(MONEY)))
+    l = l.withColumn("not_claimed", F.when(meals, (F.signum("tax").cast("int") * F.floor(F.abs("tax") * 50) / 100).cast(MONEY)).otherwise(F.lit(0).cast(MONEY)))
     least = F.when(F.col("invoice_date") >= F.lit(DOCUMENT_FROM).cast("date"), DOCUMENT_TOTAL).otherwise(DOCUMENT_TOTAL_BEFORE)
     issues = F.concat_ws(
         "; ", F.when((F.col("balance") < 0) & (F.abs("total") >= least), F.lit("no valid number")), F.when(meals, F.lit("meals")), F.when(F.col("country") != "AMERICA", F.lit("foreign")), F.when(F.col("priority").startswith("5"), F.lit("not exported"))
@@ -88,7 +85,7 @@ def tax_claim(spark: SparkSession, sf: str) -> DataFrame:
 
 TAX_CLAIM = f"""with l as (select l.*, total, invoice_date, priority, country, balance, cast(round(amount * (1 - discount) * tax_rate, 2) as decimal(18,2)) as tax
     from {T.LINES} l join {T.INVOICES} i using (invoice_id) join {T.VENDORS} v using (vendor_id) where status = 'approved' and tax_rate > 0),
-  c as (select *, case when gl = 'PROMO' then floor(tax * 50) / 100 else 0 end as half,
+  c as (select *, case when gl = 'PROMO' then sign(tax) * floor(abs(tax) * 50) / 100 else 0 end as half,
     concat_ws('; ', case when balance < 0 and abs(total) >= case when invoice_date >= date '{DOCUMENT_FROM}' then {DOCUMENT_TOTAL} else {DOCUMENT_TOTAL_BEFORE} end then 'no valid number' end,
       case when gl = 'PROMO' then 'meals' end, case when country <> 'AMERICA' then 'foreign' end, case when starts_with(priority, '5') then 'not exported' end) as issues from l)
   select strftime(invoice_date, '%Y-%m') as month, issues, cast(sum(tax) as double) - cast(sum(half) as double) as claimed, cast(sum(half) as double) as not_claimed, count(distinct invoice_id) as n_invoices from c group by 1, 2"""
@@ -105,79 +102,50 @@ SELF_ASSESSMENT = f"""with g as (select l.invoice_id, province, official, cast(s
     where status = 'approved' and tax_rate = 0 and official > 0 group by 1, 2, 3)
   select invoice_id, province, cast(official as double) as rate, cast(base as double) as base, cast(round(base * official, 2) as double) as estimate from g where abs(base) >= 0.005"""
 
-MOST_WAYS, MOST_LINES = 64, 30
+LINE_RATE = 0.05
 
 
-def taxed_subset(cents: list[int], tax: int, rate: float) -> tuple[str, list[int]]:
-    """Which lines carry a tax: outcome and the lines' places.
+def line_tax(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each invoice's stated tax (five per cent of the lines not returned): the lines that carry it, and those in doubt.
 
-    Lines of zero or less always belong; a credit note is solved on the reversed sign. Of the sets whose tax fits the
-    stated one up to the rounding of every line, all lines win, then the only set; among several the one that leaves
-    out the fewest lines and is closest. More than MOST_WAYS sets, or MOST_LINES lines, leave it unsure. Sets of either
-    half of the lines meet in order of their sums.
+    Lines of the highest rate stand for credits, lines of PROMO accounts read as untaxed.
     """
-    if tax < 0:
-        cents, tax = [-c for c in cents], -tax
-    slack = max(2, len(cents)) + int(0.5 / rate + 0.5)
-    goal = tax / rate
-    fixed = sum(c for c in cents if c <= 0)
-    free = [k for k, c in enumerate(cents) if c > 0]
-    every = list(range(len(cents)))
-    if abs(sum(cents) - goal) <= slack:
-        return "all", every
-    if len(free) > MOST_LINES:
-        return "unsure", []
-    halves = []
-    for part in (free[: len(free) // 2], free[len(free) // 2 :]):
-        sums = np.zeros(1, np.int64)
-        for k in part:
-            sums = np.concatenate([sums, sums + cents[k]])  # bit j of a place: line part[j] is in
-        order = np.argsort(sums, kind="stable")
-        halves.append((part, sums[order], order))
-    (a, sa, oa), (b, sb, ob) = halves
-    low = np.searchsorted(sb, np.ceil(goal - slack - fixed) - sa, side="left")
-    high = np.searchsorted(sb, np.floor(goal + slack - fixed) - sa, side="right")
-    n = int(np.maximum(high - low, 0).sum())
-    if not n:
-        return "none", []
-    if n > MOST_WAYS:
-        return "unsure", []
-    ways = []
-    for i in np.flatnonzero(high > low):
-        for j in range(low[i], high[i]):
-            chosen = {a[k] for k in range(len(a)) if oa[i] >> k & 1} | {b[k] for k in range(len(b)) if ob[j] >> k & 1}
-            ways.append((len(free) - len(chosen), abs(float(sa[i] + sb[j] + fixed - goal)), [k for k in every if k in chosen or cents[k] <= 0]))
-    return ("unique" if n == 1 else "several"), min(ways)[2]
-
-
-def lines_with_tax(rows: DataFrame, rate: float) -> DataFrame:
-    """invoice_id, outcome and line numbers (in order) from invoice_id, tax (cents) and lines, an array of (line, cents) of one invoice."""
-
-    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out_ = []
-            for i, tax, lines in zip(f["invoice_id"], f["tax"], f["lines"], strict=True):
-                outcome, places = taxed_subset([int(x["cents"]) for x in lines], int(tax), rate)
-                out_.append((i, outcome, [int(lines[k]["line"]) for k in places]))
-            yield pd.DataFrame(out_, columns=["invoice_id", "outcome", "taxed"])
-
-    return rows.mapInPandas(solve, "invoice_id long, outcome string, taxed array<int>")
-
-
-def line_tax(spark: SparkSession, sf: str) -> DataFrame:
-    """Of each invoice's stated tax (five per cent of the lines not returned): the lines that carry it."""
-    l = T.lines(spark, sf, parts=False).where("amount > 0").withColumn("cents", (F.col("amount") * 100).cast("long"))
-    taxed = F.sum(F.when(F.col("return_flag") != "R", F.col("amount")).otherwise(F.lit(0).cast(MONEY)))
-    tax = (half_up(taxed * F.lit("0.05").cast("decimal(4,2)")) * 100).cast("long")
-    per = F.row_number().over(Window.partitionBy("invoice_id").orderBy("line_number", "part_id", "vendor_id", "cents")).alias("line")
-    numbered = l.select("invoice_id", "cents", "return_flag", "amount", per)
-    g = numbered.groupBy("invoice_id").agg(tax.alias("tax"), F.array_sort(F.collect_list(F.struct("line", "cents"))).alias("lines"))
-    return lines_with_tax(g.where("tax > 0"), 0.05).select("invoice_id", "outcome", F.array_join(F.col("taxed").cast("array<string>"), ",").alias("taxed"))
+    l = T.lines(spark, sf).withColumn("cents", (F.col("amount") * F.when(F.col("tax_rate") == F.lit("0.08").cast(MONEY), -100).otherwise(100)).cast("long"))
+    taxed = F.sum(F.when(F.col("return_flag") != "R", F.col("cents")).otherwise(0))
+    per = F.row_number().over(Window.partitionBy("invoice_id").orderBy("line_number", "part_id", "vendor_id", "cents")).cast("int").alias("line")
+    numbered = l.select("invoice_id", "cents", "return_flag", F.col("gl").startswith("PROMO").alias("plain"), per)
+    g = numbered.groupBy("invoice_id").agg(taxed.alias("base"), F.array_sort(F.collect_list(F.struct("line", "cents", "plain"))).alias("lines"))
+    tax = F.round(F.col("base") / F.lit(20).cast("decimal(4,0)")).cast("long")
+    found = lines_with_tax(g.select("invoice_id", tax.alias("tax"), "lines"), LINE_RATE)
+    listed = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return found.select("invoice_id", "outcome", listed("taxed"), listed("doubt"))
+
+
+# Every set of an invoice's lines, as a bit mask.
+LINE_TAX = f"""with l as (select invoice_id, return_flag, starts_with(gl, 'PROMO') as plain, cast(amount * case when tax_rate = 0.08 then -100 else 100 end as bigint) as cents,
+    row_number() over (partition by invoice_id order by line_number, part_id, vendor_id, cast(amount * case when tax_rate = 0.08 then -100 else 100 end as bigint)) as line from {T.LINES}),
+  h as (select invoice_id, count(*) as n, sum(cents) as whole, case when sum(cents) < 0 then -1 else 1 end as sign,
+    cast(round(sum(case when return_flag <> 'R' then cents else 0 end) / 20.0) as bigint) as tax, list(cents order by line) as cs, list(plain order by line) as ps from l group by 1),
+  g as (select *, tax * sign / {LINE_RATE}::double as goal, greatest(2, n) + 10 as slack, list_transform(cs, lambda c: c * sign) as c from h),
+  e as (select *, case when abs(whole * sign - goal) <= slack then 'all' when abs(goal) <= slack then 'none due' end as settled from g),
+  m as (select invoice_id, n, goal, slack, c, ps, unnest(range(0, 1 << n)) as mask from e where settled is null),
+  w as (select *, list_filter(range(1, n + 1), lambda k: (mask >> (k - 1)) & 1 = 1) as way from m),
+  s as (select *, list_filter(range(1, n + 1), lambda k: not list_contains(way, k)) as rest, coalesce(list_sum(list_transform(way, lambda k: c[k])), 0) as total from w),
+  f as (select *, len(list_filter(rest, lambda k: c[k] <= 0)) = 0 as forced from s where abs(total - goal) <= slack and len(list_filter(rest, lambda k: c[k] = 0)) = 0),
+  u as (select *, bool_or(forced) over (partition by invoice_id) as any_forced from f),
+  x as (select *, count(*) over (partition by invoice_id) as ways, row_number() over (partition by invoice_id order by len(list_filter(rest, lambda k: not ps[k])), len(rest), abs(total - goal), way) as place
+    from u where forced or not any_forced),
+  b as (select invoice_id, any_value(ways) as ways, any_value(n) as n, list(way) as sets, any_value(way order by place) as best, any_value(rest order by place) as rest, any_value(ps) as ps from x group by 1),
+  t as (select *, list_sort(list_filter(range(1, n + 1), lambda k: len(list_filter(sets, lambda z: list_contains(z, k) <> list_contains(best, k))) > 0 or (list_contains(rest, k) and not ps[k]))) as doubt from b)
+  select e.invoice_id, coalesce(settled, case when ways is null then 'none' when ways > 20 then 'unsure' when ways = 1 then 'unique' else 'several' end) as outcome,
+    case when settled = 'none due' then '' when settled = 'all' or ways is null or ways > 20 then array_to_string(range(1, e.n + 1), ',') else array_to_string(best, ',') end as taxed,
+    case when settled is not null or ways is null then '' when ways > 20 then array_to_string(range(1, e.n + 1), ',') else array_to_string(doubt, ',') end as doubt
+  from e left join t using (invoice_id)"""
 
 
 QUERIES = [
     ("tax_checks", tax_checks, TAX_CHECKS),
     ("tax_claim", tax_claim, TAX_CLAIM),
     ("self_assessment", self_assessment, SELF_ASSESSMENT),
-    ("line_tax", line_tax, None),
+    ("line_tax", line_tax, LINE_TAX),
 ]

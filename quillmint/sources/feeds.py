@@ -74,7 +74,8 @@ def unseen(files: DataFrame, seen: DataFrame) -> DataFrame:
     """Files (path, content) whose content was not taken before, once each (the first path), with their hash."""
     hashed = files.withColumn("hash", F.sha2("content", 256))
     first = hashed.groupBy("hash").agg(F.min("path").alias("path"))
-    return hashed.join(first, ["hash", "path"]).join(seen.select("hash").distinct(), "hash", "left_anti")
+    fresh = first.join(seen.select("hash").distinct(), "hash", "left_anti")
+    return files.join(fresh, "path")  # the content of fresh files alone
 
 
 def newest_lines(spark: SparkSession, path: str, schema: str, at: str, where: str = "true", limit: int = 200) -> DataFrame:
@@ -90,9 +91,19 @@ def overlaid(rows: DataFrame, edits: DataFrame, key: str, columns: list[str]) ->
 
 
 def fixed_columns(rows: DataFrame, layout: list[tuple[str, int, str]]) -> DataFrame:
-    """Lines of a fixed layout (column, width, "left" or "right"), cut to width, numbers right and zero-filled: one column, value."""
-    parts = []
+    """Lines of a fixed layout (column, width, "left" or "right"): value, and the problem of a line that does not fit.
+
+    Text stands left, cut to width; numbers stand right, zero-filled, a minus before the zeros. A number wider than its
+    place would be another number, so such a line has no value and names its columns.
+    """
+    parts, wide = [], []
     for column, width, side in layout:
         text = F.coalesce(F.col(column).cast("string"), F.lit(""))
-        parts.append(F.rpad(text, width, " ") if side == "left" else F.lpad(text, width, "0"))
-    return rows.select(F.concat(*parts).alias("value"))
+        if side == "left":
+            parts.append(F.rpad(text, width, " "))
+        else:
+            minus = F.when(text.startswith("-"), "-").otherwise("")
+            parts.append(F.concat(minus, F.lpad(F.regexp_replace(text, "^-", ""), F.lit(width) - F.length(minus), F.lit("0"))))
+            wide.append(F.when(F.length(text) > width, F.lit(column)))
+    problem = F.nullif(F.concat_ws(", ", *wide), F.lit("")) if wide else F.lit(None).cast("string")
+    return rows.withColumn("_problem", problem).select(F.when(F.col("_problem").isNull(), F.concat(*parts)).alias("value"), F.col("_problem").alias("problem"))

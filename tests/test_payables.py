@@ -50,8 +50,9 @@ def test_order_of_dates(spark):
 
 def brute_greedy(left, right, within):
     out, free = [], list(right)
-    for key, i, at, amount in sorted(left, key=lambda r: (r[2], r[1])):
-        fits = [(abs((at - r[2]).days), r[1], r) for r in free if r[0] == key and amount * r[3] >= 0 and abs(amount - r[3]) <= within]
+    days = lambda a, b: float("inf") if None in (a, b) else abs((a - b).days)
+    for key, i, at, amount in sorted(left, key=lambda r: (r[2] is None, r[2] or dt.date.max, r[1])):
+        fits = [(days(at, r[2]), r[1], r) for r in free if r[0] == key and amount * r[3] >= 0 and abs(amount - r[3]) <= within]
         best = min(fits, default=None)
         out.append((i, best[1] if best else None))
         if best:
@@ -66,6 +67,9 @@ def test_greedy_match(spark):
     a, b = (spark.createDataFrame(x, "k int, id long, at date, amount double") for x in (left, right))
     pairs = lambda df: sorted(map(tuple, df.collect()), key=str)
     assert pairs(J.greedy_match(a, b, ["k"], 2.0)) == brute_greedy(left, right, 2.0)
+    undated = [(k, i, None if i % 9 == 0 else d, x) for k, i, d, x in left], [(k, i, None if i % 7 == 0 else d, x) for k, i, d, x in right]
+    a, b = (spark.createDataFrame(x, "k int, id long, at date, amount double") for x in undated)
+    assert pairs(J.greedy_match(a, b, ["k"], 2.0)) == brute_greedy(*undated, 2.0)
     said, booked = matching.statement_sides(spark, SF)
     sides = [[((r["vendor"], r["quantity"]), r["id"], r["at"], r["amount"]) for r in x.collect()] for x in (said, booked)]
     assert pairs(matching.statement_match(spark, SF)) == brute_greedy(*sides, 500.0)
@@ -111,48 +115,6 @@ def test_duplicate_pairs_with_copies_and_unknown_dates(spark):
     assert got == want
 
 
-def brute_subset(cents, tax_, rate):
-    sign = -1 if tax_ < 0 else 1
-    cents, goal = [sign * c for c in cents], sign * tax_ / rate
-    slack = max(2, len(cents)) + int(0.5 / rate + 0.5)
-    free = [k for k, c in enumerate(cents) if c > 0]
-    fixed = [k for k, c in enumerate(cents) if c <= 0]
-    ways = []
-    for n in range(len(free) + 1):
-        for out in itertools.combinations(free, n):
-            chosen = sorted(set(free) - set(out) | set(fixed))
-            d = abs(sum(cents[k] for k in chosen) - goal)
-            if d <= slack:
-                ways.append((n, d, chosen))
-    if ways and ways[0][0] == 0:
-        return "all", list(range(len(cents)))
-    if not ways:
-        return "none", []
-    return ("unsure", []) if len(ways) > tax.MOST_WAYS else ("unique" if len(ways) == 1 else "several", min(ways)[2])
-
-
-def test_lines_with_a_tax():
-    rng = random.Random(6)
-    seen = set()
-    for _ in range(400):
-        cents = [rng.choice([rng.randint(-3000, 90_000), 5000, 12_345]) for _ in range(rng.randint(1, 9))]
-        some = [c for c in cents if rng.random() < 0.7]
-        rate = rng.choice([0.05, 0.13])
-        stated = round(sum(some) * rate) + rng.choice([0, 0, 0, 1, 700])
-        if rng.random() < 0.2:
-            cents, stated = [-c for c in cents], -stated
-        got = tax.taxed_subset(cents, stated, rate)
-        assert got == brute_subset(cents, stated, rate)
-        seen.add(got[0])
-    assert seen >= {"all", "unique", "several", "none"}
-    assert tax.taxed_subset([100] * 20, 50, 0.05)[0] == "unsure"
-
-
-def test_lines_with_a_tax_are_found(spark):
-    rows = {r["outcome"]: r["n"] for r in tax.line_tax(spark, SF).groupBy("outcome").agg(F.count("*").alias("n")).collect()}
-    assert rows.get("none", 0) == 0 and rows["all"] > 0 and rows["unique"] > 0
-
-
 def test_without_voids(spark):
     rng = random.Random(7)
     rows = [(rng.choice("ab"), k, rng.choice([-200, -100, 100, 100, 200]), rng.choice(["", "x", "y"])) for k in range(200)]
@@ -221,6 +183,9 @@ def test_small_sources(spark, tmp_path):
     edits = spark.createDataFrame([(2, "by hand")], "id int, name string")
     assert sorted(map(tuple, feeds.overlaid(rows, edits, "id", ["name"]).collect())) == [(1, "x", 5), (2, "by hand", 6)]
     assert sorted(r["value"] for r in feeds.fixed_columns(rows, [("name", 3, "left"), ("n", 4, "right")]).collect()) == ["x  0005", "y  0006"]
+    wide = spark.createDataFrame([("long name", 1234), ("b", 12345), ("c", -123), ("d", -1234), ("e", None)], "name string, n int")
+    told = {r["value"]: r["problem"] for r in feeds.fixed_columns(wide, [("name", 3, "left"), ("n", 4, "right")]).collect()}
+    assert told == {"lon1234": None, "c  -123": None, "e  0000": None, None: "n"}
 
 
 def test_journal_rows_follow_their_voucher(spark):
