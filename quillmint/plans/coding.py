@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmint.functions.money import out
-from quillmint.operators.linematch import line_words, soft_jaccard
+from quillmint.operators.likeness import FILLERS, line_words, similar_pairs, similar_pairs_sql
 from quillmint.sources import tables as T
 
 L, I, V = T.LINES, T.INVOICES, T.VENDORS
@@ -91,66 +91,100 @@ HISTORY_VOTE = f"""with l as (select *, list_distinct(list_filter(regexp_split_t
   from l join b on l.vendor_id = b.vendor_id and description = asked where line_status = 'O' and decisions >= 2 and top * 10 >= 8 * decisions group by 1, 2, 3, 4"""
 
 
-def alike_descriptions(lines: DataFrame, least: float) -> DataFrame:
-    """Pairs of different descriptions (da, db, both ways round) that say nearly the same: weighted soft Jaccard of their words.
+FULL_WEIGHT = 5040  # a word's weight where its lines led to one account
 
-    A word weighs one over the accounts its lines led to. Words of one first letter propose the pairs.
-    """
-    l = lines.withColumn("words", line_words(F.col("description")))
-    each = l.select("gl", F.explode("words").alias("word")).groupBy("word").agg((F.lit(1.0) / F.count_distinct("gl")).alias("weight"))
-    texts = l.select("description", "words").distinct().where("size(words) > 0")
-    weighed = texts.select("description", F.explode("words").alias("word")).join(each, "word").groupBy("description").agg(F.array_sort(F.collect_list(F.struct("word", "weight"))).alias("ws"))
-    letters = weighed.withColumn("letter", F.explode(F.array_distinct(F.transform("ws", lambda x: F.substring(x["word"], 1, 1)))))
-    a, b = (letters.select("letter", F.col("description").alias(f"d{s}"), F.col("ws").alias(f"w{s}")) for s in "ab")
-    pairs = a.join(b, "letter").where("da < db").dropDuplicates(["da", "db"])
-    scored = pairs.select("da", "db", F.round(soft_jaccard(F.col("wa"), F.col("wb")), 6).alias("similarity")).where(F.col("similarity") >= least)
-    return scored.unionByName(scored.select(F.col("db").alias("da"), F.col("da").alias("db"), "similarity"))
+
+def described(lines: DataFrame) -> DataFrame:
+    """Descriptions (id) with their words and weights: a word weighs the less the more accounts its lines led to."""
+    l = lines.select("gl", F.col("description").alias("id"), line_words(F.col("description")).alias("words"))
+    each = l.select("gl", F.explode("words").alias("word")).groupBy("word").agg(F.call_function("div", F.lit(FULL_WEIGHT), F.count_distinct("gl")).alias("weight"))
+    words = l.select("id", "words").distinct().select("id", F.explode("words").alias("word")).join(each, "word")
+    return words.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("word", "weight"))).alias("words"))
 
 
-OWN_LEAST, OTHERS_LEAST = 0.34, 0.5
+DESCRIBED = f"""select id, list({{'word': word, 'weight': weight}} order by word) as words from (
+    select distinct id, word, weight from (select description as id, unnest(list_distinct(list_transform(list_filter(regexp_split_to_array(lower(description), '[^a-z0-9]+'),
+      lambda w: len(w) >= 3 and regexp_matches(w, '[a-z]') and not list_contains({list(FILLERS)}, w)), lambda w: case when len(w) >= 5 and regexp_matches(w, '[^s]s$') then w[:-2] else w end))) as word, gl from {L})
+    join (select word, {FULL_WEIGHT} // count(distinct gl) as weight from (select gl, unnest(list_distinct(list_transform(list_filter(regexp_split_to_array(lower(description), '[^a-z0-9]+'),
+      lambda w: len(w) >= 3 and regexp_matches(w, '[a-z]') and not list_contains({list(FILLERS)}, w)), lambda w: case when len(w) >= 5 and regexp_matches(w, '[^s]s$') then w[:-2] else w end))) as word from {L}) group by 1) using (word)) group by 1"""
+
+
+def alike_descriptions(lines: DataFrame, least: float) -> DataFrame:
+    """Pairs of different descriptions (da, db, both ways round) that say nearly the same, and how nearly, in millionths."""
+    one = similar_pairs(described(lines), least).select(F.col("a").alias("da"), F.col("b").alias("db"), F.round(F.col("similarity") * 1_000_000).cast("long").alias("millionths"))
+    one = one.select(F.explode(F.array(F.struct("da", "db", "millionths"), F.struct(F.col("db").alias("da"), F.col("da").alias("db"), "millionths"))).alias("x"))
+    return one.select("x.da", "x.db", "x.millionths")
+
+
+SIMILAR_LEAST, OWN_LEAST, OTHERS_LEAST = 0.3, 0.34, 0.5
 
 
 def similar_lines(spark: SparkSession, sf: str) -> DataFrame:
     """For every description the best other ones."""
-    best = Window.partitionBy("da").orderBy(F.desc("similarity"), "db")
-    ranked = alike_descriptions(T.lines(spark, sf), 0.3).withColumn("rank", F.row_number().over(best)).where("rank <= 3")
-    return ranked.select(F.col("da").alias("description"), "rank", F.col("db").alias("similar"), "similarity")
+    best = Window.partitionBy("da").orderBy(F.desc("millionths"), "db")
+    ranked = alike_descriptions(T.lines(spark, sf), SIMILAR_LEAST).withColumn("rank", F.row_number().over(best)).where("rank <= 3")
+    return ranked.select(F.col("da").alias("description"), "rank", F.col("db").alias("similar"), (F.col("millionths") / 1_000_000).alias("similarity"))
+
+
+SIMILAR_LINES = f"""with p as (select * from {similar_pairs_sql(DESCRIBED, SIMILAR_LEAST)}),
+  b as (select a as da, b as db, similarity from p union all select b, a, similarity from p),
+  r as (select *, row_number() over (partition by da order by similarity desc, db) as rank from b)
+  select da as description, rank, db as similar, similarity from r where rank <= 3"""
+
+# Scores in ten-millionths, so that sums and ties are exact: what a source counts, what likeness and decisions add.
+OWN, OTHERS, USUAL, BY_DECISION, BY_VENDOR, BY_LINE = 6_000_000, 3_500_000, 4_500_000, 200_000, 100_000, 100_000
+BY_LIKENESS, SHARE_OF_BEST, SURE_LIKENESS, SURE_MARGIN = 3, 4, 400_000, 1_500_000
 
 
 def suggested_accounts(spark: SparkSession, sf: str) -> DataFrame:
-    """The account suggested for a vendor's open descriptions, from its own decisions on lines alike, other vendors' on lines much alike, or the account it uses most.
+    """The account suggested for a vendor's open descriptions, from its own decisions on lines alike, other vendors' on lines much alike, or the one account that all its lines went to.
 
     One reason wins an account, accounts under four tenths of the best score go, and a suggestion stands without a
     person where the vendor's own lines lead by a margin.
     """
     l = T.lines(spark, sf).select("vendor_id", "description", "gl", "line_status")
-    alike = alike_descriptions(l, OWN_LEAST)
-    same = l.select(F.col("description").alias("da"), F.col("description").alias("db"), F.lit(1.0).alias("similarity")).distinct()
-    alike = alike.unionByName(same)
+    same = l.select(F.col("description").alias("da"), F.col("description").alias("db"), F.lit(1_000_000).cast("long").alias("millionths")).distinct()
+    alike = alike_descriptions(l, OWN_LEAST).unionByName(same)
     past = l.where("line_status = 'F'").groupBy("vendor_id", "description", "gl").agg(F.count("*").alias("d"))
     asked = l.where("line_status = 'O'").select("vendor_id", "description").distinct()
-    near = asked.join(alike, F.col("description") == F.col("da")).select("vendor_id", "description", F.col("db").alias("like"), "similarity")
+    near = asked.join(alike, F.col("description") == F.col("da")).select("vendor_id", "description", F.col("db").alias("like"), "millionths")
     p = past.select(F.col("vendor_id").alias("other"), F.col("description").alias("like"), "gl", F.least("d", F.lit(5)).alias("d"))
-    closeness = 0.3 * F.col("similarity") + 0.02 * F.col("d")
+    closeness = BY_LIKENESS * F.col("millionths") + BY_DECISION * F.col("d")
     key = ["vendor_id", "description", "gl"]
-    own = near.join(p, (near["like"] == p["like"]) & (F.col("other") == F.col("vendor_id"))).groupBy(*key).agg(F.max(0.6 + closeness).alias("score"), F.max("similarity").alias("best"))
-    own = own.select(*key, "score", F.lit("own lines").alias("reason"), F.col("best").alias("similarity"))
+    own = near.join(p, (near["like"] == p["like"]) & (F.col("other") == F.col("vendor_id"))).groupBy(*key).agg(F.max(OWN + closeness).alias("score"), F.max("millionths").alias("likeness"))
+    own = own.select(*key, "score", F.lit("own lines").alias("reason"), "likeness")
     # Other vendors' decisions meet a description once, whoever asks; the asking vendor's own part is left out behind.
-    wide = near.where(F.col("similarity") >= OTHERS_LEAST).select("description", "like", "similarity").distinct()
-    told = wide.join(p, "like").groupBy("description", "other", "gl").agg(F.max(0.35 + closeness).alias("score"), F.max("similarity").alias("best"))
-    others = asked.join(told, "description").where("other <> vendor_id").groupBy(*key).agg(F.max("score").alias("s"), F.count("*").alias("vendors"), F.max("best").alias("similarity"))
-    others = others.select(*key, (F.col("s") + 0.01 * F.least("vendors", F.lit(5))).alias("score"), F.lit("other vendors").alias("reason"), "similarity")
-    used = past.groupBy("vendor_id", "gl").agg(F.count("*").alias("n"), F.sum("d").alias("lines"))
-    usual = used.groupBy("vendor_id").agg(F.max_by(F.struct("gl", "n"), F.struct("lines", "gl")).alias("u")).where("u.n >= 4")
-    usual = asked.join(usual, "vendor_id").select("vendor_id", "description", "u.gl", (0.45 + 0.01 * F.least("u.n", F.lit(5))).alias("score"), F.lit("usual account").alias("reason"), F.lit(0.0).alias("similarity"))
+    wide = near.where(F.col("millionths") >= int(OTHERS_LEAST * 1_000_000)).select("description", "like", "millionths").distinct()
+    told = wide.join(p, "like").groupBy("description", "other", "gl").agg(F.max(OTHERS + closeness).alias("score"), F.max("millionths").alias("best"))
+    others = asked.join(told, "description").where("other <> vendor_id").groupBy(*key).agg(F.max("score").alias("s"), F.count("*").alias("vendors"), F.max("best").alias("likeness"))
+    others = others.select(*key, (F.col("s") + BY_VENDOR * F.least("vendors", F.lit(5))).alias("score"), F.lit("other vendors").alias("reason"), "likeness")
+    used = past.groupBy("vendor_id").agg(F.count_distinct("description").alias("n"), F.count_distinct("gl").alias("accounts"), F.min("gl").alias("gl")).where("n >= 4 and accounts = 1")
+    usual = asked.join(used, "vendor_id").select(*key, (USUAL + BY_LINE * F.least("n", F.lit(5))).alias("score"), F.lit("usual account").alias("reason"), F.lit(0).cast("long").alias("likeness"))
     every = own.unionByName(others).unionByName(usual)
-    each = every.groupBy(*key).agg(F.max(F.struct("score", "reason", "similarity")).alias("x")).select(*key, F.round("x.score", 6).alias("score"), "x.reason", "x.similarity")
+    each = every.groupBy(*key).agg(F.max(F.struct("score", "reason", "likeness")).alias("x")).select(*key, "x.*")
     ranked = Window.partitionBy("vendor_id", "description").orderBy(F.desc("score"), "gl")
-    each = each.withColumns({"rank": F.row_number().over(ranked), "next": F.lead("score").over(ranked)})
-    top = each.where("rank = 1")
-    kept = each.join(top.select("vendor_id", "description", F.col("score").alias("most")), ["vendor_id", "description"]).where("score >= 0.4 * most").groupBy("vendor_id", "description").agg(F.count("*").alias("accounts"))
-    auto = (F.col("reason") == "own lines") & (F.col("similarity") >= 0.4) & (F.col("score") - F.coalesce("next", F.lit(0.0)) >= 0.15)
-    return top.join(kept, ["vendor_id", "description"]).select("vendor_id", "description", "gl", "score", "reason", "accounts", auto.alias("auto"))
+    each = each.withColumns({"rank": F.row_number().over(ranked), "next": F.lead("score", 1, 0).over(ranked)})
+    best = each.groupBy("vendor_id", "description").agg(F.max("score").alias("most"))
+    kept = each.join(best, ["vendor_id", "description"]).where(F.col("score") * 10 >= F.col("most") * SHARE_OF_BEST).groupBy("vendor_id", "description").agg(F.count("*").alias("accounts"))
+    auto = (F.col("reason") == "own lines") & (F.col("likeness") >= SURE_LIKENESS) & (F.col("score") - F.col("next") >= SURE_MARGIN)
+    top = each.where("rank = 1").join(kept, ["vendor_id", "description"])
+    return top.select("vendor_id", "description", "gl", (F.col("score") / 10_000_000).alias("score"), "reason", "accounts", auto.alias("auto"))
+
+
+SUGGESTED_ACCOUNTS = f"""with l as (select vendor_id, description, gl, line_status from {L}),
+  p as (select a, b, cast(round(similarity * 1000000) as bigint) as m from {similar_pairs_sql(DESCRIBED, OWN_LEAST)}),
+  k as (select a as da, b as db, m from p union all select b, a, m from p union all select distinct description, description, 1000000 from l),
+  past as (select vendor_id, description, gl, count(*) as d from l where line_status = 'F' group by 1, 2, 3), asked as (select distinct vendor_id, description from l where line_status = 'O'),
+  n as (select q.vendor_id, q.description, h.vendor_id as other, h.gl, m, {BY_LIKENESS} * m + {BY_DECISION} * least(h.d, 5) as closeness from asked q join k on q.description = da join past h on h.description = db),
+  e as (select vendor_id, description, gl, max({OWN} + closeness) as score, 'own lines' as reason, max(m) as likeness from n where other = vendor_id group by 1, 2, 3
+    union all select vendor_id, description, gl, max({OTHERS} + closeness) + {BY_VENDOR} * least(count(distinct other), 5), 'other vendors', max(m) from n where other <> vendor_id and m >= {int(OTHERS_LEAST * 1_000_000)} group by 1, 2, 3
+    union all select q.vendor_id, q.description, u.gl, {USUAL} + {BY_LINE} * least(u.n, 5), 'usual account', 0 from asked q
+      join (select vendor_id, count(distinct description) as n, min(gl) as gl from past group by 1 having count(distinct gl) = 1 and count(distinct description) >= 4) u using (vendor_id)),
+  x as (select vendor_id, description, gl, max(score) as score, arg_max(reason, (score, reason, likeness)) as reason, arg_max(likeness, (score, reason, likeness)) as likeness from e group by 1, 2, 3),
+  r as (select *, row_number() over (partition by vendor_id, description order by score desc, gl) as rank, lead(score, 1, 0) over (partition by vendor_id, description order by score desc, gl) as nxt,
+    max(score) over (partition by vendor_id, description) as most from x),
+  c as (select vendor_id, description, count(*) as accounts from r where score * 10 >= most * {SHARE_OF_BEST} group by 1, 2)
+  select vendor_id, description, gl, score / 10000000.0::double as score, reason, accounts, reason = 'own lines' and likeness >= {SURE_LIKENESS} and score - nxt >= {SURE_MARGIN} as auto from r join c using (vendor_id, description) where rank = 1"""
 
 
 def without_voids(lines: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -337,7 +371,7 @@ TAGGED_SOURCES = f"""with b as (select 'ap' as source, cast(year(invoice_date) a
 
 
 QUERIES = [
-    ("prior_counts", prior_counts, PRIOR_COUNTS), ("latest_decision", latest_decision, LATEST_DECISION), ("history_vote", history_vote, HISTORY_VOTE), ("similar_lines", similar_lines, None), ("suggested_accounts", suggested_accounts, None),
+    ("prior_counts", prior_counts, PRIOR_COUNTS), ("latest_decision", latest_decision, LATEST_DECISION), ("history_vote", history_vote, HISTORY_VOTE), ("similar_lines", similar_lines, SIMILAR_LINES), ("suggested_accounts", suggested_accounts, SUGGESTED_ACCOUNTS),
     ("journal_without_voids", journal_without_voids, None), ("winning_copies", winning_copies, WINNING_COPIES), ("voucher_register", voucher_register, VOUCHER_REGISTER), ("order_owner", order_owner, ORDER_OWNER),
     ("company_decision", company_decision, COMPANY_DECISION), ("erp_export", erp_export, ERP_EXPORT), ("work_order", work_order, WORK_ORDER), ("tagged_sources", tagged_sources, TAGGED_SOURCES),
 ]
