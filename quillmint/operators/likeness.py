@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from quillmint.operators.joins import deletion_variants, one_keystroke
+from quillmint.sources.settled import settled
 
 EQUAL, KEYSTROKE, BEGINS = 100, 80, 75
 LEAST_KEYSTROKE, LEAST_BEGIN = 5, 3  # letters of either word, letters of the shorter one
@@ -49,7 +50,7 @@ def alike_words(words: DataFrame) -> DataFrame:
 
 
 def similar_pairs(lines: DataFrame, least: float, measure: bool = False) -> DataFrame:
-    """Pairs of ids (a < b) with a likeness of at least ``least``: common (in hundredths of weights), together, similarity.
+    """Pairs of ids (a < b) with a likeness of at least ``least`` (to three places): common (in hundredths of weights), together, similarity.
 
     ``lines`` has id and words, an array of (word, weight). A pair that is this alike has in common at least the
     share ``least`` of either line's weight, so a word of the first line's beginning, its rarest words up to that
@@ -57,35 +58,34 @@ def similar_pairs(lines: DataFrame, least: float, measure: bool = False) -> Data
     and what the first line still has from its first such word on must suffice. With ``measure`` the candidates are
     returned with their number of common words in place of the scores.
     """
-    each = lines.select("id", F.explode("words").alias("x")).select("id", "x.word", F.col("x.weight").cast("long").alias("weight"))
+    share = round(least * 1000)
+    each = settled(lines.select("id", F.explode("words").alias("x")).select("id", "x.word", F.col("x.weight").cast("long").alias("weight")))
     held = each.groupBy("word").agg(F.count("*").alias("lines"))
     rare_first = Window.partitionBy("id").orderBy("lines", "word")
     ranked = each.join(held, "word").withColumns({
         "whole": F.sum("weight").over(Window.partitionBy("id")), "rest": F.sum("weight").over(rare_first.rowsBetween(0, Window.unboundedFollowing)),
     })
-    alike = alike_words(each).unionByName(each.select(F.col("word").alias("a"), F.col("word").alias("b"), F.lit(EQUAL).alias("like")).distinct())
-    first = ranked.where(F.col("rest") >= F.lit(least) * F.col("whole")).select(F.col("id").alias("a_id"), F.col("word").alias("a"), F.col("whole").alias("a_whole"), "rest")
+    alike = settled(alike_words(each).unionByName(each.select(F.col("word").alias("a"), F.col("word").alias("b"), F.lit(EQUAL).alias("like")).distinct()))
+    first = ranked.where(F.col("rest") * 1000 >= F.col("whole") * share).select(F.col("id").alias("a_id"), F.col("word").alias("a"), F.col("whole").alias("a_whole"), "rest")
     second = ranked.select(F.col("id").alias("b_id"), F.col("word").alias("b"), F.col("whole").alias("b_whole"))
-    sized = (F.col("a_whole") >= F.lit(least) * F.col("b_whole")) & (F.col("b_whole") >= F.lit(least) * F.col("a_whole"))
+    sized = (F.col("a_whole") * 1000 >= F.col("b_whole") * share) & (F.col("b_whole") * 1000 >= F.col("a_whole") * share)
     met = first.join(alike.drop("like"), "a").join(second, "b").where((F.col("a_id") < F.col("b_id")) & sized)
     found = met.groupBy("a_id", "b_id", "a_whole", "b_whole").agg(F.max("rest").alias("rest"), F.count("*").alias("met"))
-    found = found.where(F.col("rest") * (1 + least) >= F.lit(least) * (F.col("a_whole") + F.col("b_whole")))
+    found = found.where(F.col("rest") * (1000 + share) >= (F.col("a_whole") + F.col("b_whole")) * share)
     if measure:
         return found.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "met")
     pair = ["a_id", "b_id"]
-    ours = found.select(*pair).join(each.select(F.col("id").alias("a_id"), F.col("word").alias("a"), F.col("weight").alias("wa")), "a_id")
+    whole = ["a_whole", "b_whole"]
+    ours = found.drop("rest", "met").join(each.select(F.col("id").alias("a_id"), F.col("word").alias("a"), F.col("weight").alias("wa")), "a_id")
     theirs = each.select(F.col("id").alias("b_id"), F.col("word").alias("b"), F.col("weight").alias("wb"))
     meets = ours.join(alike, "a").join(theirs, ["b_id", "b"]).withColumn("value", F.col("like") * F.least("wa", "wb"))
-    equal = meets.where("a = b")
-    rest = meets.join(equal.select(*pair, "a"), [*pair, "a"], "left_anti").join(equal.select(*pair, F.col("b")), [*pair, "b"], "left_anti")
-    best_a = F.row_number().over(Window.partitionBy(*pair, "a").orderBy(F.desc("value"), "b"))
-    best_b = F.row_number().over(Window.partitionBy(*pair, "b").orderBy(F.desc("value"), "a"))
-    mutual = rest.withColumns({"na": best_a, "nb": best_b}).where("na = 1 and nb = 1")
-    common = equal.select(*pair, "value").unionByName(mutual.select(*pair, "value")).groupBy(*pair).agg(F.sum("value").alias("common"))
-    scored = common.join(found.select(*pair, "a_whole", "b_whole"), pair)
+    of_a, of_b, same = Window.partitionBy(*pair, "a"), Window.partitionBy(*pair, "b"), F.col("a") == F.col("b")
+    free = meets.withColumns({"met_a": F.max(same).over(of_a), "met_b": F.max(same).over(of_b)}).where(same | ~F.col("met_a") & ~F.col("met_b"))
+    ranked = {"na": F.row_number().over(of_a.orderBy(F.desc("value"), "b")), "nb": F.row_number().over(of_b.orderBy(F.desc("value"), "a"))}
+    scored = free.withColumns(ranked).where("na = 1 and nb = 1").groupBy(*pair, *whole).agg(F.sum("value").alias("common"))
     together = (F.col("a_whole") + F.col("b_whole")) * EQUAL - F.col("common")
     scored = scored.withColumn("together", together).withColumn("similarity", F.round(F.col("common") / F.col("together"), 6))
-    return scored.where(F.col("common") >= F.lit(least) * F.col("together")).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "common", "together", "similarity")
+    return scored.where(F.col("common") * 1000 >= F.col("together") * share).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "common", "together", "similarity")
 
 
 def similar_pairs_sql(lines: str, least: float) -> str:
@@ -102,7 +102,7 @@ def similar_pairs_sql(lines: str, least: float) -> str:
       from sp_m anti join sp_e using (a_id, b_id, a) where lk > 0 and not exists (select 1 from sp_e e where e.a_id = sp_m.a_id and e.b_id = sp_m.b_id and e.b = sp_m.b)),
     sp_c as (select a_id, b_id, sum(value) as common from (select a_id, b_id, value from sp_e union all select a_id, b_id, value from sp_r where na = 1 and nb = 1) group by 1, 2),
     sp_t as (select a_id as a, b_id as b, common, (p.whole + q.whole) * {EQUAL} - common as together from sp_c join sp_s p on p.id = a_id join sp_s q on q.id = b_id)
-    select a, b, cast(common as bigint) as common, cast(together as bigint) as together, round(common::double / together::double, 6) as similarity from sp_t where common >= {least}::double * together)"""
+    select a, b, cast(common as bigint) as common, cast(together as bigint) as together, round(common::double / together::double, 6) as similarity from sp_t where common * 1000 >= {round(least * 1000)} * together)"""
 
 
 @F.pandas_udf(DoubleType())

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillmint.functions.money import out
 from quillmint.operators.likeness import FILLERS, line_words, similar_pairs, similar_pairs_sql
 from quillmint.sources import tables as T
+from quillmint.sources.settled import settled
 
 L, I, V = T.LINES, T.INVOICES, T.VENDORS
 
@@ -96,7 +97,7 @@ FULL_WEIGHT = 5040  # a word's weight where its lines led to one account
 
 def described(lines: DataFrame) -> DataFrame:
     """Descriptions (id) with their words and weights: a word weighs the less the more accounts its lines led to."""
-    l = lines.select("gl", F.col("description").alias("id"), line_words(F.col("description")).alias("words"))
+    l = settled(lines.select("gl", F.col("description").alias("id")).distinct()).withColumn("words", line_words(F.col("id")))
     each = l.select("gl", F.explode("words").alias("word")).groupBy("word").agg(F.call_function("div", F.lit(FULL_WEIGHT), F.count_distinct("gl")).alias("weight"))
     words = l.select("id", "words").distinct().select("id", F.explode("words").alias("word")).join(each, "word")
     return words.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("word", "weight"))).alias("words"))
@@ -144,9 +145,9 @@ def suggested_accounts(spark: SparkSession, sf: str) -> DataFrame:
     """
     l = T.lines(spark, sf).select("vendor_id", "description", "gl", "line_status")
     same = l.select(F.col("description").alias("da"), F.col("description").alias("db"), F.lit(1_000_000).cast("long").alias("millionths")).distinct()
-    alike = alike_descriptions(l, OWN_LEAST).unionByName(same)
-    past = l.where("line_status = 'F'").groupBy("vendor_id", "description", "gl").agg(F.count("*").alias("d"))
-    asked = l.where("line_status = 'O'").select("vendor_id", "description").distinct()
+    alike = settled(alike_descriptions(l, OWN_LEAST).unionByName(same))
+    past = settled(l.where("line_status = 'F'").groupBy("vendor_id", "description", "gl").agg(F.count("*").alias("d")))
+    asked = settled(l.where("line_status = 'O'").select("vendor_id", "description").distinct())
     near = asked.join(alike, F.col("description") == F.col("da")).select("vendor_id", "description", F.col("db").alias("like"), "millionths")
     p = past.select(F.col("vendor_id").alias("other"), F.col("description").alias("like"), "gl", F.least("d", F.lit(5)).alias("d"))
     closeness = BY_LIKENESS * F.col("millionths") + BY_DECISION * F.col("d")
