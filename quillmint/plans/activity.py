@@ -297,6 +297,6 @@ QUERIES = [
     ("queue_ageing", queue_ageing, QUEUE_AGEING), ("controls", controls, CONTROLS), ("top_findings", top_findings, TOP_FINDINGS), ("joined_values", joined_values, JOINED_VALUES),
     ("learning_metrics", learning_metrics, LEARNING_METRICS), ("touchless", touchless, TOUCHLESS), ("vendor_workload", vendor_workload, VENDOR_WORKLOAD),
     ("query_by_example", query_by_example, QUERY_BY_EXAMPLE), ("keyset_page", keyset_page, KEYSET_PAGE), ("semi_and_anti", semi_and_anti, SEMI_AND_ANTI), ("quick_search", quick_search, QUICK_SEARCH),
-    ("audit_sample", audit_sample, AUDIT_SAMPLE), ("coding_prior", coding_prior, CODING_PRIOR), ("confidence_fusion", confidence, CONFIDENCE), ("change_feed", change_feed, CHANGE_FEED),
+    ("audit_sample", audit_sample, AUDIT_SAMPLE), ("coding_prior", coding_prior, CODING_PRIOR), ("label_confidence", confidence, CONFIDENCE), ("change_feed", change_feed, CHANGE_FEED),
     ("approx_people", approx_people, APPROX_PEOPLE),
 ]

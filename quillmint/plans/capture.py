@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmint.operators import totals
+from quillmint.operators import fusion, totals
 from quillmint.operators.totals import totals_of
 from quillmint.sources import tables as T
 
@@ -71,6 +71,82 @@ def _totals_sql() -> str:
       subtotal.v as subtotal, total.v as total, charge.v as charge, gst.v as gst, pst.v as pst from r where place = 1"""
 
 
+# Readers: family (readers of one picture err together) and how far each is trusted, in thousandths.
+READERS = [("rules", "text", 850), ("template", "template", 920), ("ocr", "image", 800), ("ocr2", "image", 780), ("cloud", "cloud", 850)]
+FIELDS = ["subtotal", "tax", "total"]
+
+
+def _drawn(j: str, f: str) -> str:
+    """A number under a thousand that an invoice, a reader and a field have."""
+    return f"(invoice_id * 7919 + {j} * 104729 + {f} * 15485863 + (invoice_id % 97) * ({j} + 3) * 331) % 1000"
+
+
+_READ = "case when h < 120 then null when h >= 900 then truth + (h % 7 - 3) * 100 when h >= 860 then truth + 1 else truth end"
+
+
+def invoice_amounts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every invoice's true amounts in cents, one row a field."""
+    l = T.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("invoice_id")).agg(F.sum((F.col("l_extendedprice").cast("decimal(18,2)") * 100).cast("long")).alias("s"))
+    each = F.posexplode(F.array("s", F.expr("(s * 5 + 50) div 100"), F.expr("s + (s * 5 + 50) div 100"))).alias("f", "truth")
+    return l.select("invoice_id", each)
+
+
+def readings(spark: SparkSession, sf: str) -> DataFrame:
+    """What five readers read of every invoice's amounts: mostly the truth, sometimes a cent more, another amount, or nothing."""
+    each = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.lit(family).alias("family"), F.lit(trust).alias("trust")) for j, (_, family, trust) in enumerate(READERS)))).alias("r")
+    rows = invoice_amounts(spark, sf).select("*", each).select("*", "r.*").withColumn("h", F.expr(_drawn("j", "f")))
+    return rows.select("invoice_id", "f", F.expr(_READ).alias("value"), "family", (F.col("trust") * (500 + F.col("h") % 500) / 1_000_000.0).alias("probability"))
+
+
+def confidence_fusion(spark: SparkSession, sf: str) -> DataFrame:
+    """Every invoice's amounts, fused from five readers, checked against each other and calibrated by what approved invoices showed.
+
+    That the amounts add up confirms all three (a strong check, counted twice); a tax at its rate confirms the tax, one
+    that is not is a soft failure; a total under the subtotal fails.
+    """
+    truth = invoice_amounts(spark, sf)
+    chosen = truth.join(fusion.fused(readings(spark, sf), ["invoice_id", "f"], 1), ["invoice_id", "f"], "left")
+    of_invoice = Window.partitionBy("invoice_id")
+    amount = lambda f: F.max(F.when(F.col("f") == f, F.col("value"))).over(of_invoice)
+    chosen = chosen.withColumns({"s": amount(0), "g": amount(1), "t": amount(2)})
+    adds_up = F.coalesce(F.abs(F.col("s") + F.col("g") - F.col("t")) <= 1, F.lit(False))
+    at_rate = F.abs(F.col("g") * 100 - F.col("s") * 5) <= 200
+    confirms = F.when(adds_up, 2).otherwise(0) + F.when((F.col("f") == 1) & F.coalesce(at_rate, F.lit(False)), 1).otherwise(0)
+    said = chosen.withColumns({"confirms": confirms, "failed": (F.col("f") == 2) & F.coalesce(F.col("t") < F.col("s"), F.lit(False)), "soft": (F.col("f") == 1) & F.coalesce(~at_rate, F.lit(False))})
+    rows = fusion.judged(said)
+    approved = T.invoices(spark, sf).where("status = 'approved'").select("invoice_id")
+    past = rows.where("value is not null").join(approved, "invoice_id").groupBy("f", "evidence").agg(F.count("*").alias("cases"), F.count_if(F.abs(F.col("value") - F.col("truth")) <= 1).alias("right"))
+    done = fusion.calibrated(rows, past, ["f", "evidence"])
+    name = F.element_at(F.array(*map(F.lit, FIELDS)), F.col("f") + 1)
+    return done.select("invoice_id", name.alias("field"), "value", "rival", "rival_share", "evidence", "confidence", "status", "calibrated")
+
+
+def _fusion_sql() -> str:
+    readers = ", ".join(f"({j}, '{family}', {trust})" for j, (_, family, trust) in enumerate(READERS))
+    return f"""with a as (select l_orderkey as invoice_id, sum(cast(cast(l_extendedprice as decimal(18,2)) * 100 as bigint))::bigint as s from lineitem group by 1),
+    b as (select invoice_id, unnest([0, 1, 2]) as f, unnest([s, (s * 5 + 50) // 100, s + (s * 5 + 50) // 100]) as truth from a),
+    h as (select b.*, family, trust, {_drawn("j", "f")} as h from b, (values {readers}) r(j, family, trust)),
+    r as (select invoice_id, f, {_READ} as value, family, trust * (500 + h % 500) / 1000000.0::double as p from h),
+    c0 as (select *, coalesce((value - lag(value) over (partition by invoice_id, f order by value) > 1)::int, 0) as apart from r where value is not null),
+    c1 as (select *, sum(apart) over (partition by invoice_id, f order by value range unbounded preceding) as class from c0),
+    m as (select invoice_id, f, class, family, least(max(p), {fusion.MOST_SURE}) as p, arg_max(value, (p, -value)) as value from c1 group by 1, 2, 3, 4),
+    c as (select invoice_id, f, class, round(1 - exp(sum(ln(1 - p))), 9) as strength, arg_max(value, (p, -value)) as value, string_agg(family, '+' order by family) as families from m group by 1, 2, 3),
+    k as (select *, row_number() over w as n, strength / (1 - strength) as odds, sum(strength / (1 - strength)) over (partition by invoice_id, f) as all_odds, lead(value) over w as rival, lead(strength) over w as second
+      from c window w as (partition by invoice_id, f order by strength desc, value)),
+    t as (select invoice_id, f, value, round(odds / (1 + all_odds) + 1e-9, 6) as conf, families, rival, round(coalesce(second / strength, 0) + 1e-9, 6) as rival_share from k where n = 1),
+    u as (select b.invoice_id, b.f, truth, value, conf, rival, rival_share, families || case when rival_share >= {fusion.NAMED_RIVAL} then '|rival' when rival_share > 0 then '|weak rival' else '' end as evidence,
+      max(case when b.f = 0 then value end) over (partition by b.invoice_id) as s, max(case when b.f = 1 then value end) over (partition by b.invoice_id) as g, max(case when b.f = 2 then value end) over (partition by b.invoice_id) as t
+      from b left join t on b.invoice_id = t.invoice_id and b.f = t.f),
+    v as (select *, case when abs(s + g - t) <= 1 then 2 else 0 end + case when f = 1 and abs(g * 100 - s * 5) <= 200 then 1 else 0 end as confirms, f = 2 and coalesce(t < s, false) as failed, f = 1 and coalesce(abs(g * 100 - s * 5) > 200, false) as soft from u),
+    x as (select *, confirms > 0 and not failed as confirmed, case when confirms > 0 and not failed then 1 - (1 - conf) * power(0.5::double, confirms) else conf end as sure from v),
+    y as (select *, round(coalesce(least(sure, case when failed then {fusion.FAILED} when soft then {fusion.SOFT} when not confirmed then {fusion.UNCONFIRMED} else 1.0 end), 0) + 1e-9, 6) as confidence,
+      case when value is null then 'missing' when failed or rival_share >= 1 then 'check' when confirmed and least(sure, case when soft then {fusion.SOFT} else 1.0 end) >= {fusion.VERIFIED_AT} then 'verified' else 'likely' end as status from x),
+    p as (select f, evidence, count(*) as cases, count(*) filter (abs(value - truth) <= 1) as ok from y join {T.INVOICES} i using (invoice_id) where i.status = 'approved' and value is not null group by 1, 2)
+    select invoice_id, list_extract({FIELDS}, y.f + 1) as field, value, rival, rival_share, y.evidence, cast(confidence as double) as confidence, y.status,
+      cast(round(coalesce((ok + {fusion.OWN_CASES} * confidence) / (cases + {fusion.OWN_CASES}), confidence) + 1e-9, 6) as double) as calibrated from y left join p on y.f = p.f and y.evidence = p.evidence"""
+
+
 QUERIES = [
     ("totals_solved", totals_solved, _totals_sql()),
+    ("confidence_fusion", confidence_fusion, _fusion_sql()),
 ]
