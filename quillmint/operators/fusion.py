@@ -58,7 +58,7 @@ def judged(rows: DataFrame) -> DataFrame:
     sure = F.when(confirmed, 1 - (1 - F.col("confidence")) * F.pow(F.lit(0.5), F.col("confirms"))).otherwise(F.col("confidence"))
     capped = F.least(sure, F.when(F.col("failed"), FAILED).when(F.col("soft"), SOFT).when(~confirmed, UNCONFIRMED).otherwise(1.0))
     status = F.when(F.col("value").isNull(), "missing").when(F.col("failed") | (F.col("rival_share") >= 1), "check").when(confirmed & (capped >= VERIFIED_AT), "verified").otherwise("likely")
-    return rows.withColumns({"confidence": six(F.coalesce(capped, F.lit(0.0))), "status": status})
+    return rows.withColumns({"confidence": six(F.when(F.col("value").isNull(), 0.0).otherwise(capped)), "status": status})
 
 
 def calibrated(rows: DataFrame, past: DataFrame, key: list[str]) -> DataFrame:

@@ -139,7 +139,7 @@ def _fusion_sql() -> str:
       from b left join t on b.invoice_id = t.invoice_id and b.f = t.f),
     v as (select *, case when abs(s + g - t) <= 1 then 2 else 0 end + case when f = 1 and abs(g * 100 - s * 5) <= 200 then 1 else 0 end as confirms, f = 2 and coalesce(t < s, false) as failed, f = 1 and coalesce(abs(g * 100 - s * 5) > 200, false) as soft from u),
     x as (select *, confirms > 0 and not failed as confirmed, case when confirms > 0 and not failed then 1 - (1 - conf) * power(0.5::double, confirms) else conf end as sure from v),
-    y as (select *, round(coalesce(least(sure, case when failed then {fusion.FAILED} when soft then {fusion.SOFT} when not confirmed then {fusion.UNCONFIRMED} else 1.0 end), 0) + 1e-9, 6) as confidence,
+    y as (select *, round(case when value is null then 0 else least(sure, case when failed then {fusion.FAILED} when soft then {fusion.SOFT} when not confirmed then {fusion.UNCONFIRMED} else 1.0 end) end + 1e-9, 6) as confidence,
       case when value is null then 'missing' when failed or rival_share >= 1 then 'check' when confirmed and least(sure, case when soft then {fusion.SOFT} else 1.0 end) >= {fusion.VERIFIED_AT} then 'verified' else 'likely' end as status from x),
     p as (select f, evidence, count(*) as cases, count(*) filter (abs(value - truth) <= 1) as ok from y join {T.INVOICES} i using (invoice_id) where i.status = 'approved' and value is not null group by 1, 2)
     select invoice_id, list_extract({FIELDS}, y.f + 1) as field, value, rival, rival_share, y.evidence, cast(confidence as double) as confidence, y.status,
