@@ -34,7 +34,7 @@ from quillmint.llm.staging import stage, tidy
 SHINGLE = 5
 ROWS, BANDS = 5, 36
 PERMUTATIONS = ROWS * BANDS // 2
-BLOCK_SHINGLES, BLOCK_SETS = 1 << 21, 4096
+BLOCK_SHINGLES, BLOCK_SETS = 1 << 20, 4096
 _rng = np.random.default_rng(20_240_229)
 _A = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
@@ -68,6 +68,7 @@ def _sets(part: tk.Slice) -> tuple[np.ndarray, np.ndarray]:
     return tk.distinct(s.doc, s.value, len(part.offsets) - 1)
 
 
+@tk.frugal
 def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in tk.slices(batch.column(1)):
@@ -140,6 +141,7 @@ def links_in_group(ids: np.ndarray, side: np.ndarray, value: np.ndarray, offsets
     return found
 
 
+@tk.frugal
 def confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, side, doc_id, text) come sorted by key; each key's rows are one bounded group.
 
