@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillmint.functions.terms import with_terms
 from quillmint.sources import tables as T
 
 L, I = T.LINES, T.INVOICES
@@ -112,7 +113,37 @@ ACCRUALS = f"""with l as (select *, cast(quantity as bigint) as pieces, cast(amo
   e as (select vendor_id, cost_center, 'expected' as source, false as old, cast((2 * cents + n) // (2 * n) as bigint) as value from b anti join t using (vendor_id, cost_center))
   select vendor_id, source, count(*) as n, count(*) filter (old) as n_old, cast(sum(value) as double) / 100 as value from (select * from t union all select * from e) group by 1, 2"""
 
+# Printed terms with what they mean in SQL over d: the due date of the first instalment, instalments and days between them, discounts.
+TERMS = [
+    ("Net 30", "d + 30", 1, 0, []), ("2/10 Net 30", "d + 30", 1, 0, [(200, "d + 10")]), ("Net 30 EOM", "last_day(d) + 30", 1, 0, []), ("Net 25th prox", "date_trunc('month', d)::date + interval 1 month + interval 24 day", 1, 0, []),
+    ("Due on receipt", "d", 1, 0, []), ("2/10 EOM", "last_day(d) + 30", 1, 0, [(200, "last_day(d) + 10")]), ("Net 2 months", "d + interval 2 month", 1, 0, []), ("Net 30 in 3 payments 15 days apart", "d + 30", 3, 15, []),
+    ("1/2% 10 net 45; overdue accounts 2% per month", "d + 45", 1, 0, [(50, "d + 10")]), ("Overdue accounts are charged 2% interest per month", None, 1, 0, []), ("3/10, 2/20, net 60", "d + 60", 1, 0, [(300, "d + 10"), (200, "d + 20")]),
+    ("Net 30 in 4 payments", "d + 30", 4, 30, []), ("Net 3 weeks", "d + 21", 1, 0, []),
+]
+
+
+def payment_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Every invoice's instalments by its printed terms, and the discounts on offer, the first one's date and amount."""
+    i = T.invoices(spark, sf).select("invoice_id", "invoice_date", (F.col("total") * 100).cast("long").alias("cents"))
+    printed = F.element_at(F.array(*(F.lit(t) for t, *_ in TERMS)), (F.col("invoice_id") % len(TERMS) + 1).cast("int"))
+    planned = with_terms(i.withColumn("terms", printed), "terms", "invoice_date", "cents")
+    first = F.get("discounts", F.lit(0))
+    each = planned.select("invoice_id", F.size("discounts").alias("n_discounts"), first["by"].alias("discount_by"), first["cents"].alias("discount_cents"), F.posexplode_outer("instalments").alias("n", "x"))
+    return each.select("invoice_id", F.coalesce("n", F.lit(0)).alias("n"), F.col("x.due").alias("due"), F.col("x.cents").alias("cents"), "n_discounts", "discount_by", "discount_cents")
+
+
+def _plan_sql() -> str:
+    cases = lambda xs: "case invoice_id % " + str(len(TERMS)) + " " + " ".join(f"when {k} then {x}" for k, x in enumerate(xs)) + " end"
+    first = [t[4][0] if t[4] else (0, "null") for t in TERMS]
+    return f"""with i as (select invoice_id, invoice_date as d, cast(total * 100 as bigint) as c from {I}),
+  p as (select *, {cases([f"cast({t[1] or 'null'} as date)" for t in TERMS])} as due, {cases([t[2] for t in TERMS])} as k, {cases([t[3] for t in TERMS])} as apart, {cases([len(t[4]) for t in TERMS])} as n_discounts,
+    {cases([f"cast({by} as date)" for _, by in first])} as discount_by, {cases([p for p, _ in first])} as points from i)
+  select invoice_id, n::integer as n, case when due is not null then cast(due + cast(n * apart as integer) as date) end as due, case when due is not null then c // k + case when n < c % k then 1 else 0 end end as cents, n_discounts, discount_by,
+    case when points > 0 then (c * points * 2 + 10000) // 20000 end as discount_cents from (select *, unnest(range(k)) as n from p)"""
+
+
 QUERIES = [
+    ("payment_plan", payment_plan, _plan_sql()),
     ("bills_received", bills_received, BILLS_RECEIVED),
     ("accruals", accruals, ACCRUALS),
 ]
