@@ -88,6 +88,11 @@ def remove(spark: SparkSession, name: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, so that the shuffle files of finished plans go before a long operator goes on."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def low_share(hashed: Column, wanted: int, rows: int) -> Column:
     """Whether a 64-bit hash lies among the lowest of ``rows`` hashes, so that about ``wanted`` rows do.
 
