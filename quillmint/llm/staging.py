@@ -30,6 +30,9 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quillmint/{name}-{uuid.uuid4().hex}"
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return the written table.
 
@@ -37,7 +40,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    # The write's own shuffle files serve no later plan.
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before or "false")
     made = _made.get()
     if made is not None:
         made.append((spark, path))
@@ -88,11 +97,6 @@ def remove(spark: SparkSession, name: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Have the driver collect its garbage, so that the shuffle files of finished plans go before a long operator goes on."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def low_share(hashed: Column, wanted: int, rows: int) -> Column:
     """Whether a 64-bit hash lies among the lowest of ``rows`` hashes, so that about ``wanted`` rows do.
 
