@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _shared_folder(spark: SparkSession) -> None:
+def shared_folder(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir; where none is set, a local master (tests) gets a temporary folder."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
@@ -17,9 +17,10 @@ def _shared_folder(spark: SparkSession) -> None:
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="quillmint-")
         context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def settled(df: DataFrame) -> DataFrame:
     """``df`` checkpointed in the shared folder: its rows survive lost executors, and its lineage ends there."""
-    _shared_folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
