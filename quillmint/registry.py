@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with a list QUERIES of (name, query, SQL or None).
-MODULES: tuple[str, ...] = ("quillmint.plans.spend", "quillmint.plans.matching", "quillmint.plans.activity", "quillmint.plans.expressions", "quillmint.plans.review", "quillmint.plans.tax", "quillmint.plans.coding", "quillmint.plans.lookup", "quillmint.plans.capture", "quillmint.plans.orders", "quillmint.plans.duties", "quillmint.plans.changes", "quillmint.streaming.autonomy")
+MODULES: tuple[str, ...] = ("quillmint.plans.spend", "quillmint.plans.matching", "quillmint.plans.activity", "quillmint.plans.expressions", "quillmint.plans.review", "quillmint.plans.tax", "quillmint.plans.coding", "quillmint.plans.lookup", "quillmint.plans.capture", "quillmint.plans.orders", "quillmint.plans.duties", "quillmint.plans.changes", "quillmint.plans.printed", "quillmint.streaming.autonomy")
 
 
 def _entries() -> Iterator[tuple[str, Callable[[SparkSession, str], DataFrame], str | None]]:
