@@ -31,3 +31,31 @@ def filled(rows: DataFrame, keys: Sequence[str], order: Sequence[str], columns:
         met = met & F.col(k).eqNullSafe(F.col(f"_key{n}"))
     joined = own.join(F.broadcast(crossing), met, "left")
     return joined.select(*(F.coalesce(c, f"_before_{c}").alias(c) if c in columns else F.col(c) for c in rows.columns))
+
+
+def runs(rows: DataFrame, keys: Sequence[str], value: str, gap: float, name: str) -> DataFrame:
+    """Rows whose ``value`` is not null, with ``name``: the least value of their run, where a key's values in order fall
+    into runs that lie more than ``gap`` apart.
+
+    Ranges of (keys, value) find their own runs; a range that begins inside a key takes from those before it the key's
+    greatest value, then the beginning of its last run. Fewer rows than ranges are broadcast.
+    """
+    dealt = settled(rows.where(F.col(value).isNotNull()).repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()))
+
+    def with_greatest_before(marked: DataFrame, of: str, name: str) -> DataFrame:
+        along = Window.partitionBy(*keys).orderBy("_part")
+        ends = marked.groupBy(*keys, "_part").agg(F.max(of).alias("_end"))
+        before = F.max("_end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+        crossing = ends.select(*(F.col(k).alias(f"_key{n}") for n, k in enumerate(keys)), F.col("_part").alias("_at"), before.alias(name), F.row_number().over(along).alias("_nth")).where("_nth > 1").drop("_nth")
+        met = F.col("_part") == F.col("_at")
+        for n, k in enumerate(keys):
+            met = met & F.col(k).eqNullSafe(F.col(f"_key{n}"))
+        return marked.join(F.broadcast(crossing), met, "left").drop("_at", *(f"_key{n}" for n in range(len(keys))))
+
+    inside = Window.partitionBy(*keys, "_part").orderBy(value)
+    met = with_greatest_before(dealt, value, "_former")
+    former = F.coalesce(F.lag(value).over(inside), "_former")
+    begun = met.withColumn("_start", F.when(former.isNull() | (F.col(value) - former > gap), F.col(value)))
+    own = with_greatest_before(begun, "_start", "_earlier")
+    start = F.coalesce(F.max("_start").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "_earlier")
+    return own.withColumn(name, start).drop("_part", "_former", "_start", "_earlier")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmint.operators.carry import runs
+
 
 def as_of(facts: DataFrame, rates: DataFrame, key: str, at: str, start: str, end: str, rank: Column, row: str) -> DataFrame:
     """The rate row in force at a fact's date: start <= at <= end (null: open); the best ``rank`` wins, then the latest start.
@@ -68,17 +70,14 @@ def greedy_match(left: DataFrame, right: DataFrame, keys: Sequence[str], within:
     amount within a tolerance that is nearest in date, then smallest in id. A row without a date comes after the dated
     ones and lies farther from any row than they do.
 
-    Both sides have id, at (date) and amount (double). Rows whose amounts are a gap wider than the tolerance apart
-    never compete, so a key falls into runs of amounts at such gaps, exactly. A task streams run after run and holds
-    one run's rows; free rows are looked up by amount.
+    Both sides have id, at (date) and amount (double); a row without an amount matches none. Rows whose amounts are a gap
+    wider than the tolerance apart never compete, so a key falls into runs of amounts at such gaps, exactly, found in
+    ranges of amounts. A task streams run after run and holds one run's rows; free rows are looked up by amount.
     """
     columns = [*keys, "id", "at", "amount"]
     both = left.select(*columns, F.lit(0).alias("side")).unionByName(right.select(*columns, F.lit(1).alias("side")))
-    by_amount = Window.partitionBy(*keys).orderBy("amount")
-    apart = F.coalesce((F.col("amount") - F.lag("amount").over(by_amount) > within).cast("int"), F.lit(0))
-    runs = both.withColumn("_apart", apart).withColumn("_run", F.sum("_apart").over(by_amount.rowsBetween(Window.unboundedPreceding, 0)))
     order = [*keys, "_run", F.desc("side"), F.asc_nulls_last("at"), "id"]
-    dealt = runs.select(*keys, "_run", "side", "id", "at", "amount").repartition(*keys, "_run").sortWithinPartitions(*order)
+    dealt = runs(both, keys, "amount", within, "_run").select(*keys, "_run", "side", "id", "at", "amount").repartition(*keys, "_run").sortWithinPartitions(*order)
 
     def apart_in_days(a, b) -> float:
         return float("inf") if pd.isna(a) or pd.isna(b) else abs((a - b).days)
@@ -103,7 +102,8 @@ def greedy_match(left: DataFrame, right: DataFrame, keys: Sequence[str], within:
             ids = zip(*taken, strict=True) if taken else ((), ())
             yield pd.DataFrame({c: pd.array(list(x), dtype="Int64") for c, x in zip(("left_id", "right_id"), ids, strict=True)})  # never by way of floats
 
-    return dealt.mapInPandas(match, "left_id long, right_id long")
+    unknown = left.where(F.col("amount").isNull()).select(F.col("id").cast("long").alias("left_id"), F.lit(None).cast("long").alias("right_id"))
+    return dealt.mapInPandas(match, "left_id long, right_id long").unionByName(unknown)
 
 
 def token_overlap(a: Column, b: Column) -> Column:

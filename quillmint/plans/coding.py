@@ -191,14 +191,14 @@ SUGGESTED_ACCOUNTS = f"""with l as (select vendor_id, description, gl, line_stat
 def without_voids(lines: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Rows (key, cents, remark, ...) without voided ones: a negative row cancels the latest earlier positive row of its key and amount that is not cancelled yet, of its remark when it has one. A negative row that cancels none stays.
 
-    A key's open rows are held in the task; key and amount are dealt together.
+    Key and amount are dealt together; such a group's rows are held in the task, its open ones in stacks by remark.
     """
     columns = lines.columns
     at = {c: columns.index(c) for c in ("cents", "remark")}
     own = [columns.index(k) for k in key]
 
     def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, open_, held = None, [], []
+        now, held, stacks = None, [], {}  # open rows' places in ``held``: all under None, and by remark
 
         for f in frames:
             done = []
@@ -206,16 +206,18 @@ def without_voids(lines: DataFrame, key: list[str], order: list[str]) -> DataFra
                 group = (*(row[k] for k in own), abs(row[at["cents"]]))
                 if group != now:
                     done += [r for r in held if r is not None]
-                    now, open_, held = group, [], []
+                    now, held, stacks = group, [], {}
                 cents, remark = row[at["cents"]], (row[at["remark"]] or "").strip()
-                hit = None
                 if cents < 0:
-                    hit = next((n for n in range(len(open_) - 1, -1, -1) if not remark or open_[n][1] == remark), None)
-                if hit is not None:
-                    held[open_.pop(hit)[0]] = None
-                    continue
+                    open_ = stacks.get(remark or None, [])
+                    while open_ and held[open_[-1]] is None:  # cancelled by way of the other stack
+                        open_.pop()
+                    if open_:
+                        held[open_.pop()] = None
+                        continue
                 if cents > 0:
-                    open_.append((len(held), remark))
+                    for stack in {None, remark or None}:
+                        stacks.setdefault(stack, []).append(len(held))
                 held.append(row)
             yield pd.DataFrame(done, columns=columns)
         yield pd.DataFrame([r for r in held if r is not None], columns=columns)

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quillmint.operators.carry import filled
+from quillmint.operators.carry import filled, runs
 from quillmint.plans.duties import conflicts, published_rates, rate_calendar
 
 
@@ -28,6 +28,26 @@ def test_filled_equals_one_pass(spark):
     assert filled(frame.limit(0), ["key"], ["n"], ["x"]).count() == 0
 
 
+def test_runs_equal_one_pass(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choices(["hot", "a", None], [8, 1, 1])[0], n, rnd.choice([None, *[rnd.randrange(20000) / 10] * 9])) for n in range(3000)]
+    want = {}
+    for key in ("hot", "a", None):
+        last = start = None
+        for value, n in sorted((v, n) for k, n, v in rows if k == key and v is not None):
+            start = value if last is None or value - last > 0.55 else start
+            want[n], last = start, value
+    frame = spark.createDataFrame(rows, "key string, n long, value double").repartition(7)
+    for parts in ("1", "13"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            assert {r["n"]: r["run"] for r in runs(frame, ["key"], "value", 0.55, "run").collect()} == want
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def by_hand(rows, limit):
     cases, out = {}, set()
     for r in sorted(rows, key=lambda r: (r[2], r[3])):
