@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillmint.operators import totals as S
@@ -87,3 +88,24 @@ def test_rows_without_readings(spark):
     assert got[1] == got[2] == ("nothing read", 0, None, None, None, None)
     assert got[3] == ("adds up", 900 + 3500 + 1000 + 300, 500, 525, None, 25)
     assert S.totals_of(spark.createDataFrame([], kind), {}).agg(F.count("*")).first()[0] == 0
+
+
+def test_few_choices_are_scored_side_by_side(monkeypatch):
+    """Batches give what one search an invoice gives, without a search where choices are few."""
+    rng, names = random.Random(5), ["subtotal", "total", "charge", "gst", "hst", "qst"]
+    rates, rows = [5000, 13_000, 9975], []
+    for i in range(600):
+        fields, lines_sum = made_up(rng)
+        fields += [[]] * (6 - len(fields))
+        rows.append((i, lines_sum, fields))
+    want = [solve_totals(f, rates, s) for _, s, f in rows]
+    values = [[None if n is None else own[n].value for n, own in zip(w.chosen, f)] for w, (_, _, f) in zip(want, rows)]
+    reads = [[{"field": n, **r._asdict()} for n, f in zip(names, fields) for r in f] for _, _, fields in rows]
+    kind = pa.list_(pa.struct([("field", pa.string()), ("value", pa.int64()), ("score", pa.int32()), ("place", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array([s for _, s, _ in rows], pa.int64()), pa.array(reads, kind)], names=["invoice_id", "lines_sum", "reads"])
+    searched = S._solved_batch(batch, names, rates, 10).to_pydict()
+    assert searched["outcome"] == [solve_totals(f, rates, s, 10).outcome for _, s, f in rows]
+    monkeypatch.setattr(S, "solve_totals", None)
+    got = S._solved_batch(batch, names, rates, S.MOST_STEPS).to_pydict()
+    assert got["outcome"] == [w.outcome for w in want] and got["score"] == [w.score for w in want]
+    assert [list(x) for x in zip(*(got[n] for n in names))] == values
