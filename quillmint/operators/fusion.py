@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +48,71 @@ def fused(readings: DataFrame, key: list[str], tolerance: int) -> DataFrame:
     return top.withColumn("evidence", evidence_of(F.col("families"), F.col("rival_share")))
 
 
+def _fused_lists(readings: pa.ListArray, tolerance: int) -> pa.StructArray:
+    """What ``fused`` finds, of each list of readings (value, family, probability): the confidence and the rival's share not yet rounded."""
+    rows, flat = len(readings), readings.flatten()
+    owner = np.repeat(np.arange(rows), pc.fill_null(pc.list_value_length(readings), 0).to_numpy(zero_copy_only=False))
+    read = flat.field("value").is_valid().to_numpy(zero_copy_only=False)
+    names = flat.field("family").filter(pa.array(read))
+    known = sorted(x for x in names.unique().to_pylist())
+    family = pc.index_in(names, value_set=pa.array(known, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64)
+    value, sure, owner = flat.field("value").filter(pa.array(read)).to_numpy(zero_copy_only=False), flat.field("probability").to_numpy(zero_copy_only=False)[read], owner[read]
+
+    def begins(*keys: np.ndarray) -> np.ndarray:
+        """Where rows in order differ from the row before."""
+        new = np.ones(len(keys[0]), bool)
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        return new
+
+    at = np.lexsort((value, owner))
+    value, sure, owner, family = value[at], sure[at], owner[at], family[at]
+    apart = begins(owner)
+    apart[1:] |= np.diff(value) > tolerance
+    of_class = np.cumsum(apart) - 1
+    at = np.lexsort((value, -sure, family, of_class))
+    at = at[begins(of_class[at], family[at])] if len(at) else at  # of a family its surest reader, the smallest value on a tie
+    value, p, family, of_class, owner = value[at], np.minimum(sure[at], MOST_SURE), family[at], of_class[at], owner[at]
+    first = np.flatnonzero(begins(of_class)) if len(at) else at
+    doubt = np.add.reduceat(np.log(1 - p), first) if len(at) else p
+    strength, of_row = np.round(1 - np.exp(doubt), 9), owner[first]
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pa.array(known, pa.string()).take(pa.array(family)))
+    families = pc.binary_join(lists, "+")
+    best = np.lexsort((value, -p, of_class))
+    chosen = value[best[first]]  # classes begin at the same places in this order
+    odds = strength / (1 - strength)
+    every = np.bincount(of_row, odds, rows)
+    order = np.lexsort((chosen, -strength, of_row))
+    top = np.flatnonzero(begins(of_row[order])) if len(order) else order
+    after = np.minimum(top + 1, max(len(order) - 1, 0))
+    has_rival = (after > top) & (of_row[order[after]] == of_row[order[top]])
+    one, two = order[top], order[after]
+    place = np.full(rows, -1)
+    place[of_row[one]] = np.arange(len(top))
+    found = {
+        "value": pa.array(chosen[one]), "confidence": pa.array(odds[one] / (1 + every[of_row[one]])), "families": families.take(pa.array(one)),
+        "rival": pa.array(chosen[two], mask=~has_rival), "rival_share": pa.array(np.where(has_rival, strength[two] / strength[one], 0.0)),
+    }
+    take = pa.array(place, mask=place < 0)
+    return pa.StructArray.from_arrays([x.take(take) for x in found.values()], names=list(found))
+
+
+def fused_lists(rows: DataFrame, columns: Sequence[str], tolerance: int) -> DataFrame:
+    """Rows whose ``columns``, arrays of readings (value, family, probability) that come with the row, become what ``fused`` finds of
+    them: a struct (value, confidence, families, rival, rival_share, evidence), null fields where nothing was read. No row moves."""
+    found = "struct<value: bigint, confidence: double, families: string, rival: bigint, rival_share: double>"
+    schema = ", ".join(f"{f.name} {found if f.name in columns else f.dataType.simpleString()}" for f in rows.schema)
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([_fused_lists(x, tolerance) if n in columns else x for n, x in zip(batch.schema.names, batch.columns, strict=True)], names=batch.schema.names)
+
+    def told(c: str) -> Column:
+        share = six(F.col(f"{c}.rival_share"))
+        return F.struct(F.col(f"{c}.value"), six(F.col(f"{c}.confidence")).alias("confidence"), F.col(f"{c}.families"), F.col(f"{c}.rival"), share.alias("rival_share"), evidence_of(F.col(f"{c}.families"), share).alias("evidence")).alias(c)
+
+    return rows.mapInArrow(fuse, schema).select(*(told(c) if c in columns else c for c in rows.columns))
+
+
 def evidence_of(families: Column, share: Column) -> Column:
     """The pattern of evidence that cases are counted by: who agreed, and how strong the rival was."""
     return F.concat(families, F.when(share >= NAMED_RIVAL, "|rival").when(share > 0, "|weak rival").otherwise(""))

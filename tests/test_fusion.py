@@ -61,3 +61,27 @@ def test_checks_and_calibration(spark):
     past = spark.createDataFrame([(1, 8, 4)], "k int, cases long, right long")
     told = {r["k"]: r["calibrated"] for r in U.calibrated(U.judged(df), past, ["k"]).collect()}
     assert told[1] == pytest.approx((4 + 2 * 0.975) / 10) and told[2] == 0.9
+
+
+def test_lists_of_readings(spark):
+    """Readings that come with their row give what readings in rows of their own give, and no row moves."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    rows = [(k, rng.choice([100, 101, 102, 103, 250, 251, -5, None]), rng.choice(["text", "image", "cloud", "a"]), rng.choice([0.3, 0.55, 0.8, 0.999])) for k in range(300) for _ in range(rng.randint(0, 8))]
+    each = spark.createDataFrame(rows, SCHEMA)
+    columns = ["value", "confidence", "families", "rival", "rival_share", "evidence"]
+    want = {r["k"]: tuple(r[c] for c in columns) for r in U.fused(each, ["k"], 1).collect()}
+    lists = spark.range(300).selectExpr("cast(id as int) as k").join(each.groupBy("k").agg(F.collect_list(F.struct("value", "family", "probability")).alias("x")), "k", "left").withColumn("y", F.slice("x", 1, 0))
+    found = U.fused_lists(lists, ["x", "y"], 1)
+    for r in found.collect():
+        assert tuple(r["x"][c] for c in columns[:5]) == want.get(r["k"], (None,) * 5)[:5] or r["k"] not in want and r["x"]["value"] is None
+        assert r["k"] not in want or r["x"]["evidence"] == want[r["k"]][5]
+        assert r["y"]["value"] is None
+
+
+def test_query_moves_items_and_orders_only(spark):
+    from quillmint import registry
+
+    plan = registry.queries()["confidence_fusion"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan.split("Exchange hashpartitioning(invoice_id")[-1]
