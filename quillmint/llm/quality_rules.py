@@ -1,8 +1,8 @@
 """Operator 5: quality rules with an isolation forest over rule statistics.
 
-A forest of random splits is grown from the rule statistics of a bounded sample of labelled rows, and the path-length
-threshold is calibrated on the same rows. One pass over whole texts then measures and judges every document where it
-lies: no row moves between tasks.
+One pass over whole texts measures every document where it lies. A forest of random splits grows from the statistics: each
+tree draws its few points, as the method says, from good labelled rows, over the box of all labelled rows. The path-length
+threshold is calibrated on a histogram of the scores of every labelled row.
 
 Defined results: a null or empty text has no words and fails the base rule; rows repeat as often as they come,
 null ids included; other columns of the input are left alone; an empty table gives an empty table; with no
@@ -23,6 +23,7 @@ from quillmint.llm.staging import stage, tidy
 
 #: Statistics of the rules, each a long.
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_digits", "n_punct", "n_upper", "n_stubs")
+BINS = 1 << 16  # of scores, which lie between 0 and 1
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _DIGIT = np.zeros(256, bool)
@@ -170,34 +171,51 @@ class IsolationForest:
         return 2.0 ** (-total / max(len(self.grown), 1) / self.norm)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 20_000, keep_rate: float = 0.995) -> tuple[IsolationForest, float] | None:
-    """Forest and threshold from at most ``sample_rows`` labelled rows (those of the smallest id hashes).
+def measured_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and STATS of every row."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return texts.mapInArrow(measure_batches, "doc_id long, " + ", ".join(f"{x} long" for x in STATS))
+
+
+def fit(stats: DataFrame, labels: DataFrame, sample_rows: int = 20_000, keep_rate: float = 0.995) -> tuple[IsolationForest, float] | None:
+    """Forest and threshold from every labelled row (doc_id and STATS) that passes the base rule.
 
-    Only rows that pass the base rule count. The forest grows from their good rows. The threshold lets at least ``keep_rate`` of the good rows pass and, above
-    that, lies where the rejected bad rows outnumber the rejected good ones the most.
+    The trees draw their points from at most ``sample_rows`` good rows (those of the smallest id hashes) and split the box of
+    all rows. The threshold comes from all rows, counted in BINS of their scores: it lets at least ``keep_rate`` of the good rows
+    pass and, above that, lies where the rejected bad rows outnumber the rejected good ones the most.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    chosen = known.join(texts.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    some = stage(chosen, "rule-sample")
-    stats = texts.join(F.broadcast(some), "doc_id").select("doc_id", "text").mapInArrow(measure_batches, "doc_id long, " + ", ".join(f"{x} long" for x in STATS))
     passing = (F.col("n_words") >= 10) & (100 * F.col("n_repeat_words") <= 20 * F.col("n_words"))
+    rows = stage(stats.where(passing).join(known, "doc_id"), "rule-labelled")
     # Rows of one id can repeat; the first sample_rows in order are the bound.
-    rows = stats.where(passing).join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id"), *STATS).limit(sample_rows).toPandas()
-    good = rows[rows["quality"] == 1]
+    good = rows.where("quality = 1").orderBy(F.xxhash64("doc_id"), *STATS).limit(sample_rows).toPandas()
     if not len(good):
         return None
-    x = features({k: rows[k].to_numpy() for k in STATS})
-    is_good = rows["quality"].to_numpy() == 1
-    forest = IsolationForest().fit(x[is_good], x)
-    score = forest.score(x)
-    least = np.quantile(score[is_good], keep_rate)
-    tries = np.unique(score[score >= least])
-    weigh = [(np.sum(score[~is_good] > t) / max((~is_good).sum(), 1)) - (np.sum(score[is_good] > t) / is_good.sum()) for t in tries]
-    best = int(np.argmax(weigh))
-    above = score[score > tries[best]]
-    return forest, float((tries[best] + above.min()) / 2 if len(above) else tries[best])
+    names = [f"x{n}" for n in range(features({k: np.zeros(1) for k in STATS}).shape[1])]
+
+    def corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                x = features({k: batch.column(k).to_numpy() for k in STATS})
+                yield pa.RecordBatch.from_arrays([pa.array([a, b]) for a, b in zip(x.min(0), x.max(0), strict=True)], names=names)
+
+    box = rows.select(*STATS).mapInArrow(corners, ", ".join(f"{x} double" for x in names)).agg(*(f(x) for f in (F.min, F.max) for x in names)).first()
+    forest = IsolationForest().fit(features({k: good[k].to_numpy() for k in STATS}), np.array(box, float).reshape(2, -1))
+
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = forest.score(features({k: batch.column(k).to_numpy() for k in STATS}))
+            yield pa.RecordBatch.from_arrays([pa.array((score * BINS).astype(np.int32)), batch.column("quality")], names=["bin", "quality"])
+
+    counted = rows.select(*STATS, "quality").mapInArrow(bins, "bin int, quality int").groupBy("bin").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
+    held = counted.orderBy("bin").toPandas()  # at most BINS rows
+    at, n_good, n_bad = held["bin"].to_numpy(), np.cumsum(held["good"].to_numpy()), np.cumsum(held["bad"].to_numpy())
+    least = int(np.searchsorted(n_good, keep_rate * n_good[-1]))
+    weigh = (n_bad[-1] - n_bad) / max(n_bad[-1], 1) - (n_good[-1] - n_good) / n_good[-1]
+    best = least + int(np.argmax(weigh[least:]))
+    above = at[best + 1] if best + 1 < len(at) else at[best] + 1
+    return forest, float((at[best] + 1 + above) / 2 / BINS)
 
 
 def _judge(fitted: tuple[IsolationForest, float] | None, stats: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,25 +230,21 @@ def _judge(fitted: tuple[IsolationForest, float] | None, stats: dict[str, np.nda
 @tidy
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 20_000) -> DataFrame:
     """Per row: doc_id, STATS, base_failed, anomaly (double) and kept."""
-    fitted = fit(docs, labels, id_col, text_col, sample_rows)
+    stats = stage(measured_rows(docs, id_col, text_col), "rule-stats")
+    fitted = fit(stats, labels, sample_rows)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tk.slices(batch.column(1)):
-                stats = measured(part)
-                ids = batch.column(0).slice(part.first, len(part.offsets) - 1)
-                yield pa.RecordBatch.from_arrays(
-                    [ids, *map(pa.array, (*stats.values(), *_judge(fitted, stats)))], names=["doc_id", *STATS, "base_failed", "anomaly", "kept"]
-                )
+            judged = _judge(fitted, {k: batch.column(k).to_numpy() for k in STATS})
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, judged)], names=["doc_id", *STATS, "base_failed", "anomaly", "kept"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(judge, "doc_id long, " + ", ".join(f"{x} long" for x in STATS) + ", base_failed boolean, anomaly double, kept boolean")
+    return stats.mapInArrow(judge, "doc_id long, " + ", ".join(f"{x} long" for x in STATS) + ", base_failed boolean, anomaly double, kept boolean")
 
 
 @tidy
 def passing_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 20_000) -> DataFrame:
     """The input rows that the rules keep, with their own columns."""
-    fitted = fit(docs, labels, id_col, text_col, sample_rows)
+    fitted = fit(measured_rows(docs, id_col, text_col), labels, sample_rows)
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -323,6 +323,20 @@ def test_forest_sets_bad_documents_apart(spark):
     assert good["kept"].mean() > 0.97 and bad["kept"].mean() < 0.2
 
 
+def test_every_labelled_row_sets_the_threshold(spark):
+    """Trees of few rows: the share of good rows that pass is kept over all labelled rows, not over those few."""
+    sf = SF.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    good = quality_rules.quality_rules(docs, labels, sample_rows=30).join(labels, "doc_id").where("not base_failed and quality = 1").toPandas()
+    assert len(good) > 200 and good["kept"].mean() >= 0.995
+    # Beyond the box of the few rows there are splits as well: the box is that of all rows.
+    measured = quality_rules.measured_rows(docs).join(labels, "doc_id").where("n_words >= 10 and 100 * n_repeat_words <= 20 * n_words and quality in (0, 1)").toPandas()
+    x = quality_rules.features({k: measured[k].to_numpy() for k in quality_rules.STATS})
+    forest, _ = quality_rules.fit(quality_rules.measured_rows(docs), labels, sample_rows=30)
+    cuts = [(c, v) for column, cut, *_ in forest.grown for c, v in zip(column, cut) if c >= 0]
+    assert all(x[:, c].min() <= v <= x[:, c].max() for c, v in cuts)
+
+
 # Operators 6 and 8
 
 @pytest.mark.parametrize(("name", "label", "folds", "fold", "threshold", "least"), [("op6_quality_classifier", "quality", 5, 0, 0.3, 0.9), ("op8_toxicity", "toxic", 3, 1, 0.7, 0.75)])
