@@ -6,11 +6,13 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 MOST_WAYS = 20  # more ways than these cannot say which lines are meant
 MOST_SUMS = 1 << 21  # different sums of one half of the lines that a task holds
+MOST_LINES = 12  # up to so many lines an invoice, the sets of many invoices are added up side by side
 
 
 class TooManySums(Exception):
@@ -115,16 +117,75 @@ def taxed_lines_of(cents: list[int], tax: int, rate: float, plain: list[bool] |
     return ("unique" if n == 1 else "several"), best, sorted(doubt)
 
 
+def _one_set_each(cents: np.ndarray, goal: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of invoices with as many lines each, a row an invoice: how many sets fit, and the first that does, as bits from the first line on.
+
+    Sets are tried as ``taxed_lines_of`` tries them: with every line that is not above zero, else with every line of nothing.
+    """
+    rows, lines = cents.shape
+    sums = np.zeros((rows, 1), np.int64)
+    for k in range(lines):
+        sums = np.concatenate([sums, sums + cents[:, k : k + 1]], axis=1)
+    sets, bits = np.arange(1 << lines), 1 << np.arange(lines)
+
+    def fitting(at: np.ndarray, fixed: np.ndarray) -> np.ndarray:
+        held, kept = (cents[at] * fixed).sum(axis=1), (fixed * bits).sum(axis=1)[:, None]
+        low, high = np.ceil(goal[at] - slack - held), np.floor(goal[at] + slack - held)
+        rest = sums[at] - held[:, None]
+        return (rest >= low[:, None]) & (rest <= high[:, None]) & (sets & kept == kept)
+
+    fits = fitting(np.arange(rows), cents <= 0)
+    n, first = fits.sum(axis=1), fits.argmax(axis=1)
+    again = np.flatnonzero((n == 0) & (cents < 0).any(axis=1))
+    if len(again):
+        fits = fitting(again, cents[again] == 0)
+        n[again], first[again] = fits.sum(axis=1), fits.argmax(axis=1)
+    return n, first
+
+
+def _solved_batch(batch: pa.RecordBatch, rate: float) -> pa.RecordBatch:
+    """A batch's invoices (invoice_id, tax, lines), those of few lines side by side, the others and those of several sets one by one."""
+    rows, lines = len(batch), batch.column("lines")
+    flat, count = lines.flatten(), pc.list_value_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
+    begin, owner = np.cumsum(count) - count, np.repeat(np.arange(rows), count)
+    cents = flat.field("cents").cast(pa.int64()).to_numpy(zero_copy_only=False)
+    plain = flat.field("plain").to_numpy(zero_copy_only=False).astype(bool)
+    tax = batch.column("tax").cast(pa.int64()).to_numpy(zero_copy_only=False)
+    whole = np.zeros(rows, np.int64)
+    np.add.at(whole, owner, cents)
+    sign = np.where(whole < 0, -1, 1)
+    goal, slack = tax * sign / rate, np.maximum(2, count) + int(0.5 / rate + 0.5)
+    is_all, is_none_due = np.abs(whole * sign - goal) <= slack, np.abs(goal) <= slack
+    outcome = np.where(is_all, "all", np.where(is_none_due, "none due", "")).astype(object)
+    taxed, doubt = np.repeat(~is_none_due | is_all, count), np.zeros(len(cents), bool)
+    open_ = ~is_all & ~is_none_due
+    singly = [np.flatnonzero(open_ & (count > MOST_LINES))]
+    for n in np.unique(count[open_ & (count <= MOST_LINES)]).tolist():
+        of_n = np.flatnonzero(open_ & (count == n))
+        for at in np.array_split(of_n, -(-(len(of_n) << n) // MOST_SUMS)):
+            places = begin[at][:, None] + np.arange(n)
+            ways, first = _one_set_each(cents[places] * sign[at][:, None], goal[at], int(slack[at[0]]))
+            outcome[at] = np.where(ways == 0, "none", np.where(ways == 1, "unique", "unsure"))
+            inside = (ways != 1)[:, None] | (first[:, None] >> np.arange(n) & 1 == 1)
+            taxed[places], doubt[places] = inside, np.where((ways == 1)[:, None], ~inside & ~plain[places], (ways > 1)[:, None])
+            singly.append(at[(ways > 1) & (ways <= MOST_WAYS)])
+    for i in np.concatenate(singly).tolist():
+        own = slice(int(begin[i]), int(begin[i] + count[i]))
+        outcome[i], some, unsure = taxed_lines_of(cents[own].tolist(), int(tax[i]), rate, plain[own].tolist())
+        taxed[own], doubt[own] = np.isin(np.arange(count[i]), some), np.isin(np.arange(count[i]), unsure)
+
+    def listed(kept: np.ndarray) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum(np.bincount(owner[kept], minlength=rows))])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.field("line").cast(pa.int32()).filter(pa.array(kept)))
+
+    return pa.RecordBatch.from_arrays([batch.column("invoice_id").cast(pa.int64()), pa.array(outcome, pa.string()), listed(taxed), listed(doubt)], names=["invoice_id", "outcome", "taxed", "doubt"])
+
+
 def lines_with_tax(rows: DataFrame, rate: float) -> DataFrame:
     """invoice_id, outcome, taxed and doubtful line numbers from invoice_id, tax (cents) and lines, an array of (line, cents, plain) of one invoice."""
 
-    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            done = []
-            for i, tax, lines in zip(f["invoice_id"], f["tax"], f["lines"], strict=True):
-                number = [int(x["line"]) for x in lines]
-                outcome, taxed, doubt = taxed_lines_of([int(x["cents"]) for x in lines], int(tax), rate, [bool(x["plain"]) for x in lines])
-                done.append((i, outcome, [number[k] for k in taxed], [number[k] for k in doubt]))
-            yield pd.DataFrame(done, columns=["invoice_id", "outcome", "taxed", "doubt"])
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _solved_batch(batch, rate)
 
-    return rows.mapInPandas(solve, "invoice_id long, outcome string, taxed array<int>, doubt array<int>")
+    return rows.mapInArrow(solve, "invoice_id long, outcome string, taxed array<int>, doubt array<int>")

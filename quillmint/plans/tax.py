@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmint.functions.money import half_up, out
@@ -112,9 +112,9 @@ def line_tax(spark: SparkSession, sf: str) -> DataFrame:
     """
     l = T.lines(spark, sf).withColumn("cents", (F.col("amount") * F.when(F.col("tax_rate") == F.lit("0.08").cast(MONEY), -100).otherwise(100)).cast("long"))
     taxed = F.sum(F.when(F.col("return_flag") != "R", F.col("cents")).otherwise(0))
-    per = F.row_number().over(Window.partitionBy("invoice_id").orderBy("line_number", "part_id", "vendor_id", "cents")).cast("int").alias("line")
-    numbered = l.select("invoice_id", "cents", "return_flag", F.col("gl").startswith("PROMO").alias("plain"), per)
-    g = numbered.groupBy("invoice_id").agg(taxed.alias("base"), F.array_sort(F.collect_list(F.struct("line", "cents", "plain"))).alias("lines"))
+    in_order = F.sort_array(F.collect_list(F.struct("line_number", "part_id", "vendor_id", "cents", F.col("gl").startswith("PROMO").alias("plain"))))
+    numbered = F.transform(in_order, lambda x, n: F.struct((n + 1).cast("int").alias("line"), x["cents"].alias("cents"), x["plain"].alias("plain")))
+    g = l.groupBy("invoice_id").agg(taxed.alias("base"), numbered.alias("lines"))
     tax = F.round(F.col("base") / F.lit(20).cast("decimal(4,0)")).cast("long")
     found = lines_with_tax(g.select("invoice_id", tax.alias("tax"), "lines"), LINE_RATE)
     listed = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 
 from quillmint.operators import subsets as S
@@ -75,3 +76,25 @@ def test_too_many_sums_are_told(monkeypatch):
     monkeypatch.setattr(S, "MOST_SUMS", 100)
     assert S.taxed_lines_of([2**k * 1000 for k in range(24)], 5, 0.05)[0] in ("none due", "unsure")
     assert S.taxed_lines_of([2**k * 1000 for k in range(24)], 5_000_000, 0.05)[0] == "unsure"
+
+
+def test_invoices_side_by_side_are_as_one_by_one(spark):
+    rng, rows = random.Random(12), []
+    for i in range(400):
+        cents = [rng.choice([rng.randint(-30_000, 90_000), 5000, 12_345, 0]) for _ in range(rng.choice([1, 2, 3, 5, 7, 9, 14]))]
+        stated = round(sum(c for c in cents if rng.random() < 0.7) * 0.05) + rng.choice([0, 0, 0, 1, 700])
+        rows.append((i, stated, [(10 + k, c, rng.random() < 0.3) for k, c in enumerate(cents)]))
+    rows.append((400, -3, []))
+    df = spark.createDataFrame(rows, "invoice_id long, tax long, lines array<struct<line:int,cents:long,plain:boolean>>")
+    got = {r["invoice_id"]: (r["outcome"], r["taxed"], r["doubt"]) for r in S.lines_with_tax(df, 0.05).collect()}
+    for i, stated, lines in rows:
+        outcome, taxed, doubt = S.taxed_lines_of([c for _, c, _ in lines], stated, 0.05, [p for *_, p in lines])
+        assert got[i] == (outcome, [10 + k for k in taxed], [10 + k for k in doubt]), rows[i]
+    assert {o for o, *_ in got.values()} >= {"all", "unique", "several", "none", "none due"}
+
+
+def test_invoices_of_one_set_are_not_searched_singly(spark, monkeypatch):
+    """Ordinary invoices of a batch are solved together."""
+    batch = pa.RecordBatch.from_pylist([{"invoice_id": i, "tax": 500 + i, "lines": [{"line": 1, "cents": 10_000 + 20 * i, "plain": False}, {"line": 2, "cents": 77_000 + i, "plain": True}]} for i in range(50)])
+    monkeypatch.setattr(S, "taxed_lines_of", lambda *_: pytest.fail("searched singly"))
+    assert S._solved_batch(batch, 0.05).column("taxed").to_pylist() == [[1]] * 50
