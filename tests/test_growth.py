@@ -95,3 +95,16 @@ def test_audit_moves_no_names(spark, tables):
     assert compare(found, *sql_of("duplicate_audit", sf)) is None
     copies = [n for name, n in operators(found) if name == "GenerateExec"]
     assert copies and max(copies) <= 2 * len(lines)
+
+
+def test_sketch_is_kept_by_hour_alone(spark, tmp_path):
+    """The sketch of actors is a state an hour, not one an hour and actor."""
+    rows = [(n, DAY + datetime.timedelta(hours=n % 5), n % 40 if n % 17 else None, "click", float(n), "{}") for n in range(400)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    found = registry.queries()["approx_people"](spark, str(tmp_path))
+    con = connect("/root/testdata/sf0.001")
+    con.execute(f"create or replace view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert compare(found, con, registry.oracle_sql()["approx_people"]) is None
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    sketched = [line for line in plan.splitlines() if "approx_count_distinct" in line and "keys=" in line]
+    assert sketched and not any("actor" in line.split("keys=")[1].split("]")[0] for line in sketched)
