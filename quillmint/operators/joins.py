@@ -5,9 +5,11 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quillmint.operators.carry import runs
 
@@ -66,28 +68,49 @@ def one_keystroke(a: Column, b: Column) -> Column:
 
 
 def greedy_match(left: DataFrame, right: DataFrame, keys: Sequence[str], within: float) -> DataFrame:
+    """The pairs of ``greedy_sides``: every left row's id, and the right row's that it takes, if any (left_id, right_id)."""
+    columns = [*keys, "id", "at", "amount"]
+    both = left.select(*columns, F.lit(0).alias("side")).unionByName(right.select(*columns, F.lit(1).alias("side")))
+    return greedy_sides(both, keys, within).where("left_id is not null").select("left_id", "right_id")
+
+
+def greedy_sides(both: DataFrame, keys: Sequence[str], within: float) -> DataFrame:
     """Match rows of equal ``keys`` one to one: left in (at, id) order takes the free right row of the same sign and
     amount within a tolerance that is nearest in date, then smallest in id. A row without a date comes after the dated
     ones and lies farther from any row than they do.
 
-    Both sides have id, at (date) and amount (double); a row without an amount matches none. Rows whose amounts are a gap
-    wider than the tolerance apart never compete, so a key falls into runs of amounts at such gaps, exactly, found in
-    ranges of amounts. A task streams run after run and holds one run's rows; free rows are looked up by amount.
+    Rows have id, at (date), amount (double) and side, 0 left or 1 right; a row without an amount or a key matches none.
+    Every row comes back once, alone or in its pair, so that no join has to find it again: keys, left_id, left_amount,
+    right_id, right_amount.
+
+    Rows whose amounts are a gap wider than the tolerance apart never compete, so a key falls into runs of amounts at
+    such gaps, exactly, found in ranges of amounts. A task streams run after run and holds one run's rows; free rows are
+    looked up by amount.
     """
-    columns = [*keys, "id", "at", "amount"]
-    both = left.select(*columns, F.lit(0).alias("side")).unionByName(right.select(*columns, F.lit(1).alias("side")))
     order = [*keys, "_run", F.desc("side"), F.asc_nulls_last("at"), "id"]
-    dealt = runs(both, keys, "amount", within, "_run").select(*keys, "_run", "side", "id", "at", "amount").repartition(*keys, "_run").sortWithinPartitions(*order)
+    dealt = runs(both.select(*keys, "id", "at", "amount", "side"), keys, "amount", within, "_run").select(*keys, "_run", "side", "id", "at", "amount").repartition(*keys, "_run").sortWithinPartitions(*order)
+    sides = [StructField(f"{side}_{c}", kind) for side in ("left", "right") for c, kind in (("id", LongType()), ("amount", dealt.schema["amount"].dataType))]
+    result = StructType([*(StructField(k, dealt.schema[k].dataType) for k in keys), *sides])
+    arrow = to_arrow_schema(result)
 
     def apart_in_days(a, b) -> float:
-        return float("inf") if pd.isna(a) or pd.isna(b) else abs((a - b).days)
+        return float("inf") if a is None or b is None else abs((a - b).days)
 
-    def match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, free, days = None, [], {}  # free rows as (amount, id), in order; the dates by (amount, id)
-        for frame in frames:
-            taken = []
-            for *own, side, i, at, amount in zip(*(frame[c] for c in frame.columns), strict=True):
-                if own != key:
+
+        def told(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*rows, strict=True) if rows else [()] * len(arrow)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+        def alone() -> list[tuple]:
+            return [(*key[:-1], None, None, i, amount) for amount, i in free]
+
+        for batch in batches:
+            done = []
+            for *own, side, i, at, amount in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != key or None in own:
+                    done += alone()
                     key, free, days = own, [], {}
                 if side:
                     bisect.insort(free, (amount, i))
@@ -96,14 +119,15 @@ def greedy_match(left: DataFrame, right: DataFrame, keys: Sequence[str], within:
                 low, high = bisect.bisect_left(free, (amount - within,)), bisect.bisect_right(free, (amount + within, float("inf")))
                 fits = [(apart_in_days(at, days[free[n]]), free[n][1], n) for n in range(low, high) if amount * free[n][0] >= 0 and abs(amount - free[n][0]) <= within]
                 best = min(fits, default=None)
-                taken.append((i, best[1] if best else None))
-                if best:
-                    free.pop(best[2])
-            ids = zip(*taken, strict=True) if taken else ((), ())
-            yield pd.DataFrame({c: pd.array(list(x), dtype="Int64") for c, x in zip(("left_id", "right_id"), ids, strict=True)})  # never by way of floats
-
-    unknown = left.where(F.col("amount").isNull()).select(F.col("id").cast("long").alias("left_id"), F.lit(None).cast("long").alias("right_id"))
-    return dealt.mapInPandas(match, "left_id long, right_id long").unionByName(unknown)
+                taken = free.pop(best[2])[::-1] if best else (None, None)
+                done.append((*own[:-1], i, amount, *taken))
+            yield told(done)
+        yield told(alone())
+
+    unknown = both.where(F.col("amount").isNull())
+    one_side = lambda n: F.when(F.col("side") == n, F.col("id").cast("long"))
+    apart = unknown.select(*keys, one_side(0).alias("left_id"), F.col("amount").alias("left_amount"), one_side(1).alias("right_id"), F.col("amount").alias("right_amount"))
+    return dealt.mapInArrow(match, result).unionByName(apart)
 
 
 def token_overlap(a: Column, b: Column) -> Column:

@@ -120,3 +120,12 @@ def test_register_deals_items_once(spark, tables):
     plan = found._jdf.queryExecution().executedPlan().toString()
     # The adaptive plan prints its final and its initial form.
     assert plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1 and "SortAggregate" not in plan
+
+
+def test_statement_is_read_once(spark, tables):
+    """Statuses come from the matching itself: no join finds its rows again."""
+    lines = [(n, 1, n % 4, 1, float(n % 3), 100.0 * (n % 30) - 300, 0.0, 0.0, "RN"[n % 2], "F", DAY + datetime.timedelta(days=n % 25)) for n in range(300)]
+    found = registry.queries()["statement_status"](spark, tables(lines))
+    names = [name for name, _ in operators(found)]
+    assert not any("SortMergeJoin" in name or "ShuffledHashJoin" in name for name in names)
+    assert sum(r["n"] for r in found.where("status <> 'not on statement'").collect()) == 150
