@@ -33,6 +33,24 @@ def filled(rows: DataFrame, keys: Sequence[str], order: Sequence[str], columns:
     return joined.select(*(F.coalesce(c, f"_before_{c}").alias(c) if c in columns else F.col(c) for c in rows.columns))
 
 
+BLOCK = 1 << 16  # numbers of one block
+
+
+def filled_in_blocks(rows: DataFrame, key: str, number: str, column: str, block: int = BLOCK) -> DataFrame:
+    """``filled`` for rows that a whole ``number`` orders within their key: blocks of so many numbers need no sample to be dealt.
+
+    Each block is filled by itself, in one shuffle, and the rows are kept so; what the blocks before it end with, a row a
+    block, is broadcast.
+    """
+    inside = Window.partitionBy(key, "_block").orderBy(number)
+    own = settled(rows.withColumn("_block", F.call_function("div", F.col(number), F.lit(block))).withColumn(column, F.last(column, ignorenulls=True).over(inside)))
+    ends = own.groupBy(key, "_block").agg(F.max(F.when(F.col(column).isNotNull(), F.struct(number, F.col(column).alias("_value")))).alias("_end"))
+    before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    crossing = ends.select(F.col(key).alias("_key"), F.col("_block").alias("_at"), F.last("_end._value", ignorenulls=True).over(before).alias("_before")).where("_before is not null")
+    joined = own.join(F.broadcast(crossing), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_at")), "left")
+    return joined.select(*(F.coalesce(column, "_before").alias(column) if c == column else F.col(c) for c in rows.columns))
+
+
 def runs(rows: DataFrame, keys: Sequence[str], value: str, gap: float, name: str) -> DataFrame:
     """Rows whose ``value`` is not null, with ``name``: the least value of their run, where a key's values in order fall
     into runs that lie more than ``gap`` apart.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmint.sources import tables as T
 from quillmint.sources.printed import Printed, read_printed
+from quillmint.sources.settled import settled
 
 HEADS = (
     ("Document", "", "", "", "", "", "", "", "", "", "", "", "", "", "", "Address"), ("Number", "Co", "G/L Date", "Account Number", "", "", "", "Description", "", "Debit Amount", "", "Credit Amount", "", "Remark", "", "Number", "Name"),
@@ -19,8 +20,11 @@ def printed_rows(spark: SparkSession, sf: str) -> DataFrame:
     control total that is a cent off in file 2."""
     l = T.lines(spark, sf, parts=False)
     signed = (F.col("amount") * 100).cast("long") * F.when(F.col("return_flag") == "R", -1).otherwise(1)
-    own = l.groupBy("invoice_id", "line_number").agg(F.sum(signed).alias("cents"), F.min("vendor_id").alias("vendor"), F.min("line_date").alias("date"))
-    order = own.groupBy("invoice_id").agg(F.sum("cents").alias("total"), F.min("line_number").alias("first"), F.min_by("vendor", "line_number").alias("payee"), F.min("date").alias("date"))
+    own = l.select("invoice_id", "line_number", "vendor_id", "line_date", signed.alias("signed")).repartition("invoice_id").groupBy("invoice_id", "line_number")
+    own = own.agg(F.sum("signed").alias("cents"), F.min("vendor_id").alias("vendor"), F.min("line_date").alias("date"))
+    order = settled(own.groupBy("invoice_id").agg(
+        F.sum("cents").alias("total"), F.min("line_number").alias("first"), F.min_by("vendor", "line_number").alias("payee"), F.min("date").alias("date"), F.collect_list(F.struct("line_number", "cents", "vendor")).alias("own")
+    ))
     place = (100 + F.floor(F.col("invoice_id") / 5) * 20).cast("long")
     file = (F.col("invoice_id") % 5).cast("int")
 
@@ -36,14 +40,14 @@ def printed_rows(spark: SparkSession, sf: str) -> DataFrame:
         return rows.select(file.alias("file"), row.alias("row"), F.array(*(c.cast("string") for c in cells)).alias("cells"))
 
     wrong = (F.col("invoice_id") % 97 == 0) & (F.col("line_number") == 2)
-    lines = own.drop("date").join(order, "invoice_id")
+    lines = order.select("invoice_id", "total", "first", "payee", "date", F.inline("own"))
     posted = printed(lines, place + 2 * F.col("line_number"), F.col("line_number") == F.col("first"), F.concat_ws(".", F.col("vendor") % 9 + 1, F.lit("5200"), "line_number"), F.col("cents"), F.when(wrong, F.lit("n/a")).otherwise(money(F.abs("cents"))))
     owed = printed(order, place + 18, F.lit(False), F.lit("1.4110"), -F.col("total"), money(F.abs("total")))
     number = F.floor(F.col("invoice_id") / 5)
     again = F.array(*map(F.lit, HEADS[1]))
     pages = order.where(number % 10 == 3).select(file.alias("file"), (place + 5).alias("row"), again.alias("cells"))
     sums = lines.where(~wrong).select(file.alias("file"), "cents").unionByName(order.select(file.alias("file"), (-F.col("total")).alias("cents"))).groupBy("file")
-    totals = sums.agg(F.sum(F.when(F.col("cents") >= 0, F.col("cents")).otherwise(0)).alias("debit"), F.sum(F.when(F.col("cents") < 0, -F.col("cents")).otherwise(0)).alias("credit"))
+    totals = settled(sums.agg(F.sum(F.when(F.col("cents") >= 0, F.col("cents")).otherwise(0)).alias("debit"), F.sum(F.when(F.col("cents") < 0, -F.col("cents")).otherwise(0)).alias("credit")))
     off = F.when(F.col("file") == 2, 1).otherwise(0)
     blanks = lambda n: [F.lit("")] * n
     grand = totals.select("file", F.lit(1 << 60).alias("row"), F.array(F.lit("Grand Total"), *blanks(8), money(F.col("debit") + off), F.lit(""), money(F.col("credit"))).alias("cells"))

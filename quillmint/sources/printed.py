@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmint.functions.dates import order_of_dates, parsed_date, printed_amount
-from quillmint.operators.carry import filled
+from quillmint.operators.carry import filled_in_blocks
 from quillmint.sources.settled import settled
 
 HEADER_ROWS = 30
@@ -57,7 +57,7 @@ def _layout(keys: Column) -> Column:
 
 
 def _with_layouts(rows: DataFrame) -> DataFrame:
-    """Rows with the layout that the file's first header gives, on the header's own row."""
+    """Rows with the layout that the file's first header gives, from the header's own row on; a file's one layout is broadcast."""
     above = Window.partitionBy("file").orderBy("row")  # of at most HEADER_ROWS rows a file
     top = rows.where(F.col("row") <= HEADER_ROWS).withColumn("_above", F.lag("cells").over(above))
     own = F.transform("cells", _key)
@@ -65,13 +65,15 @@ def _with_layouts(rows: DataFrame) -> DataFrame:
     keys = F.when(F.array_contains(own, WORDS["account"]), own).when(F.array_contains(split, WORDS["account"]), split)
     joined = F.transform(keys, lambda k, n: F.when(k == "amount", F.concat(_key(F.get(F.coalesce("_above", F.array()), n)), k)).otherwise(k))
     found = top.withColumn("_keys", joined).withColumn("_nth", F.count("_keys").over(above))
-    headed = found.withColumn("layout", F.when(F.col("_keys").isNotNull() & (F.col("_nth") == 1), _layout(F.col("_keys"))))
-    rest = rows.where(F.col("row") > HEADER_ROWS)
-    return headed.select("file", "row", "cells", "layout").unionByName(rest, allowMissingColumns=True)
+    headed = found.where(F.col("_keys").isNotNull() & (F.col("_nth") == 1)).select(F.col("file").alias("_file"), F.col("row").alias("_from"), _layout(F.col("_keys")).alias("layout"))
+    return rows.join(F.broadcast(headed), F.col("file").eqNullSafe(F.col("_file")) & (F.col("row") >= F.col("_from")), "left").select("file", "row", "cells", "layout")
 
 
 def _cents(text: Column) -> Column:
-    return (printed_amount(F.regexp_replace(text, "^\\.", "0.")) * 100).cast("long")
+    """An amount's cents; the ordinary form, with or without commas, is read by one pattern."""
+    ordinary = text.rlike("^([0-9]{1,3}(,[0-9]{3})+|[0-9]*)\\.[0-9]{2}$")
+    read = F.when(ordinary, F.replace(text, F.lit(","), F.lit("")).try_cast("decimal(18,2)")).otherwise(printed_amount(F.regexp_replace(text, "^\\.", "0.")))
+    return (read * 100).cast("long")
 
 
 def read_printed(rows: DataFrame, payable: list[str], tax: list[str]) -> Printed:
@@ -83,19 +85,19 @@ def read_printed(rows: DataFrame, payable: list[str], tax: list[str]) -> Printed
     * a row of amounts alone is a total; the last one that says so is the control total of the file's lines
     * ``payable`` and ``tax`` are the objects (second part of an account) of lines that the ledger added itself
 
-    The layout and the voucher are carried along ranges of rows, so that a file is never one task. A file whose header
+    The voucher is carried along blocks of rows, so that a file is never one task. A file whose header
     lacks a column has a ``problem`` and no lines.
     """
-    laid = filled(_with_layouts(rows), ["file"], ["row"], ["layout"])
+    laid = _with_layouts(rows)
     cell = {c: F.trim(F.coalesce(F.get("cells", F.when(F.col("layout").isNull(), F.lit(p)).otherwise(F.col(f"layout.{c}"))), F.lit(""))) for c, p in STANDARD.items()}
     lacks = F.concat_ws(", ", *(F.when(F.col("layout").isNotNull() & F.col(f"layout.{c}").isNull(), c) for c in ("debit", "credit", "remark")))
-    grand = F.exists("cells", lambda x: _key(x) == TOTAL)
+    grand = F.when(~cell["account"].contains("."), F.exists("cells", lambda x: _key(x) == TOTAL))  # asked of totals alone
     some = F.exists("cells", lambda x: F.trim(F.coalesce(x, F.lit(""))) != "")
     read = laid.select("file", "row", F.col("layout").isNotNull().alias("headed"), F.nullif(lacks, F.lit("")).alias("problem"), grand.alias("grand"), some.alias("some"), *(x.alias(c) for c, x in cell.items()))
     data = F.col("account").contains(".") & F.col("problem").isNull()
     head = F.when(data & (F.col("document") != ""), F.struct(F.col("row").alias("voucher"), "document", "company", "date"))
     amounts = {"d": F.when(F.col("debit") == "", 0).otherwise(_cents(F.col("debit"))), "c": F.when(F.col("credit") == "", 0).otherwise(_cents(F.col("credit")))}
-    known = filled(read.withColumns({"data": data, "head": head, **amounts}), ["file"], ["row"], ["head"])
+    known = filled_in_blocks(read.withColumns({"data": data, "head": head, **amounts}), "file", "row", "head")
 
     parts = F.split("account", "\\.")
     typed = (F.col("debit") != "") | (F.col("credit") != "")
@@ -105,7 +107,7 @@ def read_printed(rows: DataFrame, payable: list[str], tax: list[str]) -> Printed
     kind = (
         F.when(F.col("data") & sound & placed & ~line, "line").when(F.col("data"), "unreadable").when(sound & ~F.col("account").contains("."), "total").when(F.col("some"), "title")
     )
-    told = settled(known.withColumn("kind", kind).where("kind is not null"))
+    told = known.withColumn("kind", kind).where("kind is not null")
 
     post = F.trim(F.get(parts, F.lit(1)))
     lines = told.where("kind = 'line'").select(
@@ -125,7 +127,7 @@ def read_printed(rows: DataFrame, payable: list[str], tax: list[str]) -> Printed
     first = lambda c: F.min(F.when(F.col(c) != "", F.struct("row", c)))[c].alias(c)
     of = lambda k: F.coalesce(F.sum(F.when(F.col("posting") == k, F.col("cents"))), F.lit(0))
     g = lines.groupBy("file", "voucher", "document", "company", "printed_date").agg(F.count("*").alias("n_lines"), F.sum("cents").alias("net"), (-of("payable")).alias("gross"), of("tax").alias("tax"), F.bool_or("both_columns").alias("both_columns"), first("supplier"), first("name"))
-    dated = g.join(files.select("file", "day_first"), "file")
+    dated = g.join(F.broadcast(files.select("file", "day_first")), "file")
     day = F.when(F.coalesce("day_first", F.lit(False)), parsed_date(F.col("printed_date"), True)).otherwise(parsed_date(F.col("printed_date"), False))
     vouchers = dated.withColumns({"gl_date": day, "balanced": F.abs("net") <= 1}).drop("printed_date", "day_first")
     return Printed(lines, vouchers, files.drop("control"))

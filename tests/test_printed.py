@@ -1,5 +1,11 @@
 """Printed journals as files come: split headers, page headers, continuation rows, totals that differ."""
 
+import pytest
+from pyspark.sql import functions as F
+
+from quillmint.operators import carry
+from quillmint.operators.carry import filled_in_blocks
+from quillmint.sources import printed
 from quillmint.sources.printed import read_printed, report_rows
 
 HEAD = ['"Document",,,,,,,,,,,,,,,"Address"', 'Number,Co,G/L Date,Account Number,,,,Description,,Debit Amount,,Credit Amount,,Remark,,Number,Name']
@@ -71,3 +77,31 @@ def test_rows_are_numbered_over_blocks(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert len(got) == 5000 and all(int(r["cells"][0]) == r["row"] for r in got)
+
+
+def test_vouchers_go_on_over_blocks(spark):
+    """The last value before a row, over block borders, empty blocks and keys, for numbers with gaps."""
+    rows = [(f, n * 3 - 40, n if n % 11 == f else None, "x") for f in range(2) for n in range(60)] + [(1, 1 << 60, None, "x")]
+    df = spark.createDataFrame(rows, "file int, row long, head int, cells string")
+    want, last = {}, {}
+    for f, n, head, _ in rows:
+        last[f] = head if head is not None else last.get(f)
+        want[f, n] = last[f]
+    for block in (1, 7, 1000):
+        assert {(r["file"], r["row"]): r["head"] for r in filled_in_blocks(df, "file", "row", "head", block).collect()} == want
+
+
+def test_layouts_are_not_carried_by_shuffles(spark, monkeypatch):
+    """A file's rows are dealt once for its vouchers, by blocks, not by ranges that need a sample and once more for its layout."""
+    monkeypatch.setattr(carry, "filled", lambda *_: pytest.fail("dealt by ranges"))
+    assert not hasattr(printed, "filled")
+    got = read_printed(spark.createDataFrame([("f", n, ["PV" if n % 3 == 0 else "", "", "", "1.5200", *[""] * 5, "1.00", *[""] * 7]) for n in range(1, 200)], "file string, row long, cells array<string>"), ["4110"], ["4250"])
+    assert got.files.first()["n_lines"] == 197 and got.vouchers.count() == 66
+
+
+def test_ordinary_amounts_are_read_as_others(spark):
+    """The quick pattern for ordinary amounts reads no text in another way."""
+    texts = ["1.00", ".26", "0.26", "1,200.50", "1,200,300.05", "1200.50", "12,00.50", ",200.50", "1,20.50", "(3.00)", "3.00-", "1.234", "1,234", "7", "7.5", ".", "n/a", "1.200,50", "99999999999999999.00", "\n1.00", "1.00\n", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = (printed.printed_amount(F.regexp_replace("t", "^\\.", "0.")) * 100).cast("long")
+    assert [r[0] == r[1] for r in df.select(printed._cents(F.col("t")), plain).collect()] == [True] * len(texts)
