@@ -231,6 +231,39 @@ def test_near_passages_after_variants_that_fail(spark):
     assert sum(len(got.get(400 + k, set()) & set(range(40, 120))) >= 70 for k in range(30)) >= 27
 
 
+@pytest.mark.parametrize("crowd", [32, 2])
+def test_near_passages_amid_variants_that_fail(spark, monkeypatch, crowd):
+    """The text repeated nearly is neither the first holder nor the one before: variants under 0.75 stand on both sides."""
+    monkeypatch.setattr(S, "CROWD", crowd)
+    rng = random.Random(17)
+    rows, line = [], prose(rng, 12, 2000)
+    for k in range(20):
+        passage = prose(rng, 80, 2000)
+        for i in range(8):
+            own = list(passage)
+            if i in (3, 7):
+                own[10 * i] = "near"
+            else:
+                for at in (9, 23, 38, 53, 66):
+                    own[at + i % 4 * 5] = f"changed{i}"
+            rows.append((100 * i + k, " ".join(prose(rng, 40, 2000) + own + prose(rng, 40, 2000) + line)))
+    found = S.repeated_passages(frame(spark, rows))
+    got = spans_by_text(found)
+    assert sum(len(got.get(700 + k, set()) & set(range(40, 120))) >= 70 for k in range(20)) >= 19
+    assert all(r["first_doc_id"] % 100 == r["doc_id"] % 100 for r in found.collect())
+
+
+def test_places_that_may_lie_in_a_passage():
+    rng = np.random.default_rng(18)
+    for _ in range(300):
+        size = int(rng.integers(20, 80))
+        kind = rng.choice([1, 0, -3], size, p=[0.7, 0.1, 0.2])
+        spots = np.unique(rng.integers(0, size, 3))
+        got = S.may_lie_in(spots, np.flatnonzero(kind == 1), np.flatnonzero(kind == -3), size, 20)
+        want = [any(kind[a:b].sum() >= 0 for a in range(s + 1) for b in range(max(s + 1, a + 20), size + 1)) for s in spots]
+        assert got.tolist() == want
+
+
 def test_hot_keys_have_the_same_holders(spark, monkeypatch):
     rng = random.Random(15)
     rows = [(rng.randrange(60), rng.randrange(3), rng.choice([1, 1, 1, 2, 3, rng.randrange(100)])) for _ in range(600)]
