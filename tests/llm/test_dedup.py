@@ -253,6 +253,43 @@ def test_near_passages_amid_variants_that_fail(spark, monkeypatch, crowd):
     assert all(r["first_doc_id"] % 100 == r["doc_id"] % 100 for r in found.collect())
 
 
+def test_links_follow_the_rows_of_a_group(spark, monkeypatch):
+    """Variants under 0.75 of one text share minima pair by pair, but only those that may share a passage are linked."""
+    rng, links = random.Random(21), []
+    text, rows = prose(rng, 120, 2000), []
+    for i in range(40):
+        own = list(text)
+        for at in range(4, 120, 9):
+            own[at] = f"changed{i}"
+        rows.append((i, " ".join(own)))
+
+    def counted(df, name, stage=S.stage):
+        made = stage(df, name)
+        links.extend([made.count()] if name == "passage-links" else [])
+        return made
+
+    monkeypatch.setattr(S, "stage", counted)
+    assert S.repeated_passages(frame(spark, rows)).count() == 0
+    assert sum(links) <= 4 * len(rows)
+
+
+def test_prints_leave_room_for_passages():
+    rng = random.Random(22)
+    kept = []
+    for changes in (0, 1, 6):
+        for slip in (0, 3):
+            passage = prose(rng, 90, 2000)
+            other = list(passage)
+            for k in range(changes):
+                other[10 + k * 14] = "changed"
+            other[45:45] = prose(rng, slip, 2000)
+            texts = [" ".join(prose(rng, 30, 2000) + x + prose(rng, 30, 2000)) for x in (passage, other)]
+            batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(texts), pa.array([1, 2]), pa.array([[70], [70]], pa.list_(pa.int32()))], names=["doc_id", "text", "mark", "spots"])
+            prints = np.array([np.frombuffer(x, np.uint8) for b in S.print_batches(iter([batch])) for x in b.column(3).to_pylist()])
+            kept.append(bool(S.room(prints[:1], prints[1:])[0][0]))
+    assert kept == [True, True, True, True, False, False]
+
+
 def test_places_that_may_lie_in_a_passage():
     rng = np.random.default_rng(18)
     for _ in range(300):
